@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfin.llm import bpe, linededup
+from tallyfin.llm import bpe, decontam, linededup, minhash, quality
 from tallyfin.llm.common import documents
 
 
@@ -14,10 +14,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), k=4, percent=80)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_line_dedup": op5_line_dedup}
-ORACLES = {"op5_line_dedup": linededup.ORACLE}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op10_decontamination": op10_decontamination}
+ORACLES = {"op5_line_dedup": linededup.ORACLE, "op10_decontamination": decontam.ORACLE}
