@@ -19,6 +19,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +97,46 @@ def _search(index: dict, words: np.ndarray, threshold: float, gates: dict[int, n
                 yield owner, shared, len(full)
 
 
+def _gates(index: dict) -> dict[int, np.ndarray]:
+    """By shingle width, a bitmap of the sketches' top 20 bits: most of a document's shingles end there."""
+    gates = {}
+    for width in sorted(set(index["widths"])):
+        gate = np.zeros(1 << 20, bool)
+        gate[(index["keys"] >> np.uint64(44)).astype(np.int64)] = True
+        gates[width] = gate
+    return gates
+
+
+def _blocks(benchmark: DataFrame, k: int, threshold: float, item_id_col: str, item_text_col: str) -> Iterator[Broadcast]:
+    """The benchmark's sketches, in broadcasts of at most about BLOCK_BYTES of text each."""
+    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        rows = part.collect()  # bounded by BLOCK_BYTES
+        yield benchmark.sparkSession.sparkContext.broadcast(sketch_items([r["item_id"] for r in rows], [r["text"] for r in rows], k, threshold))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that hold no item to the threshold (see find_contamination); no shuffle."""
+    text_at = docs.columns.index(text_col)
+    for shared in _blocks(benchmark, k, threshold, item_id_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            gates = _gates(index)
+            for batch in batches:
+                clean: list[bool] = []
+                for _, _, data, offsets in text_pieces(batch.column(text_at)):
+                    words, at = word_hashes(data, offsets)
+                    clean += [next(_search(index, words[a:b], threshold, gates), None) is None for a, b in zip(at[:-1], at[1:])]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -105,21 +146,12 @@ def find_contamination(
     words is one shingle of all its words.  Null, empty and wordless items or documents match nothing.
     Repeated document rows give repeated pairs; repeated items give a pair each.
     """
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    spark, out = docs.sparkSession, None
-    for block in range(blocks):
-        rows = (items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items).collect()  # bounded by BLOCK_BYTES
-        shared = spark.sparkContext.broadcast(sketch_items([r["item_id"] for r in rows], [r["text"] for r in rows], k, threshold))
+    out = None
+    for shared in _blocks(benchmark, k, threshold, item_id_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            gates = {}
-            for width in sorted(set(index["widths"])):
-                gate = np.zeros(1 << 20, bool)
-                gate[(index["keys"] >> np.uint64(44)).astype(np.int64)] = True
-                gates[width] = gate
+            gates = _gates(index)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 out: list[tuple] = []

@@ -20,15 +20,16 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(ENDS)), UPPER, LOWER)
 
 
-def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_lines long, n_dropped long, kept string.
+def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Per row: doc_id, n_lines long, n_dropped long, kept string; with ``carry`` also "rest", a struct of the other columns.
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents loses all its
     lines but those of the largest doc_id that holds it.  Null and empty texts are one empty line;
     shorter keys always stay.  Repeated rows of one doc_id count as one document and all keep or
     lose the same lines; rows with a null doc_id are returned whole and not counted.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col))).alias("rest")] if carry else []
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     lines = F.split("text", "\n", -1)
     keyed = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars)
     # two hashes of 64 bits with different seeds: a false meeting needs both to agree
@@ -42,11 +43,12 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: s
     joined = docs.join(drops, "doc_id", "left")
     doomed = lambda line: F.array_contains("drops", F.struct(F.xxhash64(line_key(line)).alias("a"), F.xxhash64(F.lit(17), line_key(line)).alias("b")))
     kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~doomed(x)))
-    return joined.select("doc_id", lines.alias("lines"), kept.alias("kept")).select(
+    return joined.select("doc_id", lines.alias("lines"), kept.alias("kept"), *(["rest"] if carry else [])).select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
         F.array_join("kept", "\n").alias("kept"),
+        *(["rest"] if carry else []),
     )
 
 

@@ -139,6 +139,23 @@ def score_documents(df: DataFrame, machine: Machine, id_col: str = "doc_id", tex
     return _inputs(df, id_col, text_col, chars_col).mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(df: DataFrame, machine: Machine, threshold: float = 0.7, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows, with all their columns, whose texts score at least the threshold; judged where they lie, without a shuffle."""
+    model = df.sparkSession.sparkContext.broadcast(machine)
+    text_at, chars_at = df.columns.index(text_col), df.columns.index(chars_col) if chars_col in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = model.value
+        for batch in batches:
+            chars = batch.column(chars_at).to_pylist() if chars_at is not None else [None] * batch.num_rows
+            good: list[bool] = []
+            for first, end, data, offsets in text_pieces(batch.column(text_at)):
+                good += [bool(machine.score(s, x) >= threshold) for s, x in features(data, offsets, chars[first:end])]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def classify(df: DataFrame, labels: DataFrame, threshold: float = 0.7, **columns) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; predicted is 1 if score >= threshold."""
     scored = score_documents(df, train(df, labels, **columns), **{k: v for k, v in columns.items() if k != "label_col"})
