@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfin.llm import bpe, decontam, licences, linededup, minhash, quality
+from tallyfin.llm import bpe, decontam, licences, linededup, minhash, quality, repeats
 from tallyfin.llm.common import documents
 
 
@@ -31,9 +31,15 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(documents(spark, sf_dir)).drop("spans")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = repeats.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return marked.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op9_repeats": op9_repeats, "op10_decontamination": op10_decontamination}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op10_decontamination": decontam.ORACLE}
