@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallyfin.llm.common import PIECE_BYTES
 
 #: Pre-tokens in each of the two generations that a Python worker remembers; the older one goes when the newer is full.
-REMEMBERED = 200_000
+REMEMBERED = 350_000
 #: Longer pre-tokens are encoded each time.
 REMEMBERED_CHARS = 48
 
@@ -56,25 +56,20 @@ class RankQueue:
             heapq.heappush(bucket, position)
 
     def first(self) -> int:
-        """The smallest rank with a bucket; -1 if there is none."""
-        if not self.top:
-            return -1
+        """The smallest rank with a bucket; there must be one."""
         a = (self.top & -self.top).bit_length() - 1
         b = (a << 6) | ((self.mid[a] & -self.mid[a]).bit_length() - 1)
         return (b << 6) | ((self.low[b] & -self.low[b]).bit_length() - 1)
 
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            b, a = rank >> 6, rank >> 12
-            self.low[b] ^= 1 << (rank & 63)
-            if not self.low[b]:
-                self.mid[a] ^= 1 << (b & 63)
-                if not self.mid[a]:
-                    self.top ^= 1 << a
-        return position
+    def clear(self, rank: int) -> None:
+        """Take an empty bucket out of the bitmap."""
+        del self.buckets[rank]
+        b, a = rank >> 6, rank >> 12
+        self.low[b] ^= 1 << (rank & 63)
+        if not self.low[b]:
+            self.mid[a] ^= 1 << (b & 63)
+            if not self.mid[a]:
+                self.top ^= 1 << a
 
 
 class Codec:
@@ -112,39 +107,52 @@ class Codec:
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank merges first, the leftmost first of one rank."""
         ranks, n = self.ranks, len(piece)
+        get, heappop = ranks.get, heapq.heappop
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         end = list(range(1, n + 1))  # the part at i is piece[i:end[i]]; the next part starts at end[i]
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that starts at i; -1: none, or the part is gone
-        queue, get = self.queue, ranks.get
-        for i in range(n - 1):
-            r = get(piece[i : i + 2], -1)
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts at i; -1: none, or the part is gone
+        pair.append(-1)
+        queue = self.queue
+        buckets, push = queue.buckets, queue.push
+        for i, r in enumerate(pair):
             if r >= 0:
-                pair[i] = r
-                queue.push(r, i)
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
-            if pair[i] != rank:
-                continue  # stale
-            j = end[i]
-            pair[j] = -1
-            k = end[i] = end[j]
-            if k < n:
-                before[k] = i
-                r = get(piece[i : end[k]], -1)
-                pair[i] = r
-                if r >= 0:
-                    queue.push(r, i)
-            else:
-                pair[i] = -1
-            p = before[i]
-            if p >= 0:
-                r = get(piece[p:k], -1)
-                if r != pair[p]:
-                    pair[p] = r
+                if r in buckets:
+                    buckets[r].append(i)  # places rise, so it stays a heap
+                else:
+                    push(r, i)
+        while queue.top:
+            rank = queue.first()
+            bucket = buckets[rank]
+            while bucket:
+                i = heappop(bucket)
+                if pair[i] != rank:
+                    continue  # stale
+                j = end[i]
+                pair[j] = -1
+                k = end[i] = end[j]
+                lower = False
+                if k < n:
+                    before[k] = i
+                    pair[i] = r = get(piece[i : end[k]], -1)
                     if r >= 0:
-                        queue.push(r, p)
+                        push(r, i)
+                        lower = r < rank
+                else:
+                    pair[i] = -1
+                p = before[i]
+                if p >= 0:
+                    r = get(piece[p:k], -1)
+                    if r != pair[p]:
+                        pair[p] = r
+                        if r >= 0:
+                            push(r, p)
+                            lower = lower or r < rank
+                if lower:
+                    break
+            if not bucket:
+                queue.clear(rank)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : end[i]]])
