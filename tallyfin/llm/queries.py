@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfin.llm import bpe, decontam, html, licences, linededup, minhash, quality, repeats
+from tallyfin.llm import bpe, decontam, html, licences, linededup, minhash, pii, quality, repeats
 from tallyfin.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(documents(spark, sf_dir)).drop("spans")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir)).drop("found")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -45,5 +49,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op8_html": op8_html, "op9_repeats": op9_repeats, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op7_personal_data": op7_personal_data, "op8_html": op8_html, "op9_repeats": op9_repeats, "op10_decontamination": op10_decontamination}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op10_decontamination": decontam.ORACLE}
