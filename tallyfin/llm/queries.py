@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfin.llm import bpe, decontam, html, licences, linededup, minhash, pii, quality, repeats
+from tallyfin.llm import ann, bpe, decontam, html, licences, linededup, minhash, pii, quality, repeats
 from tallyfin.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,5 +53,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op7_personal_data": op7_personal_data, "op8_html": op8_html, "op9_repeats": op9_repeats, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_bpe": op1_bpe, "op2_neighbours": op2_neighbours, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op7_personal_data": op7_personal_data, "op8_html": op8_html, "op9_repeats": op9_repeats, "op10_decontamination": op10_decontamination}
 ORACLES = {"op5_line_dedup": linededup.ORACLE, "op10_decontamination": decontam.ORACLE}
