@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: A filing's item heading, a broken glyph, and line ends.
 HEADING = r"(?i)^item\s+\d+[A-Za-z]?\.?\s*.+"
 GLYPH = r"\(cid:\d+\)"
-LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def split_lines(text: Column) -> Column:

@@ -1,8 +1,15 @@
 """All queries of the analytics library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+from tallyfin.plans import market
+
+QUERIES = market.QUERIES
+ORACLES = market.ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress-tested value at risk of each ticker."""
+    return market.q_stress_scenarios(spark, sf_dir)

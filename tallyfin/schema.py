@@ -28,7 +28,7 @@ def validate_columns(df: DataFrame, required: list[str], what: str = "table") ->
 
 def canonical_name(header: str) -> str:
     """Lower case with underscores; without byte-order marks and any white space at the ends."""
-    return re.sub(r"[\s ]+", "_", re.sub(r"^[\s ﻿]+|[\s ﻿]+$", "", header)).lower()
+    return re.sub(r"\s+", "_", re.sub("^[\\s\ufeff]+|[\\s\ufeff]+$", "", header)).lower()
 
 
 def normalise_headers(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ DATE_FORMATS = ("d-MMM-yy", "yyyy-MM-dd")
 
 
 def _number(name: str):
-    return F.regexp_replace(F.trim(F.translate(F.col(name), " ", " ")), ",", "").try_cast("double")
+    return F.regexp_replace(F.trim(F.translate(F.col(name), "\u00a0", " ")), ",", "").try_cast("double")
 
 
 def read_price_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -22,10 +22,10 @@ def read_price_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     ticker = F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1)
-    looks = F.lower(F.translate("value", "﻿ ", "  ")).rlike(r"^\s*\"?date\s*\"?\s*,")
+    looks = F.lower(F.translate("value", "\ufeff\u00a0", "  ")).rlike(r"^\s*\"?date\s*\"?\s*,")
     header = lines.filter(looks).groupBy("file").agg(F.first("value").alias("header"))
     cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(16)), {"mode": "PERMISSIVE"})
-    names = F.transform(F.split("header", ","), lambda h: F.regexp_replace(F.lower(F.btrim(h, F.lit("  ﻿\t\"\r"))), r"[\s ]+", "_"))
+    names = F.transform(F.split("header", ","), lambda h: F.regexp_replace(F.lower(F.btrim(h, F.lit(" \u00a0\ufeff\t\"\r"))), "[\\s\u00a0]+", "_"))
     headed = header.select("file", names.alias("names"))
     lacking = headed.select("file", F.array_except(F.array(*map(F.lit, REQUIRED)), "names").alias("missing"))
     files = lines.select("file").distinct().join(lacking, "file", "left")
@@ -36,7 +36,7 @@ def read_price_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     named = rows.select("file", *(cell(n).alias(n) for n in REQUIRED))
     good = named.join(files.filter(F.size("missing") == 0).select("file"), "file", "left_semi")
     day = F.coalesce(*(F.to_date(F.try_to_timestamp(F.trim("date"), F.lit(f))) for f in DATE_FORMATS))
-    dividend = F.regexp_extract("open", r"^\s*([0-9.]+)[\s ]+Dividend", 1)
+    dividend = F.regexp_extract("open", "^\\s*([0-9.]+)[\\s\u00a0]+Dividend", 1)
     typed = good.select(ticker.alias("ticker"), day.alias("date"), *(_number(c).alias(c) for c in REQUIRED[1:6]), _number("volume").try_cast("bigint").alias("volume"), dividend.alias("dividend"))
     prices = typed.filter((F.coalesce("dividend", F.lit("")) == "") & F.col("date").isNotNull()).drop("dividend")
     actions = typed.filter(F.col("dividend") != "").select("ticker", "date", F.col("dividend").cast("double").alias("amount"))
