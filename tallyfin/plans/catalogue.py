@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfin.plans import market
+from tallyfin.plans import fundamental, market
 
-QUERIES = market.QUERIES
-ORACLES = market.ORACLES
+QUERIES = market.QUERIES | fundamental.QUERIES
+ORACLES = market.ORACLES | fundamental.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
