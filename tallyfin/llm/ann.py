@@ -186,9 +186,9 @@ def _exhaust(rows: DataFrame, lacking: DataFrame, d: int, salts: int, k: int) ->
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not vectors.num_rows or not queries.num_rows:
             return schema.empty_table()
-        found = nearest_in(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v"), d), queries.column("query_id").to_numpy(), _matrix(queries.column("v"), d), k)
+        found = nearest_in(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v"), d), queries.column("query_id").to_numpy(), _matrix(queries.column("q"), d), k)
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema)], schema=schema)
 
     salted = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"), "vec_id", "v")
-    asked = lacking.select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    asked = lacking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     return salted.groupBy("salt").cogroup(asked.groupBy("salt")).applyInArrow(meet, "query_id long, vec_id long, score double")
