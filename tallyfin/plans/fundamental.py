@@ -269,7 +269,7 @@ ORACLES = {
     "q_horizon_avgs": f"with {FINAL}, {DAILY}, fw as ({_forward('final')}) select ticker, start, " + ", ".join(f"round(fwd_{n}, 6) as fwd_{n}" for n in screen.HORIZONS) + " from fw",
     "q_price_rolling_means": f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 from means",
     "q_point_in_time": f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 from means where date <= date '2000-06-30' qualify row_number() over (partition by ticker order by date desc) = 1",
-    "q_screen_join": f"with {FINAL}, {DAILY}, {MEANS}, chosen as (select * from final where calendardate = date '1999-10-01'), fw as ({_forward('chosen')}), latest_row as (select * from means where date <= date '2000-06-30' qualify row_number() over (partition by ticker order by date desc) = 1) select latest_row.ticker as ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45, r_name as sector, criterion, round(intrinsic_value, 6) as intrinsic_value, start, " + ", ".join(f"round(fwd_{n}, 6) as fwd_{n}" for n in screen.HORIZONS) + " from latest_row at join chosen on latest_row.ticker = chosen.ticker join nation on n_name = latest_row.ticker join region on n_regionkey = r_regionkey join picks on picks.ticker = latest_row.ticker and picks.calendardate = date '1999-10-01' join fw on fw.ticker = latest_row.ticker",
+    "q_screen_join": f"with {FINAL}, {DAILY}, {MEANS}, chosen as (select * from final where calendardate = date '1999-10-01'), fw as ({_forward('chosen')}), latest_row as (select * from means where date <= date '2000-06-30' qualify row_number() over (partition by ticker order by date desc) = 1) select latest_row.ticker as ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45, r_name as sector, criterion, round(intrinsic_value, 6) as intrinsic_value, start, " + ", ".join(f"round(fwd_{n}, 6) as fwd_{n}" for n in screen.HORIZONS) + " from latest_row join chosen on latest_row.ticker = chosen.ticker join nation on n_name = latest_row.ticker join region on n_regionkey = r_regionkey join picks on picks.ticker = latest_row.ticker and picks.calendardate = date '1999-10-01' join fw on fw.ticker = latest_row.ticker",
     "q_sector_filter": f"with {FUND} select ticker, calendardate, round(roic, 6) as roic from f where ticker in (select n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA')",
     "q_sectors": "select distinct r_name as sector from nation join region on n_regionkey = r_regionkey",
     "q_prev_bday": "select day, (day - case isodow(day) when 1 then 3 when 7 then 2 else 1 end)::date as previous, strftime(day - 720, '%Y-%m-%d') as since from (select distinct o_orderdate::date as day from orders)",
