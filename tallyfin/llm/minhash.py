@@ -8,14 +8,15 @@ independent minima.
 
 Search: documents with equal sets first become one class (its least id stands for it).  BANDS bands
 of ROWS coordinates give bucket keys; a pair at similarity 0.8 shares no bucket with probability
-(1 - 0.8**4)**32 < 5e-8.  No bucket is ever expanded into its pairs: each bucket compares its members
-with one pivot, which differs from band to band, and exact set comparisons confirm links.  Buckets
-whose members then still lie in several components are searched to the end: members outside the
-bucket's largest component meet all members of other components, first by a 64-byte sketch (that
-passes a similarity of 0.8 but for 1e-9), then by exact sets.  So no link is lost to a cap.
-
-Pivot pairs are as many as bucket members; joins on hot buckets and pivots are plain sort-merge joins
-that adaptive execution splits; counts aggregate partially before their shuffle.
+(1 - 0.8**4)**32 < 5e-8.  No bucket is expanded into its pairs: each member meets the bucket's least
+one, and the components of these edges are candidate clusters that hold every candidate pair.
+
+Verification: a cluster is dealt into blocks of bounded weight (shingles and documents), and each pair
+of blocks compares all its documents on their full sets at once: shared shingles are counted by a
+matrix product for frequent shingles and by their few pairs for rare ones.  A pair of blocks returns
+a spanning forest of its links, never all of them.  Components of the links are the groups.  So the
+result is exact on every candidate pair, with no cap, and a group of thousands of copies costs one or
+a few blocks; a cluster of b blocks costs b * (b + 1) / 2 block comparisons.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from tallyfin.llm.graph import components
 BINS, BANDS, ROWS = 128, 32, 4
 _BIN_BITS = np.uint64(57)  # 7 bits of bin, 8 of round, 49 of hash
 _ROUND_BITS = np.uint64(49)
-#: Least number of 128 four-bit coordinates on which a pair at similarity 0.8 agrees, but for a chance of 1e-9.
-NIBBLES_AGREE = 76
+#: Weight of a block (shingles, and DOC_WEIGHT for each document), and the most documents of a shingle that counts as rare.
+BLOCK_WEIGHT, DOC_WEIGHT, RARE, COLUMNS = 1_000_000, 500, 8, 2048
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -69,99 +70,126 @@ def _band_keys(s: np.ndarray) -> np.ndarray:
     return h
 
 
-def _nibbles(s: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, 16 to a 64-bit word."""
-    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    return np.bitwise_or.reduce((s & np.uint64(15)).reshape(8, 16) << shifts, axis=1)
-
-
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_pieces(batch.column(1)):
-                sizes, digests, keys, small = [], [], [], []
+                sizes, digests, keys = [], [], []
                 for elements in shingle_sets(data, offsets, k):
                     sizes.append(len(elements))
                     digests.append(hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None)
                     if len(elements):
-                        s = sketch(elements)
-                        keys.append(_band_keys(s).view(np.int64))
-                        small.append(_nibbles(s).view(np.int64))
+                        keys.append(_band_keys(sketch(elements)).view(np.int64))
                     else:
                         keys.append(None)
-                        small.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "keys", "small"],
+                    [batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "digest", "keys"],
                 )
 
     return run
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, n) sizes of all pairwise intersections."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(place, kind="stable")
+    owner, times_of = owner[order], times[place[order]]
+    out = np.zeros(n * n, np.int64)
+    for f in range(2, RARE + 1):
+        rows = owner[times_of == f].reshape(-1, f)
+        if len(rows):
+            i, j = np.triu_indices(f, 1)
+            out += np.bincount((rows[:, i] * n + rows[:, j]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    out = out + out.T
+    often = np.flatnonzero(times > RARE)
+    column = np.full(len(times), -1)
+    column[often] = np.arange(len(often))
+    where = column[place[order]]
+    held, where = owner[where >= 0], where[where >= 0]
+    for at in range(0, len(often), COLUMNS):
+        inside = (where >= at) & (where < at + COLUMNS)
+        m = np.zeros((n, min(COLUMNS, len(often) - at)), np.float32)
+        m[held[inside], where[inside] - at] = 1
+        out += np.rint(m @ m.T).astype(np.int64)
+    return out
+
+
+def spanning_links(ids: list[int], sides: list[int], sets: list[np.ndarray], across: bool, percent: int) -> tuple[list[int], list[int]]:
+    """A forest of the links between these documents (only between the two sides, if ``across``)."""
+    if len(ids) == 2:
+        shared = len(sets[0]) + len(sets[1]) - len(np.union1d(*sets))
+        ok = 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared) and (not across or sides[0] != sides[1])
+        return ([ids[0]], [ids[1]]) if ok else ([], [])
+    shared = shared_counts(sets)
+    sizes = np.array([len(x) for x in sets])
+    near = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    np.fill_diagonal(near, False)
+    if across:
+        side = np.array(sides)
+        near &= side[:, None] != side[None, :]
+    a, b, left = [], [], np.ones(len(ids), bool)
+    for root in range(len(ids)):
+        if left[root]:
+            left[root] = False
+            front = [root]
+            while front:
+                x = front.pop()
+                new = np.flatnonzero(near[x] & left)
+                left[new] = False
+                front += new.tolist()
+                a += [ids[x]] * len(new)
+                b += [ids[y] for y in new]
+    return a, b
+
+
 def _verify(k: int, percent: int):
-    """Keeps pairs whose full sets reach the similarity; rows come sorted by a, whose set is made once."""
+    """Links of each (cluster, i, j), whose rows come together: (cluster, i, j, side, rep, text)."""
+
+    def close(key: tuple, ids: list, sides: list, texts: list) -> pa.RecordBatch:
+        a: list[int] = []
+        b: list[int] = []
+        if len(ids) > 1:
+            sets = [x for *_, data, offsets in text_pieces(pa.array(texts, pa.large_string())) for x in shingle_sets(data, offsets, k)]
+            a, b = spanning_links(ids, sides, sets, key[1] != key[2], percent)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, ids, sides, texts = None, [], [], []
         for batch in batches:
-            ids, b_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            keep = []
-            for first, end, data, offsets in text_pieces(batch.column(3)):
-                for i, other in zip(range(first, end), shingle_sets(data, offsets, k)):
-                    if ids[i] != last:
-                        one = texts.slice(i, 1)
-                        last, held = ids[i], next(shingle_sets(*next(text_pieces(one))[2:], k))
-                    if 100 * min(len(held), len(other)) >= percent * max(len(held), len(other)):
-                        shared = len(held) + len(other) - len(np.union1d(held, other))
-                        if 100 * shared >= percent * (len(held) + len(other) - shared):
-                            keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], ["a", "b"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            for key, side, rep, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                if key != last:
+                    if last is not None:
+                        yield close(last, ids, sides, texts)
+                    last, ids, sides, texts = key, [], [], []
+                ids.append(rep)
+                sides.append(side)
+                texts.append(text.as_py())
+        if last is not None:
+            yield close(last, ids, sides, texts)
 
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of pairs that the full sets confirm.  texts: (rep, text)."""
-    left = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
-
-
 def link_classes(sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) over class representatives.  sketches: (rep, keys, small), one row a class."""
+    """(node, component) over class representatives.  sketches: (rep, n_shingles, keys), one row a class."""
     keyed = sketches.select("rep", F.explode("keys").alias("key"))
-    # a bucket's pivot: its member of least hash under the bucket's own seed
-    order = F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))
-    pivots = keyed.groupBy("key").agg(F.min(order).alias("p"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("p.rep").alias("pivot"), "n")
-    buckets = checkpoint(keyed.join(pivots, "key"))
-    pairs = buckets.filter("rep <> pivot").select(F.least("rep", "pivot").alias("b"), F.greatest("rep", "pivot").alias("a"), F.col("pivot")).groupBy("a", "b").agg(F.max("pivot").alias("pivot"))
-    pairs = pairs.select(F.col("pivot").alias("a"), F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
-    meant = buckets.select("rep").distinct()
-    texts = docs.join(meant, docs["doc_id"] == meant["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").groupBy("rep").agg(F.min("text").alias("text"))
-    texts = checkpoint(texts)
-    links = checkpoint(_confirm(pairs, texts, k, percent))
-    first = checkpoint(components(links))
-    # what the pivots left open: buckets of three or more whose members lie in several components
-    member = buckets.filter("n > 2").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
-    shares = member.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("major")).filter("parts > 1").select("key", "major")
-    member = member.join(mixed, "key").join(sketches.select("rep", "small"), "rep")
-    minor = member.filter("component <> major and rep <> pivot").select("key", F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("small").alias("small_a"))
-    other = member.filter("rep <> pivot").select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"), F.col("small").alias("small_b"), "major")
-    differing = None
-    for i in range(8):
-        x = F.col("small_a")[i].bitwiseXOR(F.col("small_b")[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        differing = F.bit_count(x) if differing is None else differing + F.bit_count(x)
-    both_minor = (F.col("component_b") == F.col("major")) | (F.col("a") < F.col("b"))
-    met = minor.join(other, (minor["key"] == other["key"]) & (F.col("component_a") != F.col("component_b")) & both_minor & (differing <= BINS - NIBBLES_AGREE))
-    more = checkpoint(_confirm(met.select("a", "b").distinct(), texts, k, percent))
-    contracted = more.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    joined = components(contracted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    lone = joined.join(first, joined["node"] == first["node"], "left_anti")
-    inside = first.join(joined.select(F.col("node").alias("component"), F.col("component").alias("final")), "component", "left").select("node", F.coalesce("final", "component").alias("component"))
-    return inside.unionAll(lone)
+    least = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter(F.col("first") < F.col("last")).select("key", "first")
+    stars = keyed.join(least, "key").filter(F.col("rep") > F.col("first")).select("rep", "first").distinct()
+    clusters = checkpoint(components(stars, "rep", "first"))
+    weighed = sketches.select("rep", (F.col("n_shingles") + DOC_WEIGHT).alias("weight")).join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    blocks = weighed.groupBy("cluster").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("int").alias("blocks"))
+    placed = weighed.join(blocks, "cluster").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = placed.select("cluster", "rep", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("cluster", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") <= F.col("other"), 0).otherwise(1).alias("side"), "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(clusters.select(F.col("node").alias("rep")), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    rows = met.join(texts, "rep").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    links = rows.select("cluster", "i", "j", "side", "rep", "text").mapInArrow(_verify(k, percent), "a long, b long")
+    return components(links)
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,11 +202,11 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     node with each row's links (their texts are compared by the least one).  A null doc_id gets null for component_id and kept.
     """
     docs = clean_ids(df, id_col, text_col)
-    made = checkpoint(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, digest binary, keys array<long>, small array<long>"))
+    made = checkpoint(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, digest binary, keys array<long>"))
     classes = made.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = made.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    heads = made.filter("digest is not null and doc_id is not null").join(classes, "digest", "left").filter("doc_id = rep").groupBy("rep", "digest").agg(F.first("keys").alias("keys"), F.first("small").alias("small"))
-    linked = link_classes(checkpoint(heads.select("rep", "keys", "small")), docs, k, percent)
+    heads = made.filter("digest is not null and doc_id is not null").join(classes, "digest", "left").filter("doc_id = rep").groupBy("rep", "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    linked = link_classes(checkpoint(heads.select("rep", "n_shingles", "keys")), docs, k, percent)
     out = member.join(linked.select(F.col("node").alias("rep"), F.col("component").alias("component")), "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
