@@ -21,6 +21,8 @@ from tallyfin.llm.common import text_pieces, word_hashes
 
 #: Hashed word slots (their number fixes the model's size), rank, and the bound on labelled rows that are fitted on.
 SLOTS, RANK, SAMPLE = 1 << 13, 4, 4000
+#: Length of a text's word features together: statistics, each up to about 1, should weigh more than single words.
+WORD_LENGTH = 0.3
 #: Structure statistics and metadata, in their order.
 STATISTICS = (
     "log_chars", "log_words", "mean_word", "symbols", "digits", "upper", "pipes", "bangs", "symbols_per_word", "lines", "short_lines",
@@ -35,7 +37,7 @@ _CLASS[[0x20, 9, 11, 12, 13]] = 9
 
 
 def features(data: np.ndarray, offsets: np.ndarray, n_chars: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(slots, values) of each text: statistics first, then its distinct words' slots with values of unit length in all."""
+    """(slots, values) of each text: statistics first, then its distinct words' slots with values of length WORD_LENGTH in all."""
     words, at = word_hashes(data, offsets)
     slots = (words >> np.uint64(51)).astype(np.int64)  # 13 bits
     kinds = _CLASS[data]
@@ -52,7 +54,7 @@ def features(data: np.ndarray, offsets: np.ndarray, n_chars: list) -> Iterator[t
             np.log1p(max(0, n_chars[i] if n_chars[i] is not None else n)) / 10, float(len(w) == 0),
         ])
         values = np.log1p(times)
-        values = values / max(1e-9, np.sqrt((values**2).sum()))
+        values = WORD_LENGTH * values / max(1e-9, np.sqrt((values**2).sum()))
         yield np.concatenate([np.arange(N_STATS), N_STATS + unique]), np.concatenate([stats, values])
 
 
