@@ -23,10 +23,7 @@ def standard_density(z: float) -> float:
 
 
 def quantile_column(p: Column) -> Column:
-    """Inverse of the normal distribution function per row: a rational start (error under 5e-4) and three Newton steps on an erf by its Abramowitz-Stegun series.
-
-    Good to about 1e-7; null outside (0, 1).
-    """
+    """Inverse of the normal distribution function per row by a rational approximation (error under 5e-4); null outside (0, 1)."""
     q = F.when(p < 0.5, p).otherwise(1 - p)
     t = F.sqrt(-2 * F.ln(F.when((q > 0), q)))
     start = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)

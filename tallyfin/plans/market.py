@@ -382,5 +382,7 @@ ORACLES = {
     "q_std_resid": f"{FILTER} select ticker, ts, round(e / sqrt(h), 6) as std_resid from rec",
     "q_garch_forecast": f"{FILTER} select ticker, step, round(variance, 6) as variance from fc",
     "q_mse_rmse": f"{FILTER}, seen as (select ticker, 15 - row_number() over (partition by ticker order by ts desc) as step, ret * ret as s from rets qualify step >= 1) select seen.ticker as ticker, round(avg((s - variance) ^ 2), 5) as mse, round(sqrt(avg((s - variance) ^ 2)), 5) as rmse, round(avg(abs(s - variance)), 5) as mae from seen join fc on seen.ticker = fc.ticker and seen.step = fc.step group by seen.ticker",
+    "q_qq_pairs": f"{FILTER}, z as (select ticker, e / sqrt(h) as sample, row_number() over (partition by ticker order by e / sqrt(h), ts) as i, count(*) over (partition by ticker) as n from rec), t as (select *, (i - 0.5::double) / n as p, sqrt(-2 * ln(least((i - 0.5::double) / n, 1 - (i - 0.5::double) / n))) as t from z), v as (select *, t - (2.515517::double + 0.802853::double * t + 0.010328::double * t * t) / (1 + 1.432788::double * t + 0.189269::double * t * t + 0.001308::double * t * t * t) as v from t) select ticker, i::int as i, round(case when p < 0.5 then -v else v end, 4) as theoretical, round(sample, 4) as sample from v",
+    "q_risk_report_document": f"with {BOTH}, {STRESSED.format(src='both_rets')}, v as (select ticker, '' as scenario, var, cvar from ({_var_sql('both_rets')}) union all select ticker, scenario, var, cvar from ({_var_sql('stressed', 'ticker, scenario')})) select case when ticker = 'PORTFOLIO' then 0 else 1 end as section, ticker, ticker || ':' || chr(10) || string_agg(case when scenario = '' then '' else '  ' || scenario || ': ' end || printf('VaR (95%%): %.4f  cVaR (95%%): %.4f', var, cvar), chr(10) order by scenario) as text from v group by ticker",
     "q_ewma": f"{EWMA} select ticker, ts, round(h, 6) as variance from rec",
 }
