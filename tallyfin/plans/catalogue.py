@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfin.plans import fundamental, market
+from tallyfin.plans import fundamental, further, market
 
-QUERIES = market.QUERIES | fundamental.QUERIES
-ORACLES = market.ORACLES | fundamental.ORACLES
+QUERIES = market.QUERIES | fundamental.QUERIES | further.QUERIES
+ORACLES = market.ORACLES | fundamental.ORACLES | further.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
