@@ -160,3 +160,20 @@ def test_ratios(spark):
     df = spark.createDataFrame([(10.0, 0.0)], "a double, b double")
     assert df.select(valuation.ratio("a", "b")).first()[0] is None
     assert df.select(valuation.dividend_value(F.lit(1.0), F.lit(0.03), F.lit(0.08))).first()[0] == pytest.approx(20.6)
+
+
+def test_diagnostics(spark):
+    from tallyfin.operators import diagnostics as d
+
+    wave = rets(spark, [(-1.0) ** i for i in range(200)])
+    assert d.durbin_watson(wave).first()["dw"] == pytest.approx(4 * 199 / 200)
+    assert d.kpss(wave).first()["kpss"] < 0.01
+    line = table(spark, [3.0 + 2.0 * i for i in range(10)])
+    assert {round(r["diff"], 9) for r in d.differenced(line).collect()} == {2.0}
+    assert max(abs(r.residual) for r in d.detrended(line).collect()) < 1e-9
+    noise = rets(spark, [0.01 * math.sin(37 * i * i) for i in range(120)])
+    base, boot = risk.historical(noise).first()["cvar"], d.bootstrap_cvar(noise, 20).first()
+    assert boot["mean_cvar"] == pytest.approx(base, rel=0.2) and boot["std_cvar"] >= 0
+    assert d.simulated_risk(noise, 2000).first()["var"] == pytest.approx(risk.parametric(noise).first()["var"], rel=0.15)
+    s = d.sentiment_features(noise.select("ticker", "ts", F.signum("ret").alias("score")), 5)
+    assert s.filter("moving is not null").count() == 116
