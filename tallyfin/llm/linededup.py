@@ -31,24 +31,31 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: s
     rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col))).alias("rest")] if carry else []
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     lines = F.split("text", "\n", -1)
-    keyed = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars)
-    # two hashes of 64 bits with different seeds: a false meeting needs both to agree
-    hashes = F.array_distinct(F.transform(keyed, lambda k: F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(17), k).alias("b"))))
-    held = docs.filter("doc_id is not null").select("doc_id", F.explode(hashes).alias("key")).select("doc_id", "key.a", "key.b").distinct()
+
+    def placed_key(line: Column, place: Column) -> Column:
+        """Place and two hashes with different seeds of a line that is long enough: a false meeting needs both to agree."""
+        key = line_key(line)
+        return F.when(F.length(key) >= min_chars, F.struct(place.alias("place"), F.xxhash64(key).alias("a"), F.xxhash64(F.lit(17), key).alias("b")))
+
+    docs = docs.withColumn("mark", F.xxhash64("text"))  # tells repeated ids apart
+    placed = docs.filter("doc_id is not null").select("doc_id", "mark", F.explode(F.array_compact(F.transform(lines, placed_key))).alias("key"))
+    placed = placed.select("doc_id", "mark", "key.place", "key.a", "key.b")
+    held = placed.select("doc_id", "a", "b").distinct()
     common = held.groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")).filter(F.col("docs") >= min_docs)
     drops = (
-        held.join(common, ["a", "b"]).filter(F.col("doc_id") < F.col("last"))
-        .groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
+        placed.join(common, ["a", "b"]).filter(F.col("doc_id") < F.col("last"))
+        .groupBy("doc_id", "mark").agg(F.collect_set("place").alias("drops"))
     )
-    joined = docs.join(drops, "doc_id", "left")
-    doomed = lambda line: F.array_contains("drops", F.struct(F.xxhash64(line_key(line)).alias("a"), F.xxhash64(F.lit(17), line_key(line)).alias("b")))
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~doomed(x)))
-    return joined.select("doc_id", lines.alias("lines"), kept.alias("kept"), *(["rest"] if carry else [])).select(
+    more = ["rest"] if carry else []
+    joined = docs.join(drops, ["doc_id", "mark"], "left").select("doc_id", "drops", lines.alias("lines"), *more)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))  # by a hash set, so linear in the lines
+    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
+    return joined.select("doc_id", "lines", kept.alias("kept"), *more).select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
         F.array_join("kept", "\n").alias("kept"),
-        *(["rest"] if carry else []),
+        *more,
     )
 
 
