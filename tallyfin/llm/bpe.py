@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -29,6 +30,11 @@ from tallyfin.llm.common import PIECE_BYTES
 REMEMBERED = 350_000
 #: Longer pre-tokens are encoded each time.
 REMEMBERED_CHARS = 48
+#: Classes of the pattern as they are in Latin-1, the longer ones first.
+LATIN = {
+    r"[^\s\p{L}\p{N}]": "[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]", r"\p{L}": "[A-Za-zªµºÀ-ÖØ-öø-ÿ]", r"\p{N}": "[0-9²³¹¼½¾]",
+    r"\s": "[\t-\r \x85\xa0]", r"\S": "[^\t-\r \x85\xa0]",
+}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,42 +42,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines()) if a}
 
 
-class RankQueue:
-    """Ranks in three bitmap levels of 64-bit words; per rank a bucket of positions, leftmost first."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heapq.heappush(bucket, position)
-
-    def first(self) -> int:
-        """The smallest rank with a bucket; there must be one."""
-        a = (self.top & -self.top).bit_length() - 1
-        b = (a << 6) | ((self.mid[a] & -self.mid[a]).bit_length() - 1)
-        return (b << 6) | ((self.low[b] & -self.low[b]).bit_length() - 1)
-
-    def clear(self, rank: int) -> None:
-        """Take an empty bucket out of the bitmap."""
-        del self.buckets[rank]
-        b, a = rank >> 6, rank >> 12
-        self.low[b] ^= 1 << (rank & 63)
-        if not self.low[b]:
-            self.mid[a] ^= 1 << (b & 63)
-            if not self.mid[a]:
-                self.top ^= 1 << a
-
-
 class Codec:
     """Encodes and decodes by ranks; pre-tokens by a pattern."""
 
@@ -79,7 +49,14 @@ class Codec:
         self.ranks = ranks
         self.size = max(ranks.values(), default=0) + 1
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(self.size)  # empty again after each pre-token
+        # the same classes spelled out for texts of Latin-1 alone, where the standard library's matcher is faster
+        plain = pattern
+        for long, short in LATIN.items():
+            plain = plain.replace(long, short)
+        self.latin = re.compile(plain) if "\\" not in plain else None
+        # the rank queue: two lower bitmap levels (the top one is a number) and the buckets; empty again after each pre-token
+        self.low, self.mid = [0] * ((self.size >> 6) + 1), [0] * ((self.size >> 12) + 1)
+        self.buckets: dict[int, list[int]] = {}
         tokens = [b""] * self.size
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -107,60 +84,86 @@ class Codec:
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest rank merges first, the leftmost first of one rank."""
         ranks, n = self.ranks, len(piece)
-        get, heappop = ranks.get, heapq.heappop
+        get, heappop, heappush = ranks.get, heapq.heappop, heapq.heappush
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         end = list(range(1, n + 1))  # the part at i is piece[i:end[i]]; the next part starts at end[i]
         before = list(range(-1, n - 1))
         pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts at i; -1: none, or the part is gone
         pair.append(-1)
-        queue = self.queue
-        buckets, push = queue.buckets, queue.push
+        low, mid, buckets, top = self.low, self.mid, self.buckets, 0
         for i, r in enumerate(pair):
             if r >= 0:
-                if r in buckets:
-                    buckets[r].append(i)  # places rise, so it stays a heap
+                if (bucket := buckets.get(r)) is not None:
+                    bucket.append(i)  # places rise, so it stays a heap
                 else:
-                    push(r, i)
-        while queue.top:
-            rank = queue.first()
+                    buckets[r] = [i]
+                    low[r >> 6] |= 1 << (r & 63)
+                    mid[r >> 12] |= 1 << ((r >> 6) & 63)
+                    top |= 1 << (r >> 12)
+        while top:
+            # find-first-set, level by level
+            a = (top & -top).bit_length() - 1
+            b = (a << 6) | ((mid[a] & -mid[a]).bit_length() - 1)
+            rank = (b << 6) | ((low[b] & -low[b]).bit_length() - 1)
             bucket = buckets[rank]
             while bucket:
-                i = heappop(bucket)
+                i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
                 if pair[i] != rank:
                     continue  # stale
                 j = end[i]
                 pair[j] = -1
                 k = end[i] = end[j]
-                lower = False
+                p, lower = before[i], False
                 if k < n:
                     before[k] = i
-                    pair[i] = r = get(piece[i : end[k]], -1)
-                    if r >= 0:
-                        push(r, i)
-                        lower = r < rank
+                    right = get(piece[i : end[k]], -1)
                 else:
-                    pair[i] = -1
-                p = before[i]
-                if p >= 0:
-                    r = get(piece[p:k], -1)
-                    if r != pair[p]:
-                        pair[p] = r
-                        if r >= 0:
-                            push(r, p)
-                            lower = lower or r < rank
+                    right = -1
+                pair[i] = right
+                left = get(piece[p:k], -1) if p >= 0 else -1
+                for r, at in ((left, p), (right, i)):
+                    if r >= 0:
+                        if at == p:
+                            if pair[p] == r:
+                                continue
+                            pair[p] = r
+                        if (other := buckets.get(r)) is not None:
+                            heappush(other, at)
+                        else:
+                            buckets[r] = [at]
+                            low[r >> 6] |= 1 << (r & 63)
+                            mid[r >> 12] |= 1 << ((r >> 6) & 63)
+                            top |= 1 << (r >> 12)
+                        lower = lower or r < rank
+                    elif at == p and p >= 0:
+                        pair[p] = -1
                 if lower:
                     break
             if not bucket:
-                queue.clear(rank)
+                del buckets[rank]
+                low[b] ^= 1 << (rank & 63)
+                if not low[b]:
+                    mid[a] ^= 1 << (b & 63)
+                    if not mid[a]:
+                        top ^= 1 << a
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : end[i]]])
             i = end[i]
         return ids
 
+    def pieces(self, text: str) -> list[str]:
+        if self.latin is not None:
+            try:
+                text.encode("latin-1")
+                return self.latin.findall(text)
+            except UnicodeEncodeError:
+                pass
+        return self.pattern.findall(text)
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.memory.__getitem__, self.pattern.findall(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, self.pieces(text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, as uint8."""
