@@ -295,14 +295,23 @@ def _answer_phrases(table: pa.Table) -> pa.Table:
     number = np.fromiter((distinct.setdefault(raw[a : a + n], len(distinct)) for a, n in zip(starts.tolist(), sizes.tolist())), np.int64, len(sizes))
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, number, docs)
-    length = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    dictionary = np.frombuffer(b"".join(distinct), np.uint8)
+    phrases = list(distinct)
+    length = np.fromiter(map(len, phrases), np.int64, len(phrases))
     strings = length - LENGTH + 1
-    places = np.repeat(np.cumsum(length) - length, strings) + _within(strings)
-    rank = suffix_ranks(dictionary)[places]
-    first = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, rank.astype(np.int64), np.repeat(least, strings))
-    of_string = first[rank.astype(np.int64)]
+    of_string = np.repeat(least, strings)
+    # only where a trigger's code has several phrases can two phrases share a string: these are ordered
+    code = np.zeros(len(phrases), np.uint32)
+    code[number] = np.concatenate([np.frombuffer(r["codes"], np.uint32) for r in rows])
+    _, of_code, times = np.unique(code, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times[of_code] > 1)
+    if len(several):
+        dictionary = np.frombuffer(b"".join([phrases[i] for i in several.tolist()]), np.uint8)
+        size, count = length[several], strings[several]
+        places = np.repeat(np.cumsum(size) - size, count) + _within(count)
+        rank = suffix_ranks(dictionary)[places].astype(np.int64)
+        first = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, rank, np.repeat(least[several], count))
+        of_string[np.repeat(times[of_code] > 1, strings)] = first[rank]
     begin = np.cumsum(strings) - strings
     counts = sizes - LENGTH + 1
     repeated = of_string[np.repeat(begin[number], counts) + _within(counts)] < np.repeat(docs, counts)
