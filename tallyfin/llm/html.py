@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfin.llm.common import checkpoint
+
 #: Elements without content, whose content is no markup, that stand inside a block, and that are never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea noscript iframe xmp template".split())
@@ -40,6 +42,8 @@ _WORD = re.compile(r"[a-z]+")
 
 #: Tokens of a valid class, and the share of a host's pages that it is in.
 CLASS_SIZE, SUPPORT = 3, 0.8
+#: Hosts whose slots are broadcast at most; of more, pages meet their slots by a join that adaptive execution splits.
+MOST_HOSTS = 100_000
 
 
 def _events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -199,7 +203,10 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    found = pages.withColumn("host", host).join(templates(pages), "host", "left")
+    slots = checkpoint(templates(pages))
+    if slots.count() <= MOST_HOSTS:  # a row of a few hundred bytes a host: pages, and a host with a third of them, need no shuffle
+        slots = F.broadcast(slots)
+    found = pages.withColumn("host", host).join(slots, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
