@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing, exact reranking.
 
-Inner products become distances: vectors are scaled by the largest norm and given one more component
-that brings all of them to norm 1 (queries get 0 there), so the nearest in distance are the largest in
-inner product.  Each of TABLES tables keys a vector by FUNCTIONS hashes floor((a.x + b) / WIDTH), a
-normal.  A query does not visit its own bucket alone: the projections of a neighbour at cosine
-``assumed`` are normal around the query's, which gives every perturbed bucket a success probability;
-buckets are visited in falling order of it until they hold ``mass`` of it.  Table candidates are
-scored exactly on the original vectors and merged.
-
-Vectors and probes meet by (table, bucket, salt); salts bound a bucket's rows in a task however many
+Vectors are dealt to bands of norm, BAND from end to end, and hashed by direction within their band:
+there the largest inner products are the nearest directions but for that factor, and a band's hashes
+do not depend on the norms of others.  Bands of few vectors are scanned whole.  A query skips the
+bands whose norms are too small to reach the k-th of its scores with the GUIDES longest vectors, which
+loses nothing.  In each band, each of TABLES tables keys a vector by FUNCTIONS hashes
+floor((a.x + b) / WIDTH), a normal.  A query does not visit its own bucket alone: the projections of a
+neighbour at cosine ``assumed`` are normal around the query's, which gives every perturbed bucket a
+success probability; buckets are visited in falling order of it until they hold ``mass`` of it.  Table
+candidates are scored exactly on the original vectors and merged.
+
+Vectors and probes meet by (band and table, bucket, salt); salts bound a bucket's rows in a task however many
 vectors are alike.  Equal vectors of a bucket are collapsed to as many least ids as a query asks for first, which
 cannot lose a result.  A query that found too few looks through all buckets.
 """
@@ -23,33 +25,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfin.llm.common import checkpoint
+from tallyfin.llm.common import checkpoint, mix
 
 #: Chosen for a recall of 0.9 or more on vectors without any structure, the hardest case; clustered vectors are found more surely.
 TABLES, FUNCTIONS, WIDTH, ASSUMED, MASS = 6, 3, 1.0, 0.4, 0.38
+#: Ratio of the norms in a band, most vectors of a band that is scanned whole, queries that scan one copy of it, and vectors that bound a query's scores from below.
+BAND, SCANNED, QUERIES_PER_COPY, GUIDES = 1.25, 256, 4096, 512
 #: Vectors for each salt, and offsets of buckets around a neighbour's expected place.
 ROWS_PER_SALT, OFFSETS = 200_000, np.array(list(product(range(-3, 4), repeat=FUNCTIONS)))
 
 
 class Tables:
-    """The hash functions for vectors of d components whose largest norm is ``norm``."""
+    """The hash functions for directions of d components, with the bands of norm and the guides (ids, vectors) of a search for k."""
 
-    def __init__(self, d: int, norm: float, seed: int = 11):
+    def __init__(self, d: int, bands: dict[int, int], queries: int, guides: tuple[np.ndarray, np.ndarray], k: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.norm = norm
-        self.a = rng.normal(size=(TABLES, d + 1, FUNCTIONS))
+        self.a = rng.normal(size=(TABLES, d, FUNCTIONS))
         self.b = rng.uniform(0, WIDTH, size=(TABLES, FUNCTIONS))
-
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        """(rows, TABLES) bucket numbers of vectors."""
-        x = x / self.norm
-        last = np.sqrt(np.maximum(0, 1 - (x**2).sum(1)))
-        x = np.concatenate([x, last[:, None]], 1)
-        return np.stack([_number(np.floor((x @ self.a[t] + self.b[t]) / WIDTH).astype(np.int64)) for t in range(TABLES)], 1)
-
-    def probes(self, q: np.ndarray, mass: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each table, (table, query row, bucket) of the buckets to visit."""
-        q = np.concatenate([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))], 1)
+        self.bands, self.guides, self.k = bands, guides, k
+        self.copies = max(1, -(-queries // QUERIES_PER_COPY))
+
+    def deal(self, x: np.ndarray, band: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(rows, table, their buckets) of vectors."""
+        whole = np.isin(band, [b for b, n in self.bands.items() if n <= SCANNED])
+        if whole.any():
+            for copy in range(self.copies):
+                yield np.flatnonzero(whole), 0, np.full(int(whole.sum()), copy)
+        rows = np.flatnonzero(~whole)
+        x = _directions(x[rows])
+        for t in range(TABLES):
+            yield rows, t, _number(np.floor((x @ self.a[t] + self.b[t]) / WIDTH).astype(np.int64))
+
+    def probes(self, ids: np.ndarray, q: np.ndarray, mass: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For each band and table, (band, table, query row, bucket) of the buckets to visit."""
+        q = _directions(q)
+        least = self._least(ids, q)
+        reach = {b: np.exp((b + 0.5) * np.log(BAND)) * (1 + 1e-9) >= least for b in self.bands}
+        for band, n in self.bands.items():
+            if n <= SCANNED:
+                row = np.flatnonzero(reach[band])
+                yield band, 0, row, (mix(ids[row].astype(np.uint64)) % np.uint64(self.copies)).astype(np.int64)
+        for t, row, bucket in self._visits(q, mass):
+            for band, n in self.bands.items():
+                if n > SCANNED:
+                    taken = reach[band][row]
+                    yield band, t, row[taken], bucket[taken]
+
+    def _least(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """For each query direction, a score that k vectors of other ids reach, or minus infinity."""
+        guide_ids, guides = self.guides
+        if len(guide_ids) <= self.k:
+            return np.full(len(q), -np.inf)
+        scores = np.where(ids[:, None] == guide_ids, -np.inf, q @ guides.T)
+        return np.nan_to_num(np.partition(scores, -self.k, axis=1)[:, -self.k], nan=-np.inf, posinf=-np.inf, neginf=-np.inf)
+
+    def _visits(self, q: np.ndarray, mass: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each table, (table, query row, bucket), the same in all bands."""
         sigma = np.sqrt(1 - ASSUMED**2)
         for t in range(TABLES):
             place = ASSUMED * (q @ self.a[t]) + self.b[t]
@@ -71,6 +102,11 @@ def _normal_cdf(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(1.5976 * z + 0.07056 * z**3, -60, 60)))
 
 
+def _directions(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, initial=0)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _number(cells: np.ndarray) -> np.ndarray:
     return ((cells + (1 << 19)) << (20 * np.arange(FUNCTIONS))).sum(1)
 
@@ -113,23 +149,32 @@ def _usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
+def _banded(rows: DataFrame) -> DataFrame:
+    """Adds the logarithm of the norm, and the number of its band; norms of 1 are amid theirs, so that rounding does not part them."""
+    most = rows.withColumn("most", F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most")))
+    long = most.withColumn("log_norm", F.log("most") + 0.5 * F.log(square))
+    return long.withColumn("band", F.round(F.col("log_norm") / float(np.log(BAND))).cast("int")).drop("most")
+
+
 def _search(rows: DataFrame, queries: DataFrame, tables, d: int, salts: int, k: int, mass: float) -> DataFrame:
     """(query_id, vec_id, score): the k nearest of each visited bucket."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                buckets = tables.value.buckets(_matrix(batch.column(1), d))
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), t, np.int32)), pa.array(buckets[:, t]), batch.column(2), batch.column(0), batch.column(1)], ["t", "bucket", "salt", "vec_id", "v"])
+                band = batch.column(3).to_numpy()
+                for row, t, bucket in tables.value.deal(_matrix(batch.column(1), d), band):
+                    taken = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array((band[row] * TABLES + t).astype(np.int32)), pa.array(bucket), *(batch.column(c).take(taken) for c in (2, 0, 1))], ["t", "bucket", "salt", "vec_id", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for t, row, bucket in tables.value.probes(_matrix(part.column(1), d), mass):
+                for band, t, row, bucket in tables.value.probes(part.column(0).to_numpy(), _matrix(part.column(1), d), mass):
                     taken = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(bucket), part.column(0).take(taken), part.column(1).take(taken)], ["t", "bucket", "query_id", "q"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), band * TABLES + t, np.int32)), pa.array(bucket), part.column(0).take(taken), part.column(1).take(taken)], ["t", "bucket", "query_id", "q"])
 
     def meet(vectors: pa.Table, probes: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -138,7 +183,7 @@ def _search(rows: DataFrame, queries: DataFrame, tables, d: int, salts: int, k:
         found = nearest_in(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v"), d), probes.column("query_id").to_numpy(), _matrix(probes.column("q"), d), k)
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema)], schema=schema)
 
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
+    salted = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"), "band")
     dealt = salted.mapInArrow(deal, "t int, bucket long, salt int, vec_id long, v array<double>")
     probes = queries.select("vec_id", "v").mapInArrow(probe, "t int, bucket long, query_id long, q array<double>")
     probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -160,21 +205,24 @@ def nearest_neighbours(df: DataFrame, every: int = 20, k: int = 20, id_col: str
     in a result (with their best score), and a query of a repeated id is searched with each of its vectors.
     """
     rows = _usable(df, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square"))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
     top = sizes.orderBy(F.desc("n"), "d").first()
     if top is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     d, salts = top["d"], max(1, -(-top["n"] // ROWS_PER_SALT))
-    rows = rows.filter(F.size("v") == d)
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    tables = df.sparkSession.sparkContext.broadcast(Tables(d, float(np.sqrt(top["square"])) * (1 + 1e-12)))
+    rows = _banded(rows.filter(F.size("v") == d))
+    asked = F.col("vec_id") % every == 0
+    queries = rows.filter(asked)
+    bands = rows.groupBy("band").agg(F.count("*").alias("n"), F.count_if(asked).alias("asked")).collect()
+    longest = {r["vec_id"]: r["v"] for r in rows.orderBy(F.desc("log_norm"), "vec_id").select("vec_id", "v").limit(GUIDES).collect()}
+    guides = np.array(list(longest), np.int64), np.array(list(longest.values()), np.float64)
+    tables = df.sparkSession.sparkContext.broadcast(Tables(d, {r["band"]: r["n"] for r in bands}, sum(r["asked"] for r in bands), guides, k))
     found = checkpoint(_best(_search(rows, queries, tables, d, salts, k, mass), k))
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, top["ids"] - 1))
     lacking = queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti")
     if lacking.isEmpty():
         return found
 
-
     more = _exhaust(rows, lacking, d, max(salts, 8), k)
     return _best(found.select("query_id", "vec_id", "score").unionAll(more), k)
 

@@ -27,6 +27,30 @@ def test_neighbours(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def recall(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, n, hits = {}, len(x), 0
+    for r in ann.nearest_neighbours(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, n, 20))
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found & set(np.argsort(-s)[:20].tolist()))
+    return hits / (20 * len(got))
+
+
+def test_neighbours_of_uneven_norms(spark):
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(3000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    outlier = unit.copy()
+    outlier[7] *= 4
+    assert recall(spark, outlier) >= 0.9
+    assert recall(spark, unit * rng.lognormal(0, 0.5, size=(3000, 1))) >= 0.9
+    assert recall(spark, unit * rng.choice([1e-200, 1e-3, 1.0, 3.0], p=[0.1, 0.3, 0.5, 0.1], size=(3000, 1))) >= 0.9
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(20 * i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     assert ann.nearest_neighbours(df).groupBy("query_id").count().filter("count = 4").count() == 5
