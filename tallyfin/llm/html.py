@@ -5,8 +5,10 @@ often it occurs in each page of its host; tokens of one vector form an equivalen
 are never gathered: an exclusive-or over hashes of (page, count), aggregated partially before the
 shuffle, is a fingerprint of the vector, so a host with a third of all pages costs a few rows a task.
 Large classes that occur in nearly all pages of a host, once a page, are valid: by their paths their
-tokens nest, and together they are the host's template.  Of the template's slots the one that holds
-the varying text, outside menus, notices and the like, is the article; its blocks are the main text.
+tokens nest, and together they are the host's template.  A template's element whose own text is the
+same in all pages is fixed; all else outside menus, notices and the like is varying text.  The smallest
+element of the template that holds all varying text of the host is its slot.  Main text is all text of
+the slot and all varying text that single pages have outside it, so only fixed text and furniture go.
 Pages whose host has no such template, or that lack its slot, fall back on their own elements.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +45,8 @@ _WORD = re.compile(r"[a-z]+")
 
 #: Tokens of a valid class, and the share of a host's pages that it is in.
 CLASS_SIZE, SUPPORT = 3, 0.8
+#: Pages that a host needs for a text to count as fixed, share of them from which a path with varying text shapes the slot, and share of a page's text from which its article and main elements stand for it.
+FIXED_PAGES, COMMON, MAIN_SHARE = 5, 0.2, 0.5
 #: Hosts whose slots are broadcast at most; of more, pages meet their slots by a join that adaptive execution splits.
 MOST_HOSTS = 100_000
 
@@ -148,50 +153,57 @@ def host_of(url: str | None) -> str:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each element path of each page: host, page hash seed, path, count, characters of text inside."""
+    """A row for each element path of each page: host, page hash seed, path, count, hash of its own text that may be main text (null: none)."""
     for batch in batches:
-        hosts, pages, paths, counts, chars = [], [], [], [], []
+        hosts, pages, paths, counts, owns = [], [], [], [], []
         for page_id, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             found, opened = blocks(page.as_py() or "")
-            inside = dict.fromkeys(opened, 0)
+            texts: dict[str, list[str]] = {}
             for path, never, text in found:
-                while path and not never:
-                    inside[path] = inside.get(path, 0) + len(text)
-                    path = path.rpartition(">")[0]
+                if not never:
+                    texts.setdefault(path, []).append(text)
             host = host_of(url)
             for path, count in opened.items():
                 hosts.append(host)
                 pages.append(page_id)
                 paths.append(path)
                 counts.append(count)
-                chars.append(inside[path])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(chars, pa.int64())], ["host", "page", "path", "count", "chars"])
+                own = texts.get(path)
+                owns.append(own and int.from_bytes(blake2b("\n".join(own).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(paths, pa.string()), pa.array(counts, pa.int64()), pa.array(owns, pa.int64())], ["host", "page", "path", "count", "own"])
 
 
-def main_text(page: str, slot: str | None) -> str:
-    """Blocks of the template's slot; without it, of the page's article or main elements, or else of all its elements."""
+def main_text(page: str, slot: str | None, fixed: list[str] | None = None) -> str:
+    """Blocks of the template's slot and all outside it that are not fixed; without a slot, of the page's article and main elements if they hold half of its text, or else of all its elements."""
     found, opened = blocks(page)
-    kept = [text for path, never, text in found if slot is not None and not never and _inside(path, slot)]
-    if not kept and not (slot is not None and slot in opened):
-        inside = [(never, text) for path, never, text in found if any(step.split(".")[0] in MAIN or step.endswith(".main-role") for step in path.split(">"))]
-        kept = [text for never, text in inside if not never] if inside else [text for _, never, text in found if not never]
-    return "\n".join(kept)
+    free = [(path, text) for path, never, text in found if not never]
+    if slot is not None and slot in opened:
+        return "\n".join(text for path, text in free if _inside(path, slot) or path not in (fixed or ()))
+    inside = [text for path, text in free if any(step.split(".")[0] in MAIN or step.endswith(".main-role") for step in path.split(">"))]
+    whole = [text for _, text in free]
+    return "\n".join(inside if sum(map(len, inside)) >= MAIN_SHARE * sum(map(len, whole)) else whole)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot): the path of the article's element in each host that has a template.  pages: (page_id, url, html)."""
-    tokens = pages.mapInArrow(_tokens, "host string, page long, path string, count long, chars long")
-    vectors = tokens.groupBy("host", "path").agg(
-        F.count("*").alias("pages"), F.max("count").alias("most"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("page", "count")).alias("vector")
-    )
-    hosts = vectors.groupBy("host").agg(F.max("pages").alias("of"), F.max("chars").alias("all_chars"))
+    """(host, slot, fixed): of each host that has a template, the path of its slot and the paths of fixed text outside it (null: none).  pages: (page_id, url, html)."""
+    tokens = pages.mapInArrow(_tokens, "host string, page long, path string, count long, own long")
+    vectors = checkpoint(tokens.groupBy("host", "path").agg(
+        F.count("*").alias("pages"), F.max("count").alias("most"), F.count("own").alias("texts"), F.min("own").alias("low"), F.max("own").alias("high"), F.bit_xor(F.xxhash64("page", "count")).alias("vector")
+    ))
+    hosts = vectors.groupBy("host").agg(F.max("pages").alias("of"))
     classes = vectors.groupBy("host", "pages", "vector").agg(F.count("*").alias("size"))
-    valid = vectors.join(classes.filter(F.col("size") >= CLASS_SIZE), ["host", "pages", "vector"]).join(hosts, "host")
-    valid = valid.filter((F.col("most") == 1) & (F.col("pages") >= SUPPORT * F.col("of")) & (F.col("chars") > 0) & (F.col("of") > 1))
-    last = F.element_at(F.split("path", ">"), -1)
-    semantic = F.split(last, r"\.")[0].isin(*MAIN) | last.endswith(".main-role")
-    order = F.struct(semantic.alias("semantic"), (F.col("chars") >= 0.9 * F.col("all_chars")).alias("full"), F.length("path").alias("depth"), F.col("path").alias("path"))
-    return valid.groupBy("host").agg(F.max(order).alias("best")).select("host", F.col("best.path").alias("slot"))
+    known = vectors.join(classes, ["host", "pages", "vector"]).join(hosts, "host")
+    valid = (F.col("size") >= CLASS_SIZE) & (F.col("most") == 1) & (F.col("pages") >= SUPPORT * F.col("of")) & (F.col("of") > 1)
+    same = (F.col("of") >= FIXED_PAGES) & (F.col("texts") >= SUPPORT * F.col("of")) & F.coalesce(F.col("low") == F.col("high"), F.lit(False))
+    known = known.select("host", "path", "pages", "of", "texts", valid.alias("valid"), (valid & same).alias("same"))
+    varying = known.filter((F.col("texts") > 0) & (F.col("pages") >= COMMON * F.col("of")) & ~F.col("same"))
+    # all paths begin with what the first and the last in order have in common
+    ends = varying.groupBy("host").agg(F.min("path").alias("first"), F.max("path").alias("last"))
+    within = lambda path, outer: (path == outer) | path.startswith(F.concat(outer, F.lit(">")))
+    holds = known.filter("valid").join(ends, "host").filter(within(F.col("first"), F.col("path")) & within(F.col("last"), F.col("path")))
+    slots = holds.groupBy("host").agg(F.max(F.struct(F.length("path").alias("depth"), "path")).alias("best")).select("host", F.col("best.path").alias("slot"))
+    fixed = known.filter("same").join(slots, "host").filter(~within(F.col("path"), F.col("slot"))).groupBy("host").agg(F.collect_set("path").alias("fixed"))
+    return slots.join(fixed, "host", "left")
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -210,8 +222,8 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py() or "", slot) for page, slot in zip(batch.column(2), batch.column(3).to_pylist())]
+            texts = [main_text(page.as_py() or "", slot, fixed) for page, slot, fixed in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    out = found.select("page_id", "url", "html", "slot").mapInArrow(run, "page_id long, url string, text string")
+    out = found.select("page_id", "url", "html", "slot", "fixed").mapInArrow(run, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -83,3 +83,22 @@ def test_pages(spark):
     slots = {r.host: r.slot for r in html.templates(df.select("page_id", "url", "html")).collect()}
     assert slots["h1.example.com"] == "html>body>div.story"
     assert html.extract_pages(df.limit(0)).count() == 0
+
+
+def test_pages_keep_all_text(spark):
+    rng, rows = random.Random(3), []
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta omega".split()) + str(rng.randrange(99)) for _ in range(n))
+    want = {}
+    for i in range(60):
+        head, lead, body, item, odd = say(2), say(4), [say(60), say(60)], say(5), say(200)
+        paragraphs = "".join(f"<p>{p}</p>" for p in body)
+        menu = f"<nav>{say(2)}</nav><div class=x1><div class=x2>Skip to content</div></div>"
+        extra = f"<div class=odd>{odd}</div>" if i == 12 else ""
+        split = f"<div class=page><h1>{head}</h1><div class=lead>{lead}</div><div class=body><h2>Story</h2>{paragraphs}</div></div>{extra}"
+        featured = f"<div class=page><h1>{head}</h1><article>{item}</article><div class=body>{paragraphs}</div></div>"
+        rows.append((i, f"http://h{i % 2}.example.com/{i}", f"<html><body>{menu}{split if i % 2 == 0 else featured}<footer>{say(3)}</footer></body></html>"))
+        want[i] = "\n".join([head, lead, "Story", *body, *([odd] if extra else [])] if i % 2 == 0 else [head, item, *body])
+    rows.append((60, "http://lone.example.com", "<article>item</article><div>" + "word " * 50 + "</div>"))
+    want[60] = "item\n" + ("word " * 50).strip()
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
