@@ -32,9 +32,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: that of the least doc_id."""
-    gone = minhash.near_duplicates(docs, k=5, percent=80).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(*docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays: that of the least doc_id.
+
+    Of rows that repeat a doc_id with its text, one stays; rows of one doc_id with different texts
+    are one document and stay or go together.  A row with a null doc_id is compared like any other,
+    under an id made of its text that comes after all others (from 2**62 on); without words it stays.
+    """
+    made = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), made))
+    keyed = docs.withColumn("_key", key)
+    gone = minhash.near_duplicates(keyed, k=5, percent=80, id_col="_key").filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rest = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    again = checkpoint(keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1 and _key is not null").select(F.col("_key").alias("_again")))
+    if not again.isEmpty():  # few: only their texts are compared
+        same = F.col("_key") == F.col("_again")
+        rest = rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates(["_key", "text"]))
+    return rest.select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,11 @@ def test_pipeline(spark, frame, corpus, tmp_path):
             assert decontam.find_contamination(docs, spark.read.parquet(f"{d}/benchmark.parquet")).count() == 0
     assert sizes[0] < len(rows) and sizes[2] < sizes[1] and sizes[3] < sizes[2] == sizes[2] and sizes[4] == sizes[3]
     assert corpus_pipeline.run(spark, d).count() == sizes[-1]
+
+
+def test_near_stage_repeated_rows_and_null_ids(spark, frame):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, long + " end"), (3, other), (3, other), (3, "a third text"), (None, long + " more"), (None, "alone here"), (None, "alone here"), (None, ""), (None, None), (4, ""), (5, None)]
+    got = corpus_pipeline.near_stage(spark, frame(rows), "").select("doc_id", "text").collect()
+    want = [(1, long), (3, other), (3, "a third text"), (None, "alone here"), (None, ""), (None, None), (4, ""), (5, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
