@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tallyfin.llm import ann, html
 
@@ -80,8 +82,12 @@ def test_pages(spark):
         want = f"Head {i}\nOne & two three {i * i} four\n" + " ".join(["last", *["word"] * (i % 5)])
         assert texts[i] == want
     assert (texts[100], texts[101], texts[102], texts[103]) == ("", "", "only one", "yes")
-    slots = {r.host: r.slot for r in html.templates(df.select("page_id", "url", "html")).collect()}
-    assert slots["h1.example.com"] == "html>body>div.story"
+    found = {r.host: r.template for r in html.templates(df.select(html.host_of(F.col("url")).alias("host"), "html")).collect()}
+    assert set(found) == {f"h{k}.example.com" for k in range(3)}
+    tokens, texts = html.parse(rows[1][2])
+    place = {t & (1 << 64) - 1: k for k, t in enumerate(found["h1.example.com"])}
+    held = [place[t] for t in tokens if t in place]
+    assert held == sorted(held) and len(held) >= 8  # html, body, nav, div.ad, div.story, h1, ... in order
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
@@ -102,3 +108,60 @@ def test_pages_keep_all_text(spark):
     want[60] = "item\n" + ("word " * 50).strip()
     got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+def test_template_words_are_left_out(spark):
+    """Constant text outside any marked furniture goes by the template alone; without it, it would stay."""
+    rng, rows, want = random.Random(8), [], {}
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta omega".split()) + str(rng.randrange(99)) for _ in range(n))
+    for i in range(20):
+        head, body, ad = say(3), [say(9), say(8)], "" if i % 2 else "<span class='x advert'>BUY NOW</span>"
+        rows.append((i, "http://h.example.com/" + str(i), f"<body><div class=page><div>Site name</div><h1>{head}</h1><h2>Story</h2><p>{body[0]}{ad}</p><p>Share this text</p><p title='hidden gem'>{body[1]}</p><div>A legal line on <b>every</b> page</div></div></body>"))
+        want[i] = "\n".join([head, "Story", *body])
+    rows += [(20, rows[0][1], rows[0][2])] * 3  # repeated rows
+    want[20] = want[0]
+    rows.append((21, "http://h.example.com/none", "<body><div class=page><div>Site name</div></div></body>"))
+    want[21] = "Site name"  # nothing in the slots: the page's own text
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract_pages(df).collect()} == want
+    assert "Site name" in [t for _, t in html.slots(rows[0][2], None)]
+
+
+def test_vectors_by_brute_force(spark):
+    rng, rows = random.Random(9), []
+    for i in range(30):
+        site = "<main>site</main>" if i % 5 else ""
+        rows.append((f"h{i % 2}", site + "".join(f"<{rng.choice(['p', 'div', 'ul'])}>{rng.choice('abc')}" for _ in range(rng.randrange(9)))))
+    rows += rows[:3] + [("h0", None), ("h0", "")]
+    vectors, of = {}, {}
+    for k, (host, page) in enumerate(rows):
+        tokens = html.parse(page or "")[0]
+        of[host] = of.get(host, 0) + 1
+        for t in set(tokens):
+            if tokens.count(t) == 1:
+                vectors.setdefault((host, t), []).append(k)
+    classes = {}
+    for (host, t), pages in vectors.items():
+        if len(pages) >= 0.3 * of[host]:
+            classes.setdefault((host, tuple(pages)), set()).add(t)
+    want = {(host, frozenset(c)) for (host, _), c in classes.items() if len(c) >= 2}
+    out = next(html._tokens(iter([pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows]), pa.array([p for _, p in rows])], ["host", "html"])]))).to_pylist()
+    assert {(r["host"], r["pages"]) for r in out if r["token"] == html.PAGE} == set(of.items())
+    got = {}
+    for r in out:
+        if r["token"] != html.PAGE and r["pages"] >= 0.3 * of[r["host"]]:
+            got.setdefault((r["host"], r["pages"], r["a"], r["b"]), set()).add(r["token"] & (1 << 64) - 1)
+    assert want == {(k[0], frozenset(c)) for k, c in got.items() if len(c) >= 2} and want
+
+
+def test_classes_nest_by_position():
+    outer, inner, cut = (10, [(0, 1), (5, 2), (9, 3)]), (9, [(6, 4), (7, 5)]), (8, [(4, 6), (6.5, 7)])
+    assert html.nest([cut, inner, outer]) == [1, 2, 4, 5, 3]
+
+
+def test_very_deep_and_odd_markup():
+    page = "<div class=a>" * 100_000 + "deep" + "</b></div>" * 100_000 + "<p>end"
+    assert [t for _, t in html.slots(page, None)] == ["deep", "end"]
+    assert [t for _, t in html.slots("<p>a<!-- x > -- y --><b title='>'>b</b> &lt;c&gt;<p>" + "<a =\"" * 50_000, None)] == ["ab <c>"]
+    assert [t for _, t in html.slots("1 < 2 <3<br/>x</nope>y<td>z<span class=ad>no<div>no</div></span>!", None)] == ["1 < 2 <3 xy", "z !"]
+    assert html.slots("<" * 100_000, None) and html.slots("<!--" * 50_000, None) == []
