@@ -114,7 +114,7 @@ def parse(page: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
     """
     tokens: list[int] = []
     found: list[tuple[int, str, bool, bool]] = []
-    stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 1, False, False, False, False)]  # name, path, never, main, heading, inside a block
+    stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 1, False, False, False, False)]  # name, path, never, main, heading, is or is in an element inside a block
     opened: dict[str, int] = {}
     parts: list[str] = []
 
@@ -144,7 +144,7 @@ def parse(page: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
             name, attributes, ends = m[1], m[2], False
             if name is None or name.lower() not in RAW:
                 continue
-            if not attributes.endswith("/") and parts:
+            if parts and not top[5] and not attributes.endswith("/"):
                 flush()
             continue
         name, attributes, ends = name.lower(), m[5], bool(m[3])
@@ -155,9 +155,10 @@ def parse(page: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
             elif not top[2]:
                 parts.append(" ")
         elif ends:
-            if name not in INLINE and parts:
+            known = opened.get(name)
+            if parts and name not in INLINE and not top[5] and (known or name in CLOSED_BY):
                 flush()
-            if opened.get(name):
+            if known:
                 k = len(stack) - 1
                 while stack[k][0] != name:
                     k -= 1
@@ -169,7 +170,7 @@ def parse(page: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
                 stack.append((name, top[1], True, top[3], top[4], True))
                 opened[name] = opened.get(name, 0) + 1
         else:
-            if parts:
+            if parts and not top[5]:
                 flush()
             while True:
                 k = len(stack) - 1
@@ -177,13 +178,15 @@ def parse(page: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
                     k -= 1
                 if name not in CLOSED_BY.get(stack[k][0], ()):
                     break
+                if parts:
+                    flush()
                 close(k)
             top = stack[-1]
             step, never, main = _element(name, attributes)
             path = _join(top[1], step)
             tokens.append(path)
             if not attributes.endswith("/"):
-                stack.append((name, path, never or top[2], main or top[3], name in HEADINGS or top[4], False))
+                stack.append((name, path, never or top[2], main or top[3], name in HEADINGS or top[4], top[5]))
                 opened[name] = opened.get(name, 0) + 1
     if at < len(page) and not stack[-1][2]:
         parts.append(page[at:])
