@@ -195,3 +195,56 @@ def test_interactions_by_squares():
     slots, x = np.array([1, 4, 9, 20]), np.array([0.5, 1.0, -2.0, 0.25])
     pairs = sum(m.v[a] @ m.v[b] * x[i] * x[j] for i, a in enumerate(slots) for j, b in enumerate(slots) if i < j)
     assert m.margin(slots, x)[0] == pytest.approx(0.2 + m.w[slots] @ x + pairs)
+
+
+def test_personal_data_beyond_the_base(frame):
+    """Learned contexts add keys, numbers in brackets and addresses without a dot, whole; the same shapes elsewhere stay."""
+    rows = [(k, f'x token = "{"%040x" % (0xABCDEF0123456789 * (k + 3) ** 9 % (1 << 160) | 0xA << 156)}" y call me: +49 30 55{k}1234 now, write to: u{k}@m{k}.example.com.') for k in range(6)]
+    rows += [(20, 'x token = "ZZ-9911-xy77" y'), (21, "call me: (555) 123-4567, now"), (22, "write to: root@intranet."), (23, "call me: 030 123 4567 now")]
+    rows += [(30, 'version = "ZZ-9911-xy78" y'), (31, "rows (555) 123-4568, now"), (32, "see root@intranets."), (33, "1 of 030 123 4568 now")]
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(frame(rows)).collect()}
+    text = dict(rows)
+    said = {i: [(s.split(":")[0], text[i][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in v.split(",") if s] for i, v in spans.items()}
+    assert said[20] == [("secret", "ZZ-9911-xy77")] and said[21] == [("phone", "(555) 123-4567")] and said[22] == [("email", "root@intranet")] and said[23] == [("phone", "030 123 4567")]
+    assert [k for k, _ in said[3]] == ["email", "phone", "secret"] and all(said[i] == [] for i in (30, 31, 32, 33))
+
+
+def test_scores_by_brute_force(spark):
+    import random
+    from math import prod
+
+    rng = random.Random(4)
+    mentions = [(rng.choice(["email", "phone", "secret", None, None]), f"i{rng.randrange(25)}", f"c{rng.randrange(8) ** 2 % 11}") for _ in range(400)]
+    mentions += [("email", f"e{k}", "ca") for k in range(9)] + [(None, "new", "ca"), (None, "new", "c0"), ("phone", "p", "ca"), ("phone", "p", "cb"), (None, "other", "cb")]
+    weight = Counter(mentions)
+    learned, accepted = Counter(), None
+    for _ in range(pii.TURNS):
+        seeds = {(c, k): len({i for kk, i, cc in weight if (kk, cc) == (k, c)}) for k, _, c in weight if k}
+        precision = {}
+        for c, k in seeds:
+            mass = sum(n for (kk, _, cc), n in weight.items() if (kk, cc) == (k, c)) + learned[c, k]
+            share = mass / sum(n for (_, _, cc), n in weight.items() if cc == c)
+            if seeds[c, k] >= pii.SEEDS and share >= (pii.PRECISION if accepted is not None else pii.PRECISION / 2):
+                precision[c, k] = share
+        reached = [(i, c, n, kk) for (k, i, c), n in weight.items() if k in (None, "secret") for cc, kk in precision if cc == c]
+        accepted = {(i, k): 1 - prod(max(1e-9, 1 - precision[c, k]) for ii, c, _, kk in reached if (ii, kk) == (i, k)) for i, _, _, k in reached}
+        learned = Counter()
+        for i, c, n, k in reached:
+            learned[c, k] += n * accepted[i, k]
+    best = {}
+    for (i, k), v in accepted.items():
+        if v >= pii.PRECISION:
+            best[i] = max(best.get(i, (0, "")), (v, k))
+    got = {r.instance: r.kind for r in pii._discover(spark.createDataFrame(mentions, "kind string, instance string, context string")).collect()}
+    assert got == {i: k for i, (_, k) in best.items()} and got["new"] == "email" and "other" not in got
+
+
+def test_personal_data_in_a_long_text(frame):
+    """More matches than a run holds, in time linear in the text."""
+    import time
+
+    text = " ".join(f"é 10.0.{k % 256}.{k % 199} a{k}@b.cd;" for k in range(30_000))
+    start = time.monotonic()
+    row = pii.find_personal_data(frame([(1, text)])).collect()[0]
+    want = [f"{kind}:{m.start()}:{m.end()}" for kind, e in (("email", r"a[0-9]+@b\.cd"), ("ip", r"10\.0\.[0-9.]+")) for m in re.finditer(e, text)]
+    assert row.n_ip == row.n_email == 30_000 and row.spans == ",".join(want) and time.monotonic() - start < 60
