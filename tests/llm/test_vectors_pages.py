@@ -53,6 +53,25 @@ def test_neighbours_of_uneven_norms(spark):
     assert recall(spark, unit * rng.choice([1e-200, 1e-3, 1.0, 3.0], p=[0.1, 0.3, 0.5, 0.1], size=(3000, 1))) >= 0.9
 
 
+def test_clustered_vectors_score_few(spark, monkeypatch):
+    """On clusters at most a third of a scan's inner products, with the recall held; heavy buckets split by salts give the same."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(100, 64))[rng.integers(0, 100, 5000)] + 0.4 * rng.normal(size=(5000, 64))
+    assert recall(spark, x) >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.scored_share(df) <= 1 / 3
+    plain = sorted(map(tuple, ann.nearest_neighbours(df).collect()))
+    monkeypatch.setattr(ann, "ROWS_PER_SALT", 40)
+    assert sorted(map(tuple, ann.nearest_neighbours(df).collect())) == plain
+
+
+def test_vectors_without_structure(spark):
+    """No more inner products than a scan, and the recall held."""
+    x = np.random.default_rng(7).normal(size=(4000, 64))
+    assert recall(spark, x) >= 0.9
+    assert ann.scored_share(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")) <= 1
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(20 * i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     assert ann.nearest_neighbours(df).groupBy("query_id").count().filter("count = 4").count() == 5
