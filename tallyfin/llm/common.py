@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass handles; a longer single text makes a pass of its own.
 PIECE_BYTES = 1 << 20
 
+#: Share of all rows from which a key counts as hot.
+HOT = 10_000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -36,10 +39,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where there is none, a folder of this session's own (local tests)."""
+    """Use the cluster's spark.checkpoint.dir; only a local master without it (as in tests) gets a folder of this session's own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyfin-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyfin-ckpt-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -47,6 +53,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows with the other columns of their key in ``keyed`` (one row a key, with its number of rows as n; n is left out).
+
+    Keys with more than one in HOT of all ``total`` rows are at most HOT and go by broadcast; the rest
+    is joined by a shuffle in which no key is more than that share of the rows.
+    """
+    hot_from = max(1, total // HOT)
+    hot = F.broadcast(keyed.filter(F.col("n") > hot_from).drop("n"))
+    cold = keyed.filter(F.col("n") <= hot_from).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (splitmix64)."""
     x = (x ^ (x >> _S30)) * _M1

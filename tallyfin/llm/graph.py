@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is one grouped minimum (partially aggregated before its shuffle) and one join that
-adaptive execution may split, so a hub with very many edges is no task's own burden.  Lineage is cut
+broadcasts the hubs, so a node with very many edges is no task's own burden.  Lineage is cut
 by a reliable checkpoint after each round; nothing is collected but a count and a checksum.
 """
 
@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfin.llm.common import checkpoint
+from tallyfin.llm.common import checkpoint, join_counted
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """edges (u, v) with u > v.  Large star: each node's larger neighbours meet its least; small star: its smaller ones do."""
     if large:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
     else:
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    met = both.join(least, "x")
+    least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+    met = join_counted(both, least, ["x"], 2 * total)
     if large:
         out = met.filter(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v"))
     else:
@@ -41,6 +41,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if sums["n"] == 0 or (sums["n"], sums["s"]) == before:
             break
         before = (sums["n"], sums["s"])
-        now = checkpoint(_star(_star(now, True), False))
+        now = checkpoint(_star(_star(now, True, before[0]), False, before[0]))
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))

@@ -11,12 +11,13 @@ of ROWS coordinates give bucket keys; a pair at similarity 0.8 shares no bucket
 (1 - 0.8**4)**32 < 5e-8.  No bucket is expanded into its pairs: each member meets the bucket's least
 one, and the components of these edges are candidate clusters that hold every candidate pair.
 
-Verification: a cluster is dealt into blocks of bounded weight (shingles and documents), and each pair
-of blocks compares all its documents on their full sets at once: shared shingles are counted by a
+Verification: a cluster is dealt into blocks of bounded weight (shingles and documents), by the least
+band key of a document, which near copies tend to share.  Each block, and each pair of blocks that
+share a bucket, compares all its documents on their full sets at once: shared shingles are counted by a
 matrix product for frequent shingles and by their few pairs for rare ones.  A pair of blocks returns
 a spanning forest of its links, never all of them.  Components of the links are the groups.  So the
 result is exact on every candidate pair, with no cap, and a group of thousands of copies costs one or
-a few blocks; a cluster of b blocks costs b * (b + 1) / 2 block comparisons.
+a few blocks.  A bucket that b blocks of one cluster share still costs b * (b - 1) / 2 comparisons.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfin.llm.common import checkpoint, clean_ids, mix, shingle_sets, text_pieces
+from tallyfin.llm.common import checkpoint, clean_ids, join_counted, mix, shingle_sets, text_pieces
 from tallyfin.llm.graph import components
 
 BINS, BANDS, ROWS = 128, 32, 4
@@ -83,8 +84,8 @@ def _sketches(k: int):
                     else:
                         keys.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "keys"],
+                    [batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "mark", "n_shingles", "digest", "keys"],
                 )
 
     return run
@@ -175,21 +176,40 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _blocks(classes: DataFrame) -> DataFrame:
+    """classes (cluster, rep, mark, weight, keys) with their block ``at``.
+
+    A cluster is dealt by its classes' least band key, which near copies tend to share, and what
+    is still too heavy by a hash.
+    """
+    size = classes.groupBy("cluster").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("long").alias("groups"))
+    grouped = classes.join(size, "cluster").withColumn("group", F.pmod(F.xxhash64(F.array_min("keys")), F.col("groups")))
+    parts = grouped.groupBy("cluster", "group").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("long").alias("parts"))
+    return grouped.join(parts, ["cluster", "group"]).withColumn("at", F.shiftleft("group", 24) + F.pmod(F.xxhash64("rep", "mark"), F.col("parts")))
+
+
 def link_classes(sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) over class representatives.  sketches: (rep, n_shingles, keys), one row a class."""
+    """(a, b) over class representatives.  sketches: (rep, mark, n_shingles, keys), one row a class; docs: (rep, mark, text), whose rows may repeat.
+
+    Two blocks of a cluster are compared only if they share a bucket.
+    """
     keyed = sketches.select("rep", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter(F.col("first") < F.col("last")).select("key", "first")
-    stars = keyed.join(least, "key").filter(F.col("rep") > F.col("first")).select("rep", "first").distinct()
-    clusters = checkpoint(components(stars, "rep", "first"))
-    weighed = sketches.select("rep", (F.col("n_shingles") + DOC_WEIGHT).alias("weight")).join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
-    blocks = weighed.groupBy("cluster").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("int").alias("blocks"))
-    placed = weighed.join(blocks, "cluster").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = placed.select("cluster", "rep", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("cluster", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") <= F.col("other"), 0).otherwise(1).alias("side"), "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(clusters.select(F.col("node").alias("rep")), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
-    rows = met.join(texts, "rep").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = rows.select("cluster", "i", "j", "side", "rep", "text").mapInArrow(_verify(k, percent), "a long, b long")
-    return components(links)
+    least = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n")).filter(F.col("first") < F.col("last"))
+    least = checkpoint(least.select("key", "first", "n"))
+    shared = int(least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    stars = join_counted(keyed, least, ["key"], shared).filter(F.col("rep") > F.col("first")).select("rep", "first").distinct()
+    clusters = components(stars, "rep", "first").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    classes = sketches.select("rep", "mark", (F.col("n_shingles") + DOC_WEIGHT).alias("weight"), "keys").join(clusters, "rep")
+    placed = checkpoint(_blocks(classes).select("cluster", "groups", "rep", "mark", "keys", "at"))
+    inside = placed.select("cluster", F.col("at").alias("i"), F.col("at").alias("j"), F.lit(0).alias("side"), "rep", "mark")
+    held = placed.filter("groups > 1").select("cluster", "at", F.explode("keys").alias("key")).groupBy("cluster", "key").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    pairs = F.flatten(F.transform("ats", lambda i, n: F.transform(F.slice("ats", n + 2, F.greatest(F.size("ats") - n - 1, F.lit(0))), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    pairs = held.filter(F.size("ats") > 1).select("cluster", F.explode(pairs).alias("p")).select("cluster", "p.i", "p.j").distinct()
+    ends = pairs.select("cluster", F.col("i").alias("at"), "i", "j", F.lit(0).alias("side")).unionByName(pairs.select("cluster", F.col("j").alias("at"), "i", "j", F.lit(1).alias("side")))
+    across = placed.join(ends, ["cluster", "at"]).select("cluster", "i", "j", "side", "rep", "mark")
+    texts = docs.join(placed.select("rep", "mark"), ["rep", "mark"], "left_semi").groupBy("rep", "mark").agg(F.min("text").alias("text"))
+    rows = inside.unionByName(across).join(texts, ["rep", "mark"]).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return rows.select("cluster", "i", "j", "side", "rep", "text").mapInArrow(_verify(k, percent), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,14 +219,24 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     lower-cased; fewer than k words: all of them as one).  Texts are linked if 100 * intersection
     >= percent * union; component_id is the least doc_id reachable, kept is doc_id = component_id.
     Null, empty and wordless texts have no set and no link.  Repeated rows of one doc_id are one
-    node with each row's links (their texts are compared by the least one).  A null doc_id gets null for component_id and kept.
+    node with the links of each row's text.  A null doc_id gets null for component_id and kept.
     """
-    docs = clean_ids(df, id_col, text_col)
-    made = checkpoint(docs.mapInArrow(_sketches(k), "doc_id long, n_shingles long, digest binary, keys array<long>"))
-    classes = made.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = made.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    heads = made.filter("digest is not null and doc_id is not null").join(classes, "digest", "left").filter("doc_id = rep").groupBy("rep", "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
-    linked = link_classes(checkpoint(heads.select("rep", "n_shingles", "keys")), docs, k, percent)
-    out = member.join(linked.select(F.col("node").alias("rep"), F.col("component").alias("component")), "rep", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    docs = clean_ids(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))  # tells repeated ids apart
+    made = checkpoint(docs.mapInArrow(_sketches(k), "doc_id long, mark long, n_shingles long, digest binary, keys array<long>"))
+    known = made.filter("digest is not null and doc_id is not null")
+    classes = known.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("head"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    classes = checkpoint(classes.select(F.col("head.doc_id").alias("rep"), "head.mark", "digest", "n", "n_shingles", "keys"))
+    total = made.count()
+    member = join_counted(known.select("doc_id", "n_shingles", "digest"), classes.select("digest", "rep", "n"), ["digest"], total).drop("digest")
+    member = checkpoint(member.unionByName(made.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))))
+    texts = docs.join(classes.select(F.col("rep").alias("doc_id"), "mark"), ["doc_id", "mark"], "left_semi")
+    links = link_classes(classes.select("rep", "mark", "n_shingles", "keys"), texts.select(F.col("doc_id").alias("rep"), "mark", "text"), k, percent)
+    # a document of several classes links them
+    owned = member.filter("doc_id is not null")
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).filter("low < high").select("doc_id", "n")
+    links = links.unionByName(join_counted(owned, several, ["doc_id"], total).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    linked = components(links)
+    counts = owned.groupBy("rep").agg(F.count("*").alias("n"))
+    keyed = counts.join(linked, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component_id"), "n")
+    out = join_counted(owned, checkpoint(keyed), ["rep"], total).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(member.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("boolean").alias("kept")))
