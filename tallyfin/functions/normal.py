@@ -22,12 +22,27 @@ def standard_density(z: float) -> float:
     return NormalDist().pdf(z)
 
 
+#: Acklam's rational approximation of the normal quantile, for the middle and the tails.
+MIDDLE = ((-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0))
+TAIL = ((-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0))
+TAIL_FROM = 0.02425
+
+
+def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
 def quantile_column(p: Column) -> Column:
-    """Inverse of the normal distribution function per row by a rational approximation (error under 5e-4); null outside (0, 1)."""
-    q = F.when(p < 0.5, p).otherwise(1 - p)
-    t = F.sqrt(-2 * F.ln(F.when((q > 0), q)))
-    start = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
-    return F.when(p < 0.5, -start).otherwise(start)
+    """Inverse of the normal distribution function per row (relative error under 1.2e-9); null outside (0, 1)."""
+    q = p - 0.5
+    middle = q * _polynomial(MIDDLE[0], q * q) / _polynomial(MIDDLE[1], q * q)
+    t = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    tail = _polynomial(TAIL[0], t) / _polynomial(TAIL[1], t)
+    inside = F.when(F.least(p, 1 - p) >= TAIL_FROM, middle).when(p < 0.5, tail).otherwise(-tail)
+    return F.when((p > 0) & (p < 1), inside)
 
 
 def uniform(*key: Column | str) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import exp, factorial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfin.functions import normal
-from tallyfin.functions.series import ordered
+from tallyfin.functions.series import ordered, simple_return
 from tallyfin.operators.risk import check_confidence, historical
 
 
+#: Cumulative probabilities of a Poisson(1) draw, as far as a double tells them from 1.
+POISSON = tuple(p for k in range(30) if (p := sum(exp(-1) / factorial(j) for j in range(k + 1))) < 1 - 2**-53)
+
+
 def differenced(df: DataFrame, value: str = "close", order: str = "ts", keys: str = "ticker") -> DataFrame:
     """(keys, order, diff): first differences."""
     return df.select(keys, order, (F.col(value) - F.lag(value).over(ordered(keys, order))).alias("diff")).filter("diff is not null")
@@ -66,8 +72,9 @@ def bootstrap_cvar(rets: DataFrame, samples: int = 100, confidence: float = 0.95
     """
     check_confidence(confidence)
     u = normal.uniform(F.lit("boot"), keys, order, "sample")
-    # Poisson(1): cumulative probabilities of 0 to 4 copies
-    weight = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
+    weight = F.lit(0)
+    for p in POISSON:
+        weight = weight + F.when(u >= p, 1).otherwise(0)
     drawn = rets.select(keys, order, "ret", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
     copies = drawn.withColumn("w", weight).filter("w > 0").select(keys, "sample", F.explode(F.array_repeat("ret", F.col("w"))).alias("ret"))
     return historical(copies, confidence, (keys, "sample")).groupBy(keys).agg(F.avg("cvar").alias("mean_cvar"), F.stddev_samp("cvar").alias("std_cvar"))
@@ -80,3 +87,59 @@ def sentiment_features(scores: DataFrame, window: int = 5, lags: tuple[int, ...]
     positive, negative = (F.sum(F.when(c, 1).otherwise(0)).over(frame) for c in (F.col("score") > 0, F.col("score") < 0))
     moving = F.when(F.count("score").over(frame) >= window, F.avg("score").over(frame))
     return scores.select(keys, order, "score", moving.alias("moving"), F.try_divide(positive, negative).alias("ratio"), *(F.lag("score", k).over(w).alias(f"score_lag{k}") for k in lags))
+
+
+def breusch_pagan(df: DataFrame, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """(keys, n, lm): observations times the R squared of squared residuals on the value before; residuals are of the line on that value."""
+    made = df.select(keys, order, F.col(value).alias("y")).withColumn("x", F.lag("y").over(ordered(keys, order))).filter("x is not null")
+    line = made.groupBy(keys).agg(F.regr_slope("y", "x").alias("_b"), F.regr_intercept("y", "x").alias("_a"))
+    squared = made.join(line, keys).withColumn("e2", F.pow(F.col("y") - F.col("_a") - F.col("_b") * F.col("x"), F.lit(2.0)))
+    return squared.groupBy(keys).agg(F.count("*").alias("n"), (F.count("*") * F.regr_r2("e2", "x")).alias("lm"))
+
+
+def phillips_perron(df: DataFrame, lags: int = 5, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """(keys, n, t): the Dickey-Fuller t with a constant, corrected by the long-run variance of the residuals (Bartlett weights)."""
+    made = df.select(keys, order, F.col(value).alias("y")).withColumn("x", F.lag("y").over(ordered(keys, order))).filter("x is not null")
+    fit = made.groupBy(keys).agg(F.regr_slope("y", "x").alias("_b"), F.regr_intercept("y", "x").alias("_a"), F.regr_sxx("y", "x").alias("_sxx"), F.count("*").alias("n"))
+    resid = made.join(fit, keys).withColumn("u", F.col("y") - F.col("_a") - F.col("_b") * F.col("x"))
+    w = ordered(keys, order)
+    products = resid.select(keys, "_b", "_sxx", "n", "u", *((F.col("u") * F.lag("u", k).over(w)).alias(f"p{k}") for k in range(1, lags + 1)))
+    sums = products.groupBy(keys, "_b", "_sxx", "n").agg(F.sum(F.col("u") * F.col("u")).alias("_uu"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"_{k}") for k in range(1, lags + 1)))
+    short = F.col("_uu") / F.col("n")
+    long = short
+    for k in range(1, lags + 1):
+        long = long + 2 * (1 - k / (lags + 1)) * F.col(f"_{k}") / F.col("n")
+    s2 = F.col("_uu") / (F.col("n") - 2)
+    error = F.sqrt(s2 / F.col("_sxx"))
+    n = F.col("n").cast("double")
+    t = (F.col("_b") - 1) / error * F.sqrt(short / long) - (long - short) * n * error / (2 * F.sqrt(long) * F.sqrt(s2))
+    return sums.select(keys, "n", t.alias("t"))
+
+
+def seasonally_adjusted(df: DataFrame, season: Column, value: str = "close", order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """(keys, order, adjusted): the value less its season's mean, plus the series' mean."""
+    of_season, whole = Window.partitionBy(keys, "_season"), Window.partitionBy(keys)
+    made = df.select(keys, order, F.col(value).alias("_y"), season.alias("_season"))
+    return made.select(keys, order, (F.col("_y") - F.avg("_y").over(of_season) + F.avg("_y").over(whole)).alias("adjusted"))
+
+
+def illiquidity(bars: DataFrame, order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """(keys, days, illiquidity): the mean of absolute returns over the money traded (close times volume)."""
+    ret = F.abs(simple_return(F.col("close"), ordered(keys, order)))
+    made = bars.select(keys, F.try_divide(ret, F.col("close") * F.col("volume")).alias("i")).filter("i is not null")
+    return made.groupBy(keys).agg(F.count("*").alias("days"), F.avg("i").alias("illiquidity"))
+
+
+def factor_exposure(rets: DataFrame, factor: DataFrame, order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """(keys, n, alpha, beta, r2, specific): returns on a factor's at the same times, and the deviation that it leaves unexplained.  factor: (order, ret)."""
+    met = rets.select(keys, order, F.col("ret").alias("y")).join(factor.select(order, F.col("ret").alias("x")), order)
+    fit = met.groupBy(keys).agg(F.count("*").alias("n"), F.regr_intercept("y", "x").alias("alpha"), F.regr_slope("y", "x").alias("beta"), F.regr_r2("y", "x").alias("r2"), F.stddev_samp("y").alias("_sd"))
+    return fit.select(keys, "n", "alpha", "beta", "r2", (F.col("_sd") * F.sqrt(1 - F.col("r2"))).alias("specific"))
+
+
+def tail_index(rets: DataFrame, share: float = 0.1, keys: str = "ticker") -> DataFrame:
+    """(keys, threshold, n, hill, mean_excess): losses over the quantile of ``share``: Hill's index (of positive thresholds) and the mean excess."""
+    losses = rets.select(keys, (-F.col("ret")).alias("loss")).withColumn("threshold", F.percentile("loss", F.lit(1 - share)).over(Window.partitionBy(keys)))
+    over = losses.filter(F.col("loss") > F.col("threshold"))
+    index = F.try_divide(F.lit(1.0), F.avg(F.when(F.col("threshold") > 0, F.ln(F.col("loss") / F.col("threshold")))))
+    return over.groupBy(keys, "threshold").agg(F.count("*").alias("n"), index.alias("hill"), F.avg(F.col("loss") - F.col("threshold")).alias("mean_excess"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import pi, sqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfin.functions import normal
+from tallyfin.functions.scan import scan
 from tallyfin.functions.series import ordered
 
 #: Least observations for a GARCH fit, forecast steps.
@@ -45,9 +49,10 @@ def posterior_grid(post: DataFrame, points: int = 1000, keys: str = "ticker") ->
 
 
 def ou_fit(bars: DataFrame, periods_per_year: int = 252, price: str = "close", order: str = "ts", keys: str = "ticker") -> DataFrame:
-    """(keys, x0, slope, intercept, theta, mu, sigma): an autoregression of the log price; theta = -ln(slope) * periods a year, null for a slope of 0 or less.
+    """(keys, x0, slope, intercept, theta, theta_euler, mu, sigma): an autoregression of the log price; theta = -ln(slope) * periods a year, null for a slope of 0 or less.
 
-    mu and sigma are the log return's mean and population deviation.
+    theta_euler = (1 - slope) * periods a year is the rate of Euler steps of that length, which
+    reproduce the autoregression and so are stable for any slope within 1 either way.  mu and sigma are the log return's mean and population deviation.
     """
     w = ordered(keys, order)
     made = bars.select(keys, order, F.ln(price).alias("y")).withColumn("x", F.lag("y").over(w)).withColumn("r", F.col("y") - F.col("x"))
@@ -55,7 +60,7 @@ def ou_fit(bars: DataFrame, periods_per_year: int = 252, price: str = "close", o
         F.max_by("y", order).alias("x0"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.avg("r").alias("mu"), F.stddev_pop("r").alias("sigma")
     )
     theta = F.when(F.col("slope") > 0, -F.ln("slope") * periods_per_year)
-    return fit.select(keys, "x0", "slope", "intercept", theta.alias("theta"), "mu", "sigma")
+    return fit.select(keys, "x0", "slope", "intercept", theta.alias("theta"), ((1 - F.col("slope")) * periods_per_year).alias("theta_euler"), "mu", "sigma")
 
 
 def dickey_fuller(df: DataFrame, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
@@ -70,6 +75,45 @@ def dickey_fuller(df: DataFrame, value: str = "ret", order: str = "ts", keys: st
     return fit.select(keys, "n", "gamma", F.try_divide(F.col("gamma"), error).alias("t"))
 
 
+#: MacKinnon's response surfaces (2010) of the test with a constant, in powers of 1 / n.
+CRITICAL = {"1%": (-3.43035, -6.5393, -16.786, -79.433), "5%": (-2.86154, -2.8903, -4.234, -40.040), "10%": (-2.56677, -1.5384, -2.809, 0.0)}
+
+
+def critical_value(level: str, n: int) -> float:
+    return sum(c / n**k for k, c in enumerate(CRITICAL[level]))
+
+
+def _augmented(y: np.ndarray, lags: int, skip: int) -> tuple[float, float, int]:
+    """t of the level, Akaike's criterion, and the observations, of changes on the level before, a constant and ``lags`` changes; the first ``skip`` changes are left out."""
+    d = np.diff(y)
+    x = np.column_stack([y[skip:-1], *(d[skip - k : len(d) - k] for k in range(1, lags + 1)), np.ones(len(d) - skip)])
+    b, *_ = np.linalg.lstsq(x, d[skip:], rcond=None)
+    e = d[skip:] - x @ b
+    n, k = x.shape
+    error = np.sqrt(e @ e / (n - k) * np.linalg.pinv(x.T @ x)[0, 0])
+    return float(b[0] / error) if error else np.nan, float(n * np.log(max(e @ e, 1e-300) / n) + 2 * k), n
+
+
+def augmented_dickey_fuller(df: DataFrame, lags: int | None = None, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """(keys, n, lags, t, crit_1, crit_5, crit_10): the test with a constant and lagged changes.
+
+    Without ``lags`` Akaike's criterion chooses among 0 to 12 (n / 100) ** 0.25, all judged on the same
+    rows.  Series too short for their lags are left out.  A series is one task's work.
+    """
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = [keys, "n", "lags", "t", "crit_1", "crit_5", "crit_10"]
+        y = pdf.sort_values(order)[value].dropna().to_numpy(float)
+        most = lags if lags is not None else max(0, min(int(np.ceil(12 * (len(y) / 100) ** 0.25)), len(y) // 2 - 3))
+        if len(y) < 2 * most + 5:
+            return pd.DataFrame(columns=columns)
+        chosen = most if lags is not None else min(range(most + 1), key=lambda k: _augmented(y, k, most)[1])
+        t, _, n = _augmented(y, chosen, chosen)
+        return pd.DataFrame([[pdf[keys].iloc[0], n, chosen, t, *(critical_value(c, n) for c in CRITICAL)]], columns=columns)
+
+    return df.select(keys, order, value).groupBy(keys).applyInPandas(test, f"{keys} string, n long, lags int, t double, crit_1 double, crit_5 double, crit_10 double")
+
+
 def autocorrelation(df: DataFrame, lags: int = 20, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
     """(keys, lag, acf): lagged products over the sum of squares, about the whole series' mean."""
     w, whole = ordered(keys, order), Window.partitionBy(keys)
@@ -99,18 +143,52 @@ def partial_autocorrelation(acf: DataFrame, keys: str = "ticker") -> DataFrame:
 def garch_filter(df: DataFrame, omega: float, alpha: float, beta: float, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
     """(keys, order, resid, variance, std_resid) of fixed parameters; the first variance is the series' own.
 
-    The recursion is an ordered fold of each series' array (a series is a few bytes a row), all in the JVM.
+    The recursion is a linear scan of each series' array (a series is a few bytes a row), all in the JVM.
     """
+    return _variances(df, lambda h, e: omega + alpha * e * e + beta * h, value, order, keys)
+
+
+def gjr_filter(df: DataFrame, omega: float, alpha: float, gamma: float, beta: float, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """As garch_filter, with gamma more on the square of a negative residual."""
+    return _variances(df, lambda h, e: omega + (alpha + F.when(e < 0, gamma).otherwise(0.0)) * e * e + beta * h, value, order, keys)
+
+
+def egarch_filter(df: DataFrame, omega: float, alpha: float, gamma: float, beta: float, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """As garch_filter, on the logarithm of the variance: omega + alpha (|z| - E|z|) + gamma z + beta times the last."""
+
+    def step(h: Column, e: Column) -> Column:
+        z = e / F.sqrt(h)
+        return F.exp(omega + alpha * (F.abs(z) - sqrt(2 / pi)) + gamma * z + beta * F.ln(h))
+
+    return _variances(df, step, value, order, keys)
+
+
+def garch_in_mean(df: DataFrame, omega: float, alpha: float, beta: float, premium: float, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """garch_filter's rows with expected: the mean that a premium on the variance gives each row."""
+    return garch_filter(df, omega, alpha, beta, value, order, keys).withColumn("expected", premium * F.col("variance"))
+
+
+def regime_filter(df: DataFrame, calm: tuple[float, float], wild: tuple[float, float], stay: tuple[float, float], value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+    """(keys, order, wild): the probability, given the rows up to each, of the second of two normal regimes (mean, deviation) that stay with these probabilities; before the first row both are alike likely."""
+    arrays = df.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("r")))).alias("s"))
+
+    def step(p: Column, x: Column) -> Column:
+        prior = p * stay[1] + (1 - p) * (1 - stay[0])
+        likely = [normal.density(x["r"], F.lit(m), F.lit(d)) for m, d in (calm, wild)]
+        return F.coalesce(F.try_divide(prior * likely[1], prior * likely[1] + (1 - prior) * likely[0]), prior)
+
+    folded = arrays.select(keys, "s", scan(F.col("s"), F.lit(0.5), step).alias("p"))
+    rows = folded.select(keys, F.explode(F.arrays_zip("s", F.slice("p", F.lit(2), F.size("s")).alias("p"))).alias("z"))
+    return rows.select(keys, F.col(f"z.s.{order}").alias(order), F.col("z.p").alias("wild"))
+
+
+def _variances(df: DataFrame, step: Callable[[Column, Column], Column], value: str, order: str, keys: str) -> DataFrame:
+    """(keys, order, resid, variance, std_resid) of a recursion step(variance, residual) from the series' own variance."""
     whole = Window.partitionBy(keys)
     made = df.select(keys, order, (F.col(value) - F.avg(value).over(whole)).alias("e"), F.var_pop(value).over(whole).alias("h0"))
     arrays = made.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct(order, "e"))).alias("s"), F.first("h0").alias("h0"))
-    state = F.struct(F.col("h0").alias("h"), F.array().cast("array<double>").alias("out"))
-
-    def step(st: Column, x: Column) -> Column:
-        return F.struct((omega + alpha * x["e"] * x["e"] + beta * st["h"]).alias("h"), F.concat(st["out"], F.array(st["h"])).alias("out"))
-
-    folded = arrays.select(keys, "s", F.aggregate("s", state, step, lambda st: st["out"]).alias("h"))
-    rows = folded.select(keys, F.explode(F.arrays_zip("s", "h")).alias("z"))
+    folded = arrays.select(keys, "s", scan(F.col("s"), F.col("h0"), lambda h, x: step(h, x["e"])).alias("h"))
+    rows = folded.select(keys, F.explode(F.arrays_zip("s", F.slice("h", F.lit(1), F.size("s")).alias("h"))).alias("z"))
     e, h = F.col("z.s.e"), F.col("z.h")
     return rows.select(keys, F.col(f"z.s.{order}").alias(order), e.alias("resid"), h.alias("variance"), F.try_divide(e, F.sqrt(h)).alias("std_resid"))
 

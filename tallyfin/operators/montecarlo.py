@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfin.functions import normal
+from tallyfin.functions.scan import scan
 
 
 def _paths(models: DataFrame, paths: int) -> DataFrame:
@@ -13,11 +14,11 @@ def _paths(models: DataFrame, paths: int) -> DataFrame:
     return models.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
 
 
-def gbm_paths(models: DataFrame, horizon: float = 0.5, dt: float = 1 / 26, paths: int = 1000, keys: str = "ticker") -> DataFrame:
+def gbm_paths(models: DataFrame, horizon: float = 0.5, dt: float = 1 / 26, paths: int = 1000, keys: str = "ticker", logs: bool = False) -> DataFrame:
     """(keys, path, step, price) of geometric Brownian motion; models: (keys, s0, mu, sigma).
 
     Time runs in equal parts from 0 to the horizon while the Wiener process already has one increment
-    at the first step, so step 0 is not s0.
+    at the first step, so step 0 is not s0.  With ``logs`` the last column is log_price, which no volatility takes out of range.
     """
     n = int(horizon / dt)
     grid = _paths(models, paths).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -25,7 +26,8 @@ def gbm_paths(models: DataFrame, horizon: float = 0.5, dt: float = 1 / 26, paths
     wiener = F.sum(normal.normal(keys, "path", "step") * F.sqrt(F.lit(dt))).over(w)
     t = F.col("step") * (horizon / (n - 1) if n > 1 else 0.0)
     drift = (F.col("mu") - 0.5 * F.col("sigma") * F.col("sigma")) * t
-    return grid.select(keys, "path", "step", (F.col("s0") * F.exp(drift + F.col("sigma") * wiener)).alias("price"))
+    moved = drift + F.col("sigma") * wiener
+    return grid.select(keys, "path", "step", (F.ln("s0") + moved).alias("log_price") if logs else (F.col("s0") * F.exp(moved)).alias("price"))
 
 
 def mean_path(paths: DataFrame, keys: str = "ticker") -> DataFrame:
@@ -51,8 +53,8 @@ def ou_paths(models: DataFrame, horizon: float = 1.0, dt: float = 1 / 252, paths
     steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: normal.normal(keys, "path", i))
     step = lambda x, z: x + F.col("theta") * (F.col("mu") - x) * dt + F.col("sigma") * F.sqrt(F.lit(dt)) * z
     x0 = F.col("x0").cast("double")
-    path = F.aggregate(steps, F.array(x0), lambda xs, z: F.concat(xs, F.array(step(F.element_at(xs, -1), z))))
-    out = drawn.select(keys, "path", path.alias("x"))
+    drawn = drawn.select(keys, "path", x0.alias("x0"), "mu", "sigma", "theta", steps.alias("steps"))
+    out = drawn.select(keys, "path", scan(F.col("steps"), F.col("x0"), step).alias("x"))
     return out.withColumn("x_final", F.element_at("x", -1))
 
 
@@ -104,11 +106,12 @@ def histogram(df: DataFrame, value: str, bins: int = 20, keys: str = "ticker") -
 def kernel_density(df: DataFrame, value: str, points: int = 50, keys: str = "ticker") -> DataFrame:
     """(keys, x, density): a Gaussian kernel estimate with Scott's width on a grid from the least to the largest value.
 
-    Values meet grid points within their own row (an array of ``points`` sums is folded per value group), so rows grow by a constant only.
+    Each point is a sum of its own, partially aggregated, so a value stays one row however many points there are.
     """
     fit = df.groupBy(keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("_n"))
     h = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
-    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_i") / (points - 1)
-    grid = df.join(fit, keys).select(keys, F.col(value).alias("_v"), "_lo", "_hi", "_n", h.alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i"))
-    kernel = normal.density(x, F.col("_v"), F.col("_h"))
-    return grid.groupBy(keys, "_i", x.alias("x")).agg((F.sum(kernel) / F.first("_n")).alias("density")).select(keys, "x", "density")
+    x = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points - 1)
+    met = df.join(fit, keys).select(keys, F.col(value).alias("_v"), "_lo", "_hi", "_n", h.alias("_h"))
+    sums = met.groupBy(keys, "_lo", "_hi", "_n").agg(*(F.sum(normal.density(x(i), F.col("_v"), F.col("_h"))).alias(f"_{i}") for i in range(points)))
+    rows = F.array(*(F.struct(x(i).alias("x"), (F.col(f"_{i}") / F.col("_n")).alias("density")) for i in range(points)))
+    return sums.select(keys, F.explode(rows).alias("r")).select(keys, "r.*")

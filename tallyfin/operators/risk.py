@@ -47,22 +47,37 @@ def returns(prices: DataFrame, price: str = "close", order: str = "ts", keys: st
 
 
 def look_back(series: DataFrame, days: int = 365, order: str = "date", keys: str = "ticker") -> DataFrame:
-    """Rows from ``days`` before each key's last date on, that day included."""
-    last = F.max(order).over(Window.partitionBy(keys))
-    return series.withColumn("_last", last).filter(F.col(order) >= F.date_sub("_last", days)).drop("_last")
+    """Rows from ``days`` before each key's last date on, that moment included.
+
+    Prices are cut, and returns taken of what is left, so that no return reaches back to a price before the window.
+    """
+    last = series.groupBy(keys).agg(F.max(order).alias("_last"))
+    return series.join(last, keys).filter(F.col(order) >= F.col("_last") - F.expr(f"interval {int(days)} days")).select(*series.columns)
 
 
 def historical(rets: DataFrame, confidence: float = 0.95, keys: tuple[str, ...] = ("ticker",), value: str = "ret", approximate: bool = False) -> DataFrame:
     """(keys, var, cvar): the loss at the quantile and the mean loss at or beyond it.
 
-    The tail's mean comes from the value counts of one grouping, so returns are shuffled once; with
-    ``approximate`` the quantile is a sketch's, for groups whose values outgrow an executor.
+    Returns are shuffled once, by key: the exact quantile is taken over each key's partition, so a key's
+    distinct values must fit an executor.  With ``approximate`` the quantile is a sketch's, partially
+    aggregated and joined back, and no key is a single task's rows.
     """
     level = 1 - check_confidence(confidence)
-    q = F.percentile_approx(value, F.lit(level), 100_000) if approximate else F.percentile(value, F.lit(level))
-    cut = rets.groupBy(*keys).agg(q.alias("_q"))
-    tail = rets.join(cut, list(keys)).filter(F.col(value) <= F.col("_q"))
-    return tail.groupBy(*keys).agg((-F.first("_q")).alias("var"), (-F.avg(value)).alias("cvar"))
+    if approximate:
+        cut = rets.groupBy(*keys).agg(F.percentile_approx(value, F.lit(level), 100_000).alias("_q"))
+        tail = rets.join(cut, list(keys))
+    else:
+        tail = rets.withColumn("_q", F.percentile(value, F.lit(level)).over(Window.partitionBy(*keys)))
+    return tail.filter(F.col(value) <= F.col("_q")).groupBy(*keys).agg((-F.first("_q")).alias("var"), (-F.avg(value)).alias("cvar"))
+
+
+def historical_at(rets: DataFrame, confidences: tuple[float, ...], keys: tuple[str, ...] = ("ticker",), value: str = "ret") -> DataFrame:
+    """(keys, var, cvar, confidence) at several confidences, from one shuffle and one pass."""
+    levels = F.array(*(F.lit(1 - check_confidence(c)) for c in confidences))
+    cut = rets.withColumn("_q", F.percentile(value, levels).over(Window.partitionBy(*keys)))
+    sums = cut.groupBy(*keys).agg(F.first("_q").alias("_q"), *(F.avg(F.when(F.col(value) <= F.col("_q")[i], F.col(value))).alias(f"_{i}") for i in range(len(confidences))))
+    rows = F.array(*(F.struct((-F.col("_q")[i]).alias("var"), (-F.col(f"_{i}")).alias("cvar"), F.lit(c).alias("confidence")) for i, c in enumerate(confidences)))
+    return sums.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
 def parametric(rets: DataFrame, confidence: float = 0.95, keys: tuple[str, ...] = ("ticker",), value: str = "ret") -> DataFrame:
@@ -108,7 +123,7 @@ def portfolio(rets: DataFrame, order: str = "ts", name: str = "PORTFOLIO") -> Da
 
 
 def rolling_value_at_risk(rets: DataFrame, rows: int, confidence: float = 0.95, order: str = "ts", keys: str = "ticker") -> DataFrame:
-    """(keys, order, ret, var): the historical loss quantile of the rows before each, where there are enough."""
+    """(keys, order, ret, var): the historical loss quantile of the rows before each, where there are enough.  A frame of ``rows`` values is sorted for each row, so frames should be short (tens to hundreds)."""
     w = ordered(keys, order).rowsBetween(-rows, -1)
     q = F.percentile("ret", F.lit(1 - check_confidence(confidence))).over(w)
     return rets.select(keys, order, "ret", F.when(F.count("ret").over(w) >= rows, -q).alias("var"))

@@ -63,12 +63,16 @@ def latest(df: DataFrame, order: str = "calendardate") -> DataFrame:
 def horizon_averages(prices: DataFrame, starts: DataFrame, order: str = "date", keys: str = "ticker", width_days: int = 30) -> DataFrame:
     """(keys, start, fwd_N...): mean closes of the month that ends N months after each start, both ends included.
 
-    starts: (keys, start).  One equi-join and one pass for all horizons.
+    starts: (keys, start).  A start meets only the days of the calendar months that its windows touch.
     """
-    end = lambda n: F.add_months("start", n)
-    inside = lambda n: F.col(order).between(F.date_sub(end(n), width_days), end(n))
-    met = starts.join(prices, keys, "left")
-    return met.groupBy(keys, "start").agg(*(F.avg(F.when(inside(n), F.col("close"))).alias(f"fwd_{n}") for n in HORIZONS))
+    month = lambda day: F.year(day) * 12 + F.month(day)
+    ends = starts.distinct().select(keys, "start", F.explode(F.array(*map(F.lit, HORIZONS))).alias("n"))
+    ends = ends.select(keys, "start", "n", F.add_months("start", F.col("n")).alias("to")).withColumn("from", F.date_sub("to", width_days))
+    ends = ends.withColumn("month", F.explode(F.sequence(month("from"), month("to"))))
+    days = prices.select(keys, F.col(order).alias("day"), "close", month(order).alias("month"))
+    met = ends.join(days, [keys, "month"]).filter(F.col("day").between(F.col("from"), F.col("to")))
+    means = met.groupBy(keys, "start").agg(*(F.avg(F.when(F.col("n") == n, F.col("close"))).alias(f"fwd_{n}") for n in HORIZONS))
+    return starts.distinct().join(means, [keys, "start"], "left")
 
 
 def rolling_averages(prices: DataFrame, windows: tuple[int, ...] = (15, 30, 45), order: str = "date", keys: str = "ticker") -> DataFrame:

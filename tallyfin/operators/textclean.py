@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A filing's item heading, a broken glyph, and line ends.
-HEADING = r"(?i)^item\s+\d+[A-Za-z]?\.?\s*.+"
+#: White space, as a set of characters and as a class of expressions; a filing's item heading, a broken glyph, and line ends.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+HEADING = rf"(?i)^item{SPACE}+[0-9]+[a-z]?\.?{SPACE}*[^\n]+"
 GLYPH = r"\(cid:\d+\)"
 LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 
@@ -17,6 +19,11 @@ def split_lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """(doc, page, pos, line): every line in its place from 0.  pages: (doc, page, text)."""
     return pages.select("doc", "page", F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("pos", "line"))
@@ -27,11 +34,11 @@ def page_counts(pages: DataFrame) -> DataFrame:
 
 
 def repeated_lines(pages: DataFrame, share: float = 0.6, least: int = 3, min_page_count: int | None = None) -> DataFrame:
-    """(doc, line, pages): trimmed lines on at least max(least, int(share * pages)) pages; a page counts once, documents of fewer than three pages have none.
+    """(doc, line, pages): stripped lines on at least max(least, int(share * pages)) pages; a page counts once, documents of fewer than three pages have none.
 
     ``min_page_count`` sets the number of pages outright.
     """
-    seen = page_lines(pages).select("doc", "page", F.trim("line").alias("line")).filter("line <> ''").distinct()
+    seen = page_lines(pages).select("doc", "page", stripped(F.col("line")).alias("line")).filter("line <> ''").distinct()
     counted = seen.groupBy("doc", "line").agg(F.count("*").alias("pages"))
     of = page_counts(pages).select("doc", F.col("pages").alias("of"))
     needed = F.lit(min_page_count) if min_page_count else F.greatest(F.lit(least), F.floor(F.col("of") * share))
@@ -42,16 +49,16 @@ def strip_repeated(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     """(doc, page, pos, line) without the repeated ones."""
     gone = repeated.select(F.col("doc").alias("_doc"), F.col("line").alias("_line"))
     lines = page_lines(pages)
-    return lines.join(gone, (lines["doc"] == gone["_doc"]) & (F.trim(lines["line"]) == gone["_line"]), "left_anti")
+    return lines.join(gone, (lines["doc"] == gone["_doc"]) & (stripped(lines["line"]) == gone["_line"]), "left_anti")
 
 
 def mark_heading(line: Column) -> Column:
-    return F.when(F.trim(line).rlike(HEADING), F.concat(F.lit("## "), F.trim(line))).otherwise(line)
+    return F.when(stripped(line).rlike(HEADING), F.concat(F.lit("## "), stripped(line))).otherwise(line)
 
 
 def table_markdown(rows: Column) -> Column:
     """Markdown of an array of arrays of cells: a head, a rule, the rest; '' for fewer than two rows.  Null cells are empty, line feeds become spaces."""
-    cell = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " "))
+    cell = lambda c: F.replace(stripped(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" "))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))
     head = F.element_at(rows, 1)
     rule = F.concat(F.lit("| "), F.array_join(F.transform(head, lambda _: F.lit("---")), " | "), F.lit(" |"))
@@ -59,12 +66,28 @@ def table_markdown(rows: Column) -> Column:
     return F.when(F.coalesce(F.size(rows), F.lit(0)) < 2, F.lit("")).otherwise(F.array_join(F.concat(F.array(line(head), rule), body), "\n"))
 
 
-def assemble(lines: DataFrame) -> DataFrame:
-    """(doc, markdown): lines joined by page and place, pages trimmed and parted by an empty line, empty pages left out."""
-    page = lines.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("pos", mark_heading(F.col("line")).alias("line")))).alias("ls"))
-    page = page.select("doc", "page", F.btrim(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit(" \t\r\n")).alias("text")).filter("text <> ''")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"])
-    return page.groupBy("doc").agg(F.concat(F.array_join(ordered, "\n\n"), F.lit("\n")).alias("markdown"))
+def assemble(pages: DataFrame, lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(doc, markdown) of every document of ``pages``: (doc, page, ...).
+
+    lines: (doc, page, pos, line), what is left of the pages' text; tables: (doc, page, pos, rows).  A
+    page gives its stripped lines, unless nothing is left, then each table of two rows or more after an
+    empty part, then an empty part; parts are joined by an empty line, and the whole is stripped and
+    ends in a line feed.  So a document without any text is one line feed.
+    """
+    text = lines.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("pos", mark_heading(F.col("line")).alias("line")))).alias("ls"))
+    text = text.select("doc", "page", stripped(F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text")).filter("text <> ''")
+    made = pages.select("doc", "page").distinct().join(text, ["doc", "page"], "left")
+    none = F.array().cast("array<string>")
+    if tables is None:
+        made = made.withColumn("tables", none)
+    else:
+        shown = tables.select("doc", "page", "pos", table_markdown(F.col("rows")).alias("table")).filter("table <> ''")
+        shown = shown.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "table"))).alias("ts"))
+        shown = shown.select("doc", "page", F.flatten(F.transform("ts", lambda t: F.array(F.lit(""), t["table"]))).alias("tables"))
+        made = made.join(shown, ["doc", "page"], "left")
+    parts = F.concat(F.when(F.col("text").isNull(), none).otherwise(F.array("text")), F.coalesce("tables", none), F.array(F.lit("")))
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", parts.alias("parts")))), lambda x: x["parts"]))
+    return made.groupBy("doc").agg(F.concat(stripped(F.array_join(ordered, "\n\n")), F.lit("\n")).alias("markdown"))
 
 
 def broken_glyph_pages(pages: DataFrame, pattern: str = GLYPH) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfin.functions import series
@@ -11,7 +11,8 @@ from tallyfin.plans.market import RETS, rounded, uniform_sql
 from tallyfin.sources import sinks, tables
 
 #: Production parameters: pages that make a line repeated, draws.
-MIN_PAGES, DRAWS = 3, 2000
+HEADS = ("Item 1A. ", "\tITEM 7 - ", "item\u00a03", "Items 4 ", "See Item 5. ", "")
+MIN_PAGES, DRAWS = 3, 10_000
 
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,10 @@ def q_point_in_time(spark, sf_dir):
     return rounded(screen.point_in_time(screen.rolling_averages(tables.daily_prices(spark, sf_dir)), F.to_date(F.lit("2000-06-30")), exact=False), 6)
 
 
+def q_point_in_time_exact(spark, sf_dir):
+    return rounded(screen.point_in_time(screen.rolling_averages(tables.daily_prices(spark, sf_dir)), F.to_date(F.lit("2000-06-30"))), 6)
+
+
 def q_screen_join(spark, sf_dir):
     prices = tables.daily_prices(spark, sf_dir)
     picks = screen.criteria(_screened(spark, sf_dir)).filter("calendardate = date'1999-10-01'")
@@ -173,18 +178,52 @@ def q_strip_lines(spark, sf_dir):
 
 def q_headings(spark, sf_dir):
     lines = textclean.page_lines(tables.filing_pages(spark, sf_dir))
-    marked = textclean.mark_heading(F.concat(F.lit("Item "), F.col("pos").cast("string"), F.lit(". "), F.col("line")))
-    return lines.select("doc", "page", "pos", marked.alias("marked"))
+    before = F.element_at(F.array(*map(F.lit, HEADS)), F.pmod(F.col("pos"), F.lit(len(HEADS))).cast("int") + 1)
+    return lines.select("doc", "page", "pos", textclean.mark_heading(F.concat(before, "line")).alias("marked"))
+
+
+def q_repeated_rule(spark, sf_dir):
+    """By the rule itself (0.6 of the pages, three at least): an hour's events as pages of two lines."""
+    return textclean.repeated_lines(_notices(spark, sf_dir))
+
+
+def _notices(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH")
+    return e.select(hour.alias("doc"), F.col("event_id").alias("page"), F.concat(F.lit("\t"), "event_type", F.lit("\u00a0\nuser "), F.pmod("user_id", F.lit(3)).cast("string")).alias("text"))
 
 
 def q_markdown(spark, sf_dir):
     pages = tables.filing_pages(spark, sf_dir)
-    made = textclean.assemble(textclean.strip_repeated(pages, textclean.repeated_lines(pages, min_page_count=MIN_PAGES)))
+    made = textclean.assemble(pages, textclean.strip_repeated(pages, textclean.repeated_lines(pages, min_page_count=MIN_PAGES)), _page_tables(spark, sf_dir))
     return made.select("doc", F.md5("markdown").alias("digest"), F.length("markdown").cast("long").alias("chars"))
 
 
+def _page_tables(spark, sf_dir):
+    """Two tables on every tenth page: one of its size, one of a single row, which is not shown."""
+    pages = tables.filing_pages(spark, sf_dir).filter("page % 10 = 0")
+    sizes = F.array(F.array(F.lit("page"), F.lit(" chars\n")), F.array(F.col("page").cast("string"), F.length("text").cast("string")))
+    both = F.array(F.struct(F.lit(0).alias("pos"), sizes.alias("rows")), F.struct(F.lit(1).alias("pos"), F.slice(sizes, 1, 1).alias("rows")))
+    return pages.select("doc", "page", F.explode(both).alias("t")).select("doc", "page", "t.pos", "t.rows")
+
+
 def q_cid_pages(spark, sf_dir):
-    return textclean.broken_glyph_pages(tables.filing_pages(spark, sf_dir), r"\+\d \(\d+\)")
+    """Every seventh page has glyphs that the font cannot map, and every fifth what looks like them."""
+    pages = tables.filing_pages(spark, sf_dir)
+    glyphs = F.when(F.col("page") % 7 == 0, F.concat(F.lit("(cid:"), F.col("page").cast("string"), F.lit(")"))).when(F.col("page") % 5 == 0, F.lit("(cid: 5) cid:6")).otherwise("")
+    return textclean.broken_glyph_pages(pages.withColumn("text", F.concat("text", glyphs)))
+
+
+def q_table_scan(spark, sf_dir):
+    """A table's columns and rows as the caller asks for them, as known on a day."""
+    asked = tables.scan(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"], {"o_orderstatus": ["F", "P"]}, as_of=("o_orderdate", "1997-06-30"))
+    return rounded(asked, 2)
+
+
+def q_revenue_order(spark, sf_dir):
+    """Tickers of the last quarter by falling revenue, the first ten."""
+    last = screen.latest(tables.fundamentals(spark, sf_dir)).select("ticker", "ebitdausd").orderBy(F.desc("ebitdausd"), "ticker").limit(10)
+    return rounded(last.select("ticker", "ebitdausd", F.row_number().over(Window.orderBy(F.desc("ebitdausd"), "ticker")).alias("place")), 2)
 
 
 def q_low_text_pages(spark, sf_dir):
@@ -216,9 +255,18 @@ def q_tail_rows(spark, sf_dir):
 
 
 LINES = r"lines as (select source as doc, doc_id as page, (unnest(range(len(ls))))::int as pos, unnest(ls) as line from (select source, doc_id, case when ls[-1] = '' then ls[:-2] else ls end as ls from (select source, doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]') as ls from documents)))"
-REPEATED = f"{LINES}, rep as (select doc, trim(line) as line, count(distinct page) as pages from lines where trim(line) <> '' group by 1, 2 having count(distinct page) >= {MIN_PAGES}), of_pages as (select source as doc, count(*) as n from documents group by 1), repeated as (select rep.* from rep join of_pages using (doc) where n >= 3)"
-STRIPPED = f"{REPEATED}, stripped as (select l.* from lines l where not exists (select 1 from repeated r where r.doc = l.doc and r.line = trim(l.line)))"
-HEAD = "case when regexp_matches(trim({x}), '(?i)^item\\s+\\d+[A-Za-z]?\\.?\\s*.+') then '## ' || trim({x}) else {x} end"
+def _strip(x: str) -> str:
+    return f"trim({x}, '{textclean.WHITE}')"
+
+
+REPEATED = f"{LINES}, rep as (select doc, {_strip('line')} as line, count(distinct page) as pages from lines where {_strip('line')} <> '' group by 1, 2 having count(distinct page) >= {MIN_PAGES}), of_pages as (select source as doc, count(*) as n from documents group by 1), repeated as (select rep.* from rep join of_pages using (doc) where n >= 3)"
+STRIPPED = f"{REPEATED}, stripped as (select l.* from lines l where not exists (select 1 from repeated r where r.doc = l.doc and r.line = {_strip('l.line')}))"
+
+
+def _head(x: str) -> str:
+    return f"case when regexp_matches({_strip(x)}, '{textclean.HEADING}') then '## ' || {_strip(x)} else {x} end"
+
+
 FUND = (
     "f as (select n_name as ticker, date_trunc('quarter', o_orderdate)::date as calendardate, sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice) as roic, sum(l_extendedprice * (1 - l_discount)) / sum(l_quantity) as fcfps, "
     "sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as ebitdausd, 1 - avg(l_discount) as grossmargin, sum(l_quantity) as shareswadil, avg(l_extendedprice * (1 - l_discount) / l_quantity) as epsusd "
@@ -285,11 +333,19 @@ ORACLES = {
     "q_page_lines": f"with {LINES} select doc, page, pos, line from lines",
     "q_repeated_lines": f"with {REPEATED} select doc, line, pages from repeated",
     "q_strip_lines": f"with {STRIPPED} select doc, page, pos, line from stripped",
-    "q_headings": f"with {LINES}, x as (select doc, page, pos, 'Item ' || pos || '. ' || line as x from lines) select doc, page, pos, {HEAD.format(x='x')} as marked from x",
-    "q_markdown": f"with {STRIPPED}, p as (select doc, page, trim(string_agg({HEAD.format(x='line')}, chr(10) order by pos), ' ' || chr(9) || chr(13) || chr(10)) as text from stripped group by 1, 2), m as (select doc, string_agg(text, chr(10) || chr(10) order by page) || chr(10) as markdown from p where text <> '' group by 1) select doc, md5(markdown) as digest, length(markdown)::bigint as chars from m",
-    "q_cid_pages": r"select source as doc, doc_id as page from documents where regexp_matches(text, '\+\d \(\d+\)')",
+    "q_headings": f"with {LINES}, x as (select doc, page, pos, [" + ", ".join(f"'{h}'" for h in HEADS) + f"][pos % {len(HEADS)} + 1] || line as x from lines) select doc, page, pos, {_head('x')} as marked from x",
+    "q_repeated_rule": f"with lines as (select strftime(ts, '%Y-%m-%d %H') as doc, event_id as page, event_type as line from events union all select strftime(ts, '%Y-%m-%d %H'), event_id, 'user ' || (user_id % 3) from events), n as (select doc, count(distinct page) as of from lines group by 1), r as (select doc, line, count(distinct page) as pages from lines group by 1, 2) select doc, line, pages from r join n using (doc) where of >= 3 and pages >= greatest(3, floor(of * 0.6))",
+    "q_table_scan": "select o_orderkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice from orders where o_orderstatus in ('F', 'P') and o_orderdate <= date '1997-06-30'",
+    "q_revenue_order": f"with {FUND} select ticker, round(ebitdausd, 2) as ebitdausd, (row_number() over (order by ebitdausd desc, ticker))::int as place from f where calendardate = (select max(calendardate) from f) qualify place <= 10",
+    "q_point_in_time_exact": f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 from means where date = date '2000-06-30'",
+    "q_markdown": f"with {STRIPPED}, p as (select doc, page, {_strip(f"string_agg({_head('line')}, chr(10) order by pos)")} as text from stripped group by 1, 2), "
+    "t as (select source as doc, doc_id as page, '| page | chars |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | ' || length(coalesce(text, '')) || ' |' as tab from documents where doc_id % 10 = 0), "
+    "parts as (select source as doc, doc_id as page, 0 as place, p.text as part from documents join p on p.doc = source and p.page = doc_id where p.text <> '' union all "
+    "select doc, page, 1, '' from t union all select doc, page, 2, tab from t union all select source, doc_id, 3, '' from documents), "
+    f"m as (select doc, {_strip('string_agg(part, chr(10) || chr(10) order by page, place)')} || chr(10) as markdown from parts group by 1) select doc, md5(markdown) as digest, length(markdown)::bigint as chars from m",
+    "q_cid_pages": r"select source as doc, doc_id as page from documents where regexp_matches(coalesce(text, '') || case when doc_id % 7 = 0 then '(cid:' || doc_id || ')' when doc_id % 5 = 0 then '(cid: 5) cid:6' else '' end, '\(cid:[0-9]+\)')",
     "q_low_text_pages": "with a as (select source as doc, avg(length(coalesce(text, ''))) as a from documents group by 1) select doc, doc_id as page from documents join a on source = doc where length(coalesce(text, '')) < a * 0.15 and a > 200",
-    "q_md_table": "select conv_id, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || trim(replace(role, chr(10), ' ')) || ' | ' || trim(replace(coalesce(text, ''), chr(10), ' ')) || ' |', chr(10) order by turn) as markdown from conversations group by 1",
+    "q_md_table": "select conv_id, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(" + _strip("role") + ", chr(10), ' ') || ' | ' || replace(" + _strip("coalesce(text, '')") + ", chr(10), ' ') || ' |', chr(10) order by turn) as markdown from conversations group by 1",
     "q_quality_report": "with a as (select source as doc, count(*) as pages, avg(length(coalesce(text, ''))) as avg_chars from documents group by 1), l as (select doc, string_agg(doc_id::varchar, ',' order by doc_id) as low, string_agg(doc_id::varchar, ', ' order by doc_id) as shown from documents join a on source = doc where length(coalesce(text, '')) < avg_chars * 0.15 and avg_chars > 200 group by 1), c as (select source as doc, string_agg(doc_id::varchar, ',' order by doc_id) as cid, string_agg(doc_id::varchar, ', ' order by doc_id) as shown from documents where regexp_matches(text, '\\(cid:\\d+\\)') group by 1) select a.doc as doc, pages, round(avg_chars, 4) as avg_chars, 0::bigint as n_tables, coalesce(low, '') as low_text_pages, coalesce(cid, '') as cid_pages, concat_ws('; ', 'little text on pages ' || l.shown, 'broken glyphs on pages ' || c.shown) as warnings from a left join l on a.doc = l.doc left join c on a.doc = c.doc",
     "q_skip_done": "select doc_id, source from documents where doc_id not in (select doc_id from documents where source = 'src0')",
     "q_tail_rows": f"with {RETS} select ticker, ts, round(ret, 8) as ret from rets qualify row_number() over (partition by ticker order by ts desc) <= 7",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyfin.operators import diagnostics, risk
+from tallyfin.operators import diagnostics, models, risk
 from tallyfin.plans.market import BARS, RETS, _var_sql, normal_sql, rounded, uniform_sql
 from tallyfin.sources.tables import bars_hourly
 
-DRAWS, SAMPLES = 2000, 20
+#: Production sizes: draws, resamples.
+DRAWS, SAMPLES = 5000, 100
 
 
 def _rets(spark, sf_dir):
@@ -53,10 +54,81 @@ def q_sentiment(spark, sf_dir):
     return rounded(diagnostics.sentiment_features(scores))
 
 
+#: Parameters of the filters: omega, alpha, gamma, beta (variance, and its logarithm); two regimes and how likely each stays.
+GJR, EGARCH, CALM, WILD, STAY, PREMIUM = (0.05, 0.05, 0.1, 0.85), (0.1, 0.1, -0.05, 0.9), (0.0, 1.0), (0.5, 5.0), (0.95, 0.9), 2.0
+
+
+def q_gjr_filter(spark, sf_dir):
+    return rounded(models.gjr_filter(_rets(spark, sf_dir), *GJR).select("ticker", "ts", "variance"), 5)
+
+
+def q_egarch_filter(spark, sf_dir):
+    return rounded(models.egarch_filter(_rets(spark, sf_dir), *EGARCH).select("ticker", "ts", "variance"), 5)
+
+
+def q_garch_in_mean(spark, sf_dir):
+    return rounded(models.garch_in_mean(_rets(spark, sf_dir), 0.05, 0.1, 0.85, PREMIUM).select("ticker", "ts", "expected"), 5)
+
+
+def q_regime_filter(spark, sf_dir):
+    return rounded(models.regime_filter(_rets(spark, sf_dir), CALM, WILD, STAY))
+
+
+def q_breusch_pagan(spark, sf_dir):
+    return rounded(diagnostics.breusch_pagan(_rets(spark, sf_dir)), 5)
+
+
+def q_phillips_perron(spark, sf_dir):
+    return rounded(diagnostics.phillips_perron(_rets(spark, sf_dir)), 5)
+
+
+def q_seasonal(spark, sf_dir):
+    return rounded(diagnostics.seasonally_adjusted(bars_hourly(spark, sf_dir), F.hour("ts")), 5)
+
+
+def q_illiquidity(spark, sf_dir):
+    return rounded(diagnostics.illiquidity(bars_hourly(spark, sf_dir)))
+
+
+def q_factor_exposure(spark, sf_dir):
+    rets = _rets(spark, sf_dir)
+    return rounded(diagnostics.factor_exposure(rets, risk.portfolio(rets)), 5)
+
+
+def q_tail_index(spark, sf_dir):
+    return rounded(diagnostics.tail_index(_rets(spark, sf_dir)), 5)
+
+
+def _recursive(step: str, start: str = "h0") -> str:
+    """Rows (ticker, ts, n, e, h) of a recursion; step is told of r.e and r.h."""
+    return (
+        f"with recursive {RETS}, es as (select ticker, ts, ret, ret - avg(ret) over (partition by ticker) as e, var_pop(ret) over (partition by ticker) as h0, row_number() over (partition by ticker order by ts) as n from rets), "
+        f"rec as (select ticker, ts, n, e, ret, {start} as h from es where n = 1 union all select s.ticker, s.ts, s.n, s.e, s.ret, {step} from rec r join es s on s.ticker = r.ticker and s.n = r.n + 1) "
+    )
+
+
+def _posterior(p: str, r: str) -> str:
+    prior = f"({p} * {STAY[1]}::double + (1 - {p}) * (1 - {STAY[0]}::double))"
+    calm, wild = (f"(exp(-((({r} - {m}::double) / {d}::double) ^ 2) / 2) / (sqrt(2 * pi()) * {d}::double))" for m, d in (CALM, WILD))
+    return f"coalesce({prior} * {wild} / nullif({prior} * {wild} + (1 - {prior}) * {calm}, 0), {prior})"
+
+
 CENTRED = f"{RETS}, c as (select ticker, ts, ret - avg(ret) over (partition by ticker) as e from rets)"
-COPIES = " union all ".join(f"select ticker, sample, ret from b where u >= {p}" for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563))
+COPIES = " union all ".join(f"select ticker, sample, ret from b where u >= {p!r}::double" for p in diagnostics.POISSON)
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
 ORACLES = {
+    "q_gjr_filter": _recursive(f"{GJR[0]}::double + ({GJR[1]}::double + case when r.e < 0 then {GJR[2]}::double else 0 end) * r.e * r.e + {GJR[3]}::double * r.h") + "select ticker, ts, round(h, 5) as variance from rec",
+    "q_egarch_filter": _recursive(f"exp({EGARCH[0]}::double + {EGARCH[1]}::double * (abs(r.e / sqrt(r.h)) - sqrt(2 / pi())) + {EGARCH[2]}::double * r.e / sqrt(r.h) + {EGARCH[3]}::double * ln(r.h))") + "select ticker, ts, round(h, 5) as variance from rec",
+    "q_garch_in_mean": _recursive("0.05::double + 0.1::double * r.e * r.e + 0.85::double * r.h") + f"select ticker, ts, round({PREMIUM}::double * h, 5) as expected from rec",
+    "q_regime_filter": _recursive(_posterior("r.h", "s.ret"), _posterior("0.5::double", "ret")) + "select ticker, ts, round(h, 6) as wild from rec",
+    "q_breusch_pagan": f"with {RETS}, l as (select * from (select ticker, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets) where x is not null), f as (select ticker, regr_slope(y, x) as b, regr_intercept(y, x) as a from l group by ticker) select ticker, count(*) as n, round(count(*) * regr_r2((y - a - b * x) ^ 2, x), 5) as lm from l join f using (ticker) group by ticker",
+    "q_phillips_perron": f"with {RETS}, l as (select * from (select ticker, ts, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets) where x is not null), f as (select ticker, regr_slope(y, x) as b, regr_intercept(y, x) as a, regr_sxx(y, x) as sxx, count(*) as n from l group by ticker), "
+    "u as (select ticker, ts, b, sxx, n, y - a - b * x as u from l join f using (ticker)), v as (select ticker, b, sxx, n, sum(u * u) as uu, " + ", ".join(f"sum(u * l{k}) as p{k}" for k in range(1, 6)) + " from (select *, " + ", ".join(f"lag(u, {k}) over (partition by ticker order by ts) as l{k}" for k in range(1, 6)) + " from u) group by all), "
+    "w as (select *, uu / n as s, uu / n + " + " + ".join(f"2 * (1 - {k}::double / 6) * p{k} / n" for k in range(1, 6)) + " as long, sqrt(uu / (n - 2) / sxx) as err from v) select ticker, n, round((b - 1) / err * sqrt(s / long) - (long - s) * n * err / (2 * sqrt(long) * sqrt(uu / (n - 2))), 5) as t from w",
+    "q_seasonal": f"with {BARS} select ticker, ts, round(close - avg(close) over (partition by ticker, hour(ts)) + avg(close) over (partition by ticker), 5) as adjusted from bars",
+    "q_illiquidity": f"with {BARS}, i as (select ticker, abs(close / nullif(lag(close) over (partition by ticker order by ts), 0) - 1) / nullif(close * volume, 0) as i from bars) select ticker, count(i) as days, round(avg(i), 6) as illiquidity from i group by ticker",
+    "q_factor_exposure": f"with {RETS}, m as (select ticker, ret as y, avg(ret) over (partition by ts) as x from rets) select ticker, count(*) as n, round(regr_intercept(y, x), 5) as alpha, round(regr_slope(y, x), 5) as beta, round(regr_r2(y, x), 5) as r2, round(stddev_samp(y) * sqrt(1 - regr_r2(y, x)), 5) as specific from m group by ticker",
+    "q_tail_index": f"with {RETS}, q as (select ticker, quantile_cont(-ret, 1 - 0.1::double) as threshold from rets group by ticker), o as (select ticker, -ret as loss, threshold from rets join q using (ticker) where -ret > threshold) select ticker, round(threshold, 5) as threshold, count(*) as n, round(1 / avg(case when threshold > 0 then ln(loss / threshold) end), 5) as hill, round(avg(loss - threshold), 5) as mean_excess from o group by ticker, o.threshold",
     "q_differenced": f"with {BARS} select * from (select ticker, ts, round(close - lag(close) over (partition by ticker order by ts), 6) as diff from bars) where diff is not null",
     "q_detrended": f"with {BARS}, n as (select ticker, ts, close, row_number() over (partition by ticker order by ts) as x from bars), l as (select ticker, regr_slope(close, x) as b, regr_intercept(close, x) as a from n group by ticker) select n.ticker as ticker, ts, round(close - a - b * x, 5) as residual from n join l on n.ticker = l.ticker",
     "q_durbin_watson": f"with {CENTRED}, d as (select *, e - lag(e) over (partition by ticker order by ts) as d from c) select ticker, round(sum(d * d) / sum(e * e), 6) as dw from d group by ticker",

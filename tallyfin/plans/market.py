@@ -19,7 +19,8 @@ RETS = f"{BARS}, rets as (select * from (select ticker, ts, close / nullif(lag(c
 LOG_RETS = f"{BARS}, lrets as (select ticker, ts, ln(close / nullif(lag(close) over w, 0)) as lr, close, open, high, low from bars window w as (partition by ticker order by ts))"
 #: Fixed values of the filter and forecast queries.
 OMEGA, ALPHA, BETA = 0.05, 0.1, 0.85
-GBM_PATHS, OU_PATHS, OU_STEPS, DRAWS = 200, 50, 63, 2000
+#: Production sizes of the simulations: paths, and steps of a year of days.
+GBM_PATHS, OU_PATHS, OU_STEPS = 1000, 1000, 252
 
 
 def _rets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,16 +67,11 @@ def q_var_param(spark, sf_dir):
 
 
 def q_var_lookback(spark, sf_dir):
-    rets = risk.returns(bars_weekly(spark, sf_dir), order="date")
-    return rounded(risk.historical(risk.look_back(rets, 365)))
+    return rounded(risk.historical(risk.returns(risk.look_back(bars_weekly(spark, sf_dir), 365), order="date")))
 
 
 def q_var_multi_confidence(spark, sf_dir):
-    rets, out = _rets(spark, sf_dir), None
-    for c in (0.9, 0.95, 0.99):
-        part = risk.historical(rets, c).withColumn("confidence", F.lit(c))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    return rounded(risk.historical_at(_rets(spark, sf_dir), (0.9, 0.95, 0.99)))
 
 
 def q_stress_scenarios(spark, sf_dir):
@@ -104,7 +100,7 @@ def q_portfolio_stress(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    rets = _rets(spark, sf_dir)
+    rets = risk.returns(risk.look_back(bars_hourly(spark, sf_dir), 365, order="ts"))
     both = rets.unionByName(risk.portfolio(rets))
     return risk.report_lines(risk.historical(both), risk.stress_test(both))
 
@@ -160,9 +156,23 @@ def q_corr_row_mean(spark, sf_dir):
 
 
 def _gbm(spark, sf_dir):
-    # a tenth of the fitted drift and volatility keeps prices of hourly bars in range
-    p = volatility.gbm_parameters(bars_hourly(spark, sf_dir)).select("ticker", F.round("s0", 6).alias("s0"), F.round(F.col("mu_literal") / 10, 6).alias("mu"), F.round(F.col("sigma") / 10, 6).alias("sigma"))
-    return montecarlo.gbm_paths(p, paths=GBM_PATHS)
+    return montecarlo.gbm_paths(_model(volatility.gbm_parameters(bars_hourly(spark, sf_dir))), paths=GBM_PATHS)
+
+
+def _model(fitted: DataFrame) -> DataFrame:
+    """Parameters to six decimals, so that engines that sum in another order simulate the same model."""
+    return fitted.select("ticker", *(F.round(c, 6).alias(c) for c in ("s0", "mu", "sigma")))
+
+
+def q_gbm_yz_paths(spark, sf_dir):
+    """Half a year in 26 weekly steps and in 13 of two weeks, by range volatility over 5 and 10 bars; logarithms of prices."""
+    bars, out = bars_weekly(spark, sf_dir), None
+    vol = volatility.yang_zhang(bars, order="date")
+    for steps, column in ((52, "yz_5"), (26, "yz_10")):
+        p = _model(volatility.gbm_parameters_by(bars, vol, column, 1 / steps, order="date"))
+        part = montecarlo.gbm_paths(p, dt=1 / steps, paths=GBM_PATHS, logs=True).select(F.lit(steps).alias("steps_a_year"), "ticker", "path", "step", "log_price")
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 5)
 
 
 def q_gbm_paths(spark, sf_dir):
@@ -188,7 +198,7 @@ def q_kernel_density(spark, sf_dir):
 
 def _ou_models(spark, sf_dir):
     fit = models.ou_fit(bars_hourly(spark, sf_dir))
-    return fit.select("ticker", F.round("x0", 6).alias("x0"), F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), F.lit(1.5).alias("theta"))
+    return fit.select("ticker", *(F.round(c, 6).alias(c) for c in ("x0", "mu", "sigma")), F.round("theta_euler", 6).alias("theta"))
 
 
 def q_ou_final_stats(spark, sf_dir):
@@ -197,8 +207,14 @@ def q_ou_final_stats(spark, sf_dir):
 
 
 def q_ou_paths(spark, sf_dir):
-    p = montecarlo.ou_paths(_ou_models(spark, sf_dir), OU_STEPS / 252, paths=3)
-    return rounded(p.select("ticker", "path", F.posexplode("x").alias("step", "x")), 5)
+    """Every path of every step, told by its ends and extremes."""
+    p = montecarlo.ou_paths(_ou_models(spark, sf_dir), OU_STEPS / 252, paths=OU_PATHS)
+    return rounded(p.select("ticker", "path", F.size("x").cast("long").alias("points"), F.array_min("x").alias("low"), F.array_max("x").alias("high"), "x_final"), 5)
+
+
+def q_ou_mean_path(spark, sf_dir):
+    p = montecarlo.ou_paths(_ou_models(spark, sf_dir), OU_STEPS / 252, paths=OU_PATHS)
+    return rounded(p.select("ticker", F.posexplode("x").alias("step", "x")).groupBy("ticker", "step").agg(F.avg(F.exp("x")).alias("mean_price")), 4)
 
 
 def q_bayes_posterior(spark, sf_dir):
@@ -225,6 +241,10 @@ def q_df_test(spark, sf_dir):
     return rounded(models.dickey_fuller(_rets(spark, sf_dir)))
 
 
+def q_adf(spark, sf_dir):
+    return rounded(models.augmented_dickey_fuller(_rets(spark, sf_dir)))
+
+
 def _filtered(spark, sf_dir):
     return models.garch_filter(_rets(spark, sf_dir), OMEGA, ALPHA, BETA)
 
@@ -276,8 +296,11 @@ STRESSED = """stressed as (
   select ticker, 'High Volatility', ret * 2 from {src} union all
   select ticker, 'Prolonged Decline', case when row_number() over (partition by ticker order by ts desc) <= 30 then -0.02::double else ret end from {src} union all
   select ticker, 'Mixed Scenario', (ret - 0.05::double) * 1.5::double from {src})"""
+YEAR_RETS = RETS.replace("bars as (select event_type", "all_bars as (select event_type").replace(
+    ", rets as", ", bars as (select a.* from all_bars a join (select ticker, max(ts) as last from all_bars group by 1) l using (ticker) where ts >= last - interval 365 day), rets as"
+)
 PORTFOLIO = "folio as (select 'PORTFOLIO' as ticker, ts, avg(ret) as ret from rets group by ts)"
-BOTH = f"{RETS}, {PORTFOLIO}, both_rets as (select ticker, ts, ret from rets union all select ticker, ts, ret from folio)"
+BOTH = f"{YEAR_RETS}, {PORTFOLIO}, both_rets as (select ticker, ts, ret from rets union all select ticker, ts, ret from folio)"
 TERM = "(0.5 * ln(high / low) ^ 2 - (2 * ln(2) - 1) * ln(close / open) ^ 2)"
 GK = f"{BARS}, terms as (select *, {TERM} as term, ln(close / nullif(lag(close) over (partition by ticker order by ts), 0)) as lr from bars)"
 YZ = (
@@ -302,20 +325,33 @@ def normal_sql(*parts: str) -> str:
 
 
 GBM = (
-    f"{GK}, par as (select ticker, arg_max(close, ts) as s0, round(0.5 * arg_max(gk, ts) ^ 2 / 10, 6) as mu, round(arg_max(gk, ts) / 10, 6) as sigma from (select *, case when count(term) over w >= 10 then sqrt(avg(term) over w) end as gk from terms "
+    f"{GK}, par as (select ticker, arg_max(close, ts) as s0, round(avg(lr) / (1.0::double / 26) + 0.5 * arg_max(gk, ts) ^ 2, 6) as mu, round(arg_max(gk, ts), 6) as sigma from (select *, case when count(term) over w >= 10 then sqrt(avg(term) over w) end as gk from terms "
     "window w as (partition by ticker order by ts rows between 9 preceding and current row)) group by ticker), "
     f"cells as (select ticker, round(s0, 6) as s0, mu, sigma, p.path::int as path, s.step::int as step from par, range({GBM_PATHS}) p(path), range(13) s(step)), "
     f"paths as (select ticker, path, step, s0 * exp((mu - 0.5 * sigma * sigma) * step * (0.5 / 12) + sigma * sum({normal_sql('ticker', 'path', 'step')} * sqrt(1.0::double / 26)) over (partition by ticker, path order by step)) as price from cells)"
 )
+WEEKLY_YZ = (
+    f"{WEEKS}, y as (select ticker, date, close, ln(close / nullif(lag(close) over w, 0)) as lr, ln(high / open) * (ln(high / open) - ln(close / open)) + ln(low / open) * (ln(low / open) - ln(close / open)) as rs, "
+    "open / lag(open) over w - 1 as oo, close / lag(close) over w - 1 as cc from weeks window w as (partition by ticker order by date)), yy as (select *, cc - oo as co from y), "
+)
+GBM_YZ = f"with {WEEKLY_YZ}" + ", ".join(
+    f"par{p} as (select ticker, round(arg_max(close, date), 6) as s0, round(avg(lr) / (1.0::double / {p}) + 0.5 * arg_max(yz, date) ^ 2, 6) as mu, round(arg_max(yz, date), 6) as sigma from (select *, case when count(oo) over w >= {n} then "
+    f"sqrt((var_samp(oo) over w + {volatility.yang_zhang_weight(n)!r}::double * avg(rs) over w + (1 - {volatility.yang_zhang_weight(n)!r}::double) * var_samp(co) over w) * {p}) end as yz from yy window w as (partition by ticker order by date rows between {n - 1} preceding and current row)) group by ticker), "
+    f"cells{p} as (select *, p.path::int as path, s.step::int as step from par{p}, range({GBM_PATHS}) p(path), range({p // 2}) s(step))"
+    for n, p in ((5, 52), (10, 26))
+) + " " + " union all ".join(
+    f"select {p} as steps_a_year, ticker, path, step, round(ln(s0) + ((mu - 0.5 * sigma * sigma) * step * (0.5 / {p // 2 - 1}) + sigma * sum({normal_sql('ticker', 'path', 'step')} * sqrt(1.0::double / {p})) over (partition by ticker, path order by step)), 5) as log_price from cells{p}"
+    for p in (52, 26)
+)
 SUMMARY = "round(avg({x}), 4) as mean, round(quantile_cont({x}, 0.5), 4) as median, round(stddev_pop({x}), 4) as std, round(quantile_cont({x}, 0.05), 4) as p5, round(quantile_cont({x}, 0.95), 4) as p95"
 OU_FIT = (
     f"{BARS}, logs as (select ticker, ts, ln(close) as y, lag(ln(close)) over (partition by ticker order by ts) as x from bars), "
     "fit as (select ticker, arg_max(y, ts) as x0, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, avg(y - x) as mu, stddev_pop(y - x) as sigma from logs group by ticker)"
 )
 OU = (
-    f"with recursive {OU_FIT}, start as (select ticker, round(x0, 6) as x0, round(mu, 6) as mu, round(sigma, 6) as sigma, p.path::int as path from fit, range({{paths}}) p(path)), "
-    "walk as (select ticker, path, mu, sigma, 0 as step, x0 as x from start union all "
-    f"select ticker, path, mu, sigma, step + 1, x + 1.5::double * (mu - x) * (1.0::double / 252) + sigma * sqrt(1.0::double / 252) * {normal_sql('ticker', 'path', 'step')} from walk where step < {OU_STEPS})"
+    f"with recursive {OU_FIT}, start as (select ticker, round(x0, 6) as x0, round(mu, 6) as mu, round(sigma, 6) as sigma, round((1 - slope) * 252, 6) as theta, p.path::int as path from fit, range({OU_PATHS}) p(path)), "
+    "walk as (select ticker, path, mu, sigma, theta, 0 as step, x0 as x from start union all "
+    f"select ticker, path, mu, sigma, theta, step + 1, x + theta * (mu - x) * (1.0::double / 252) + sigma * sqrt(1.0::double / 252) * {normal_sql('ticker', 'path', 'step')} from walk where step < {OU_STEPS})"
 )
 FILTER = (
     f"with recursive {RETS}, es as (select ticker, ts, ret, ret - avg(ret) over (partition by ticker) as e, var_pop(ret) over (partition by ticker) as h0, row_number() over (partition by ticker order by ts) as n from rets), "
@@ -333,6 +369,20 @@ Z05 = normal.quantile(1 - 0.95)
 DENSITY = normal.standard_density(Z05) / (1 - 0.95)
 
 
+def _ratio(parts: tuple, x: str) -> str:
+    """The quotient of two polynomials, from the largest power."""
+    sums = [" + ".join(f"{c!r}::double * pow({x}, {len(p) - 1 - k})" for k, c in enumerate(p)) for p in parts]
+    return f"(({sums[0]}) / ({sums[1]}))"
+
+
+#: Partial autocorrelations by the Durbin-Levinson recursion over lists: r holds the autocorrelations, phi the last order's coefficients.
+PACF = (
+    "r as (select ticker, list(acf order by lag) as r from acf group by ticker), lev as (select ticker, r, 1 as lag, [r[1]] as phi, r[1] as pacf from r union all "
+    "select ticker, r, lag + 1, list_concat(list_transform(range(1, lag + 1), lambda j: phi[j] - last * phi[lag + 1 - j]), [last]), last from (select *, "
+    "(r[lag + 1] - list_sum(list_transform(range(1, lag + 1), lambda j: phi[j] * r[lag + 1 - j]))) / (1 - list_sum(list_transform(range(1, lag + 1), lambda j: phi[j] * r[j]))) as last from lev where lag < 20))"
+)
+
+
 def _pdf(mean: str, std: str) -> str:
     return f"exp(-(((x - {mean}) / {std}) ^ 2) / 2) / (sqrt(2 * pi()) * {std})"
 
@@ -347,7 +397,7 @@ ORACLES = {
     "q_annualized_return": f"with {RETS} select ticker, ts, round(ret * sqrt(252), 7) as ret from rets",
     "q_var_hist": f"with {RETS} {_var_sql('rets')}",
     "q_var_param": f"with {RETS}, f as (select ticker, avg(ret * sqrt(252)) as mu, stddev_samp(ret * sqrt(252)) as sd from rets group by ticker) select ticker, round(-(mu + {Z05!r}::double * sd), 6) as var, round(-(mu + sd * {DENSITY!r}::double), 6) as cvar, round(-mu + sd * {DENSITY!r}::double, 6) as cvar_textbook from f",
-    "q_var_lookback": f"with {WEEKS}, r as (select * from (select ticker, date, close / nullif(lag(close) over (partition by ticker order by date), 0) - 1 as ret from weeks) where ret is not null), rets as (select * from (select *, max(date) over (partition by ticker) as last from r) where date >= last - 365) {_var_sql('rets')}",
+    "q_var_lookback": f"with {WEEKS}, near as (select w.* from weeks w join (select ticker, max(date) as last from weeks group by 1) l using (ticker) where date >= last - 365), rets as (select * from (select ticker, date, close / nullif(lag(close) over (partition by ticker order by date), 0) - 1 as ret from near) where ret is not null) {_var_sql('rets')}",
     "q_var_multi_confidence": f"with {RETS} " + " union all ".join(f"select *, {c}::double as confidence from ({_var_sql('rets', level=f'1 - {c}::double')})" for c in (0.9, 0.95, 0.99)),
     "q_stress_scenarios": f"with {RETS}, {STRESSED.format(src='rets')} {_var_sql('stressed', 'ticker, scenario')}",
     "q_stress_tail_only": f"with {RETS}, {STRESSED.format(src='rets')} select ticker, scenario, count(*) as n, round(avg(ret), 6) as mean_ret, round(min(ret), 6) as min_ret from stressed where scenario = 'Prolonged Decline' group by all",
@@ -371,18 +421,21 @@ ORACLES = {
     "q_gbm_final_stats": f"with {GBM} select ticker, {SUMMARY.format(x='price')} from paths where step = 12 group by ticker",
     "q_mc_histogram": f"with {GBM}, l as (select ticker, round(price, 4) as price from paths where step = 12), e as (select ticker, min(price) as lo, max(price) as hi from l group by ticker), b as (select ticker, lo, (hi - lo) / 20 as width, least(19, floor((price - lo) / ((hi - lo) / 20)))::int as bin from l join e using (ticker)) select ticker, bin, round(lo + bin * width, 4) as lower, round(lo + (bin + 1) * width, 4) as upper, count(*) as n from b group by ticker, bin, lo, width",
     "q_kernel_density": f"with {RETS}, f as (select ticker, min(ret) as lo, max(ret) as hi, stddev_samp(ret) * pow(count(ret), -0.2) as h, count(ret) as n from rets group by ticker), g as (select ticker, lo, hi, h, n, i.i, lo + (hi - lo) * i.i / 19 as x from f, range(20) i(i)) select g.ticker as ticker, round(x, 6) as x, round(sum(exp(-(((x - ret) / h) ^ 2) / 2) / (sqrt(2 * pi()) * h)) / min(n), 6) as density from g join rets on g.ticker = rets.ticker group by g.ticker, i, x",
-    "q_ou_final_stats": f"{OU.format(paths=OU_PATHS)} select ticker, {SUMMARY.format(x='exp(x)')} from walk where step = {OU_STEPS} group by ticker",
-    "q_ou_paths": f"{OU.format(paths=3)} select ticker, path, step, round(x, 5) as x from walk",
+    "q_gbm_yz_paths": GBM_YZ,
+    "q_ou_mean_path": f"{OU} select ticker, step, round(avg(exp(x)), 4) as mean_price from walk group by all",
+    "q_ou_final_stats": f"{OU} select ticker, {SUMMARY.format(x='exp(x)')} from walk where step = {OU_STEPS} group by ticker",
+    "q_ou_paths": f"{OU} select ticker, path, count(*) as points, round(min(x), 5) as low, round(max(x), 5) as high, round(arg_max(x, step), 5) as x_final from walk group by all",
     "q_bayes_posterior": f"with {POSTERIOR} select ticker, " + ", ".join(f"round({c}, 6) as {c}" for c in ("prior_mean", "prior_std", "like_std", "post_mean", "post_std")) + " from post",
     "q_bayes_grid": f"with {POSTERIOR}, g as (select *, g.i::int as n, prior_mean + prior_std * (6.0::double * g.i / 999 - 3) as x from post, range(1000) g(i)) select ticker, n as i, round(x, 7) as x, round({_pdf('prior_mean', 'prior_std')}, 7) as prior, round({_pdf('prior_mean', 'like_std')}, 7) as likelihood, round({_pdf('post_mean', 'post_std')}, 7) as posterior from g",
-    "q_ar1_ou_fit": f"with {OU_FIT} select ticker, round(x0, 6) as x0, round(slope, 6) as slope, round(intercept, 6) as intercept, round(case when slope > 0 then -ln(slope) * 252 end, 6) as theta, round(mu, 6) as mu, round(sigma, 6) as sigma from fit",
+    "q_ar1_ou_fit": f"with {OU_FIT} select ticker, round(x0, 6) as x0, round(slope, 6) as slope, round(intercept, 6) as intercept, round(case when slope > 0 then -ln(slope) * 252 end, 6) as theta, round((1 - slope) * 252, 6) as theta_euler, round(mu, 6) as mu, round(sigma, 6) as sigma from fit",
     "q_acf": f"with {RETS}, c as (select ticker, ts, ret - avg(ret) over (partition by ticker) as x from rets) " + " union all ".join(f"select ticker, {k} as lag, round(sum(p) / sum(x * x), 6) as acf from (select ticker, x, x * lag(x, {k}) over (partition by ticker order by ts) as p from c) group by ticker" for k in range(1, 21)),
+    "q_pacf": f"with recursive {RETS}, c as (select ticker, ts, ret - avg(ret) over (partition by ticker) as x from rets), acf as (" + " union all ".join(f"select ticker, {k} as lag, sum(p) / sum(x * x) as acf from (select ticker, x, x * lag(x, {k}) over (partition by ticker order by ts) as p from c) group by ticker" for k in range(1, 21)) + f"), {PACF} select ticker, lag, round(pacf, 6) as pacf from lev",
     "q_df_test": f"with {RETS}, l as (select ticker, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets), f as (select ticker, count(*) as n, regr_slope(y - x, x) as g, regr_sxx(y - x, x) as sxx, regr_syy(y - x, x) as syy, regr_sxy(y - x, x) as sxy from l where x is not null group by ticker) select ticker, n, round(g, 6) as gamma, round(g / sqrt((syy - g * sxy) / (n - 2) / sxx), 6) as t from f",
     "q_garch_filter": f"{FILTER} select ticker, ts, round(h, 6) as variance from rec",
     "q_std_resid": f"{FILTER} select ticker, ts, round(e / sqrt(h), 6) as std_resid from rec",
     "q_garch_forecast": f"{FILTER} select ticker, step, round(variance, 6) as variance from fc",
     "q_mse_rmse": f"{FILTER}, seen as (select ticker, 15 - row_number() over (partition by ticker order by ts desc) as step, ret * ret as s from rets qualify step >= 1) select seen.ticker as ticker, round(avg((s - variance) ^ 2), 5) as mse, round(sqrt(avg((s - variance) ^ 2)), 5) as rmse, round(avg(abs(s - variance)), 5) as mae from seen join fc on seen.ticker = fc.ticker and seen.step = fc.step group by seen.ticker",
-    "q_qq_pairs": f"{FILTER}, z as (select ticker, e / sqrt(h) as sample, row_number() over (partition by ticker order by e / sqrt(h), ts) as i, count(*) over (partition by ticker) as n from rec), t as (select *, (i - 0.5::double) / n as p, sqrt(-2 * ln(least((i - 0.5::double) / n, 1 - (i - 0.5::double) / n))) as t from z), v as (select *, t - (2.515517::double + 0.802853::double * t + 0.010328::double * t * t) / (1 + 1.432788::double * t + 0.189269::double * t * t + 0.001308::double * t * t * t) as v from t) select ticker, i::int as i, round(case when p < 0.5 then -v else v end, 4) as theoretical, round(sample, 4) as sample from v",
+    "q_qq_pairs": f"{FILTER}, z as (select ticker, e / sqrt(h) as sample, row_number() over (partition by ticker order by e / sqrt(h), ts) as i, count(*) over (partition by ticker) as n from rec), t as (select *, (i - 0.5::double) / n as p, (i - 0.5::double) / n - 0.5 as q, sqrt(-2 * ln(least((i - 0.5::double) / n, 1 - (i - 0.5::double) / n))) as t from z), v as (select *, {_ratio(normal.TAIL, 't')} as tail, q * {_ratio(normal.MIDDLE, 'q * q')} as middle from t) select ticker, i::int as i, round(case when least(p, 1 - p) >= {normal.TAIL_FROM}::double then middle when p < 0.5 then tail else -tail end, 4) as theoretical, round(sample, 4) as sample from v",
     "q_risk_report_document": f"with {BOTH}, {STRESSED.format(src='both_rets')}, v as (select ticker, '' as scenario, var, cvar from ({_var_sql('both_rets')}) union all select ticker, scenario, var, cvar from ({_var_sql('stressed', 'ticker, scenario')})) select case when ticker = 'PORTFOLIO' then 0 else 1 end as section, ticker, ticker || ':' || chr(10) || string_agg(case when scenario = '' then '' else '  ' || scenario || ': ' end || printf('VaR (95%%): %.4f  cVaR (95%%): %.4f', var, cvar), chr(10) order by scenario) as text from v group by ticker",
     "q_ewma": f"{EWMA} select ticker, ts, round(h, 6) as variance from rec",
 }

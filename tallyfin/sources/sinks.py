@@ -12,8 +12,9 @@ def write_by_criterion(picks: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """The report's lines in order, in one file (a report has a few lines a ticker)."""
-    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """The report's lines in order (section, ticker, its own figures and then its scenarios by name), in one file; a report has a few lines a ticker."""
+    shown = F.when(F.col("scenario") == "", F.concat("ticker", F.lit(": "), "line")).otherwise(F.concat(F.lit("  "), "scenario", F.lit(": "), "line"))
+    lines.orderBy("section", "ticker", "scenario").select(shown.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_documents(markdown: DataFrame, path: str) -> None:

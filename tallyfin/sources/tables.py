@@ -10,6 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scan(
+    spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, where: dict[str, object] | None = None, as_of: tuple[str, str] | None = None
+) -> DataFrame:
+    """Rows of a table whose columns have the wanted values (a list: any of them), up to a day of a date column; only the columns asked for.
+
+    Filters and columns are plain, so both reach the files.  An unknown column raises.
+    """
+    df = table(spark, sf_dir, name)
+    for column, wanted in (where or {}).items():
+        df = df.filter(F.col(column).isin(list(wanted)) if isinstance(wanted, (list, tuple, set)) else F.col(column) == wanted)
+    if as_of:
+        df = df.filter(F.col(as_of[0]) <= F.to_date(F.lit(as_of[1])))
+    return df.select(*columns) if columns else df
+
+
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, ts, open, high, low, close, volume): an hour's events of one type; first and last by event_id."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")

@@ -125,8 +125,8 @@ def test_text_clean(spark):
     pages = spark.createDataFrame(PAGES, "doc string, page int, text string")
     rep = textclean.repeated_lines(pages)
     assert [(r.line, r.pages) for r in rep.collect()] == [("ACME 10-K", 5)]
-    md = textclean.assemble(textclean.strip_repeated(pages, rep)).first()["markdown"]
-    assert md == "Total\nx1\n\nTotal\n## Item 1A. Risk Factors\n\nx3\n\nx4\n"
+    md = textclean.assemble(pages, textclean.strip_repeated(pages, rep)).first()["markdown"]
+    assert md == "Total\nx1\n\n\n\nTotal\n## Item 1A. Risk Factors\n\n\n\nx3\n\n\n\nx4\n"
     assert textclean.repeated_lines(pages.filter("page < 3")).count() == 0
 
 
