@@ -1,9 +1,10 @@
 """Line dedup: lines found in many documents are dropped, reassembled by position.
 
-All DataFrame operations.  Only a line's 128-bit key hash, never its text, is shuffled to count
-documents; a document sends each key once, and counting is partially aggregated before the shuffle,
-so a line that a third of all rows hold costs a few rows per task.  The keys over the threshold go
-back by a join that adaptive execution can split; texts are shuffled once, by document.
+All DataFrame operations.  Lines are hashed once; only a line's 128-bit key hash, never its text, is
+shuffled to count documents, and counting is partially aggregated before the shuffle, so a line that a
+third of all rows hold costs a few rows per task.  Keys found in enough rows go back to their lines:
+by a broadcast below a checked number, and beyond it by a shuffled join but for the hottest keys
+(``join_counted``), so that no key makes a task's rows.  Texts are shuffled once, by document.
 """
 
 from __future__ import annotations
@@ -11,13 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfin.llm.common import checkpoint, join_counted
+
 #: White space stripped from a line's ends.
 ENDS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys (of some 40 bytes) that are broadcast at most.
+MOST_KEYS = 1_000_000
+
+
+def folded(line: Column) -> Column:
+    """A line as the bytes of its UTF-8, each taken for a character and lower-cased.
+
+    Two lines fold alike just if they are equal but for the case of A-Z: of the bytes beyond ASCII only
+    leading ones have a lower case (C0 to DE have E0 to FE), and how many bytes follow one still tells them apart.
+    """
+    return F.lower(F.decode(F.encode(line, "UTF-8"), "ISO-8859-1"))
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(ENDS)), UPPER, LOWER)
+def _on_keys(lines: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+    """lines with the columns of their key; keys: (a, b, n, ...), one row a key."""
+    return lines.join(F.broadcast(keys.drop("n")), ["a", "b"]) if keys.count() <= MOST_KEYS else join_counted(lines, keys, ["a", "b"], total)
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -31,21 +45,25 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: s
     rest = [F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in (id_col, text_col))).alias("rest")] if carry else []
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     lines = F.split("text", "\n", -1)
+    docs = docs.withColumn("mark", F.xxhash64("text"))  # tells repeated ids apart
 
-    def placed_key(line: Column, place: Column) -> Column:
+    # each step is made of the one before by a function's argument, so a line is stripped and folded once
+    stripped = F.transform(lines, lambda line: F.btrim(line, F.lit(ENDS)))
+    keys = F.transform(stripped, lambda line: F.when(F.length(line) >= min_chars, folded(line)))
+
+    def placed_key(key: Column, place: Column) -> Column:
         """Place and two hashes with different seeds of a line that is long enough: a false meeting needs both to agree."""
-        key = line_key(line)
-        return F.when(F.length(key) >= min_chars, F.struct(place.alias("place"), F.xxhash64(key).alias("a"), F.xxhash64(F.lit(17), key).alias("b")))
+        return F.when(key.isNotNull(), F.struct(place.alias("place"), F.xxhash64(key).alias("a"), F.xxhash64(F.lit(17), key).alias("b")))
 
-    docs = docs.withColumn("mark", F.xxhash64("text"))  # tells repeated ids apart
-    placed = docs.filter("doc_id is not null").select("doc_id", "mark", F.explode(F.array_compact(F.transform(lines, placed_key))).alias("key"))
-    placed = placed.select("doc_id", "mark", "key.place", "key.a", "key.b")
-    held = placed.select("doc_id", "a", "b").distinct()
-    common = held.groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")).filter(F.col("docs") >= min_docs)
-    drops = (
-        placed.join(common, ["a", "b"]).filter(F.col("doc_id") < F.col("last"))
-        .groupBy("doc_id", "mark").agg(F.collect_set("place").alias("drops"))
-    )
+    held = docs.filter("doc_id is not null").select("doc_id", "mark", F.array_compact(F.transform(keys, placed_key)).alias("keys"))
+    held = checkpoint(held.filter(F.size("keys") > 0))
+    in_rows = held.select(F.explode(F.array_distinct(F.transform("keys", lambda k: F.struct(k["a"], k["b"])))).alias("key")).select("key.a", "key.b")
+    several = checkpoint(in_rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs))
+    total = int(several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    placed = held.select("doc_id", "mark", F.explode("keys").alias("key")).select("doc_id", "mark", "key.place", "key.a", "key.b")
+    documents = _on_keys(placed.select("doc_id", "a", "b"), several, total).distinct()
+    common = checkpoint(documents.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs))
+    drops = _on_keys(placed, common, total).filter(F.col("doc_id") < F.col("last")).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("drops"))
     more = ["rest"] if carry else []
     joined = docs.join(drops, ["doc_id", "mark"], "left").select("doc_id", "drops", lines.alias("lines"), *more)
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))  # by a hash set, so linear in the lines

@@ -5,9 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
+
 from .conftest_llm import LOW, brute_components, brute_repeats, shingles
 
-from tallyfin.llm import bpe, decontam, licences, linededup, minhash, pii, quality, repeats
+from tallyfin.llm import bpe, common, decontam, licences, linededup, minhash, pii, quality, repeats
 from tallyfin.llm.graph import components
 
 from .conftest import ODD
@@ -41,6 +43,20 @@ def test_many_near_copies_in_blocks(frame, corpus, monkeypatch):
     assert got == brute_components(corpus, 4)
 
 
+def test_near_duplicates_of_repeated_ids(frame, corpus):
+    """A document of several texts has the links of each; rows without words are their document's too."""
+    rng = __import__("random").Random(3)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    rows = corpus + [(505, a), (505, b), (509, b + " more"), (510, c), (511, c), (511, a + " end"), (512, c + " end"), (505, ""), (520, ""), (520, b), (521, None), (522, a), (522, a), (3, c)]
+    for hot in (10_000, 2):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "HOT", hot)
+            got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(rows), 4).collect())
+        comp = brute_components(rows, 4)
+        assert comp[509] == comp[505] == comp[512] == comp[520] == 3 and comp[521] == 521
+        assert got == sorted((i, comp[i], comp[i] == i) for i, _ in rows)
+
+
 def test_near_duplicates_of_nothing(frame):
     assert minhash.near_duplicates(frame([])).count() == 0
     assert [r.kept for r in minhash.near_duplicates(frame([(1, "a b c d e f")])).collect()] == [True]
@@ -76,6 +92,25 @@ def test_line_dedup(frame, corpus):
     assert linededup.dedup_lines(frame([])).count() == 0
 
 
+def test_line_dedup_by_shuffled_keys(frame, corpus, monkeypatch):
+    """Beyond the number of keys that are broadcast, hot keys and others give the same."""
+    want = sorted(map(str, linededup.dedup_lines(frame(both(corpus))).collect()))
+    monkeypatch.setattr(linededup, "MOST_KEYS", 0)
+    monkeypatch.setattr(common, "HOT", 2)
+    assert sorted(map(str, linededup.dedup_lines(frame(both(corpus))).collect())) == want
+
+
+def test_folded_lines(spark):
+    import random
+
+    rng = random.Random(1)
+    letters = "abAB éÉàÀßẞİıΣςσКк\u212a×÷ÿŸ日🙂ÐðÞþ"
+    found = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(3000)} | {"\u00c3\u0089", "\u00e3\u0089", "\u00c9"}
+    df = spark.createDataFrame([(x,) for x in found], "x string")
+    classes = df.groupBy(linededup.folded(F.col("x"))).agg(F.collect_set("x")).collect()
+    assert sorted(sorted(r[1]) for r in classes) == sorted(sorted(x for x in found if x.translate(LOW) == y) for y in {x.translate(LOW) for x in found})
+
+
 def test_repeats(frame, corpus):
     rows = both(corpus) + [(95_001, "ab" * 200), (95_002, "ab" * 150 + "c"), (95_003, "q" * 49), (95_004, "q" * 49), (95_005, "q" * 50)]
     want = brute_repeats(rows)
