@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass handles; a longer single text makes a pass of its own.
 PIECE_BYTES = 1 << 20
 
-#: Share of all rows from which a key counts as hot.
-HOT = 10_000
+#: Share of all rows from which a key counts as hot, and rows that are never too many for a task.
+HOT, HOT_ROWS = 10_000, 1000
+#: Rows of a few dozen bytes that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -56,15 +58,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
     """rows with the other columns of their key in ``keyed`` (one row a key, with its number of rows as n; n is left out).
 
-    Keys with more than one in HOT of all ``total`` rows are at most HOT and go by broadcast; the rest
-    is joined by a shuffle in which no key is more than that share of the rows.
+    Keys with more than one in HOT of all ``total`` rows (and HOT_ROWS at least) are at most HOT and go
+    by broadcast; the rest is joined by a shuffle in which no key is more than that share of the rows.
     """
-    hot_from = max(1, total // HOT)
+    hot_from = max(HOT_ROWS, total // HOT)
     hot = F.broadcast(keyed.filter(F.col("n") > hot_from).drop("n"))
     cold = keyed.filter(F.col("n") <= hot_from).drop("n")
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most MOST_BROADCAST rows; it is counted, so it should be a checkpoint."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (splitmix64)."""
     x = (x ^ (x >> _S30)) * _M1

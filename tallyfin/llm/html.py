@@ -263,7 +263,8 @@ def templates(pages: DataFrame) -> DataFrame:
     bounded by the tokens of a page.
     """
     tokens = pages.mapInArrow(_tokens, "host string, token long, pages long, a long, b long, place long")
-    vectors = checkpoint(tokens.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "a", "b", "place"))))
+    vectors = tokens.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "a", "b", "place")))
+    vectors = checkpoint(vectors.filter(F.col("pages") >= SUPPORT * LEAST_PAGES))  # fewer are in no template, and most tokens are in one page
     hosts = vectors.filter(F.col("token") == PAGE).select("host", F.col("pages").alias("of")).filter(F.col("of") >= LEAST_PAGES)
     frequent = vectors.filter(F.col("token") != PAGE).join(hosts, "host").filter(F.col("pages") >= SUPPORT * F.col("of"))
     classes = frequent.groupBy("host", "pages", "a", "b").agg(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("mean"), "token")).alias("members"))

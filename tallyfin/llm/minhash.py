@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfin.llm.common import checkpoint, clean_ids, join_counted, mix, shingle_sets, text_pieces
+from tallyfin.llm.common import checkpoint, clean_ids, join_counted, mix, shingle_sets, small, text_pieces
 from tallyfin.llm.graph import components
 
 BINS, BANDS, ROWS = 128, 32, 4
@@ -177,15 +177,16 @@ def _verify(k: int, percent: int):
 
 
 def _blocks(classes: DataFrame) -> DataFrame:
-    """classes (cluster, rep, mark, weight, keys) with their block ``at``.
+    """classes (cluster, rep, mark, weight, keys) with their block ``at`` and the number of ``groups`` of their cluster.
 
-    A cluster is dealt by its classes' least band key, which near copies tend to share, and what
-    is still too heavy by a hash.
+    A cluster of more than BLOCK_WEIGHT is dealt by its classes' least band key, which near copies tend
+    to share, and what is still too heavy by a hash.  There is at most one such cluster for each BLOCK_WEIGHT.
     """
-    size = classes.groupBy("cluster").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("long").alias("groups"))
-    grouped = classes.join(size, "cluster").withColumn("group", F.pmod(F.xxhash64(F.array_min("keys")), F.col("groups")))
-    parts = grouped.groupBy("cluster", "group").agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("long").alias("parts"))
-    return grouped.join(parts, ["cluster", "group"]).withColumn("at", F.shiftleft("group", 24) + F.pmod(F.xxhash64("rep", "mark"), F.col("parts")))
+    heavy = lambda df, keys, name: small(checkpoint(df.groupBy(*keys).agg(F.ceil(F.sum("weight") / BLOCK_WEIGHT).cast("long").alias(name)).filter(F.col(name) > 1)))
+    grouped = classes.join(heavy(classes, ["cluster"], "groups"), "cluster", "left").fillna(1, ["groups"])
+    grouped = grouped.withColumn("group", F.pmod(F.xxhash64(F.array_min("keys")), F.col("groups")))
+    dealt = grouped.join(heavy(grouped.filter("groups > 1"), ["cluster", "group"], "parts"), ["cluster", "group"], "left").fillna(1, ["parts"])
+    return dealt.withColumn("at", F.shiftleft("group", 24) + F.pmod(F.xxhash64("rep", "mark"), F.col("parts")))
 
 
 def link_classes(sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -199,7 +200,7 @@ def link_classes(sketches: DataFrame, docs: DataFrame, k: int, percent: int) ->
     shared = int(least.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     stars = join_counted(keyed, least, ["key"], shared).filter(F.col("rep") > F.col("first")).select("rep", "first").distinct()
     clusters = components(stars, "rep", "first").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    classes = sketches.select("rep", "mark", (F.col("n_shingles") + DOC_WEIGHT).alias("weight"), "keys").join(clusters, "rep")
+    classes = checkpoint(sketches.select("rep", "mark", (F.col("n_shingles") + DOC_WEIGHT).alias("weight"), "keys").join(clusters, "rep"))
     placed = checkpoint(_blocks(classes).select("cluster", "groups", "rep", "mark", "keys", "at"))
     inside = placed.select("cluster", F.col("at").alias("i"), F.col("at").alias("j"), F.lit(0).alias("side"), "rep", "mark")
     held = placed.filter("groups > 1").select("cluster", "at", F.explode("keys").alias("key")).groupBy("cluster", "key").agg(F.array_sort(F.collect_set("at")).alias("ats"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .conftest_llm import LOW, brute_components, brute_repeats, shingles
 
 from tallyfin.llm import bpe, common, decontam, licences, linededup, minhash, pii, quality, repeats
+from tallyfin.llm import graph
 from tallyfin.llm.graph import components
 
 from .conftest import ODD
@@ -48,9 +49,11 @@ def test_near_duplicates_of_repeated_ids(frame, corpus):
     rng = __import__("random").Random(3)
     a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abc")
     rows = corpus + [(505, a), (505, b), (509, b + " more"), (510, c), (511, c), (511, a + " end"), (512, c + " end"), (505, ""), (520, ""), (520, b), (521, None), (522, a), (522, a), (3, c)]
-    for hot in (10_000, 2):
+    for hot in (False, True):
         with pytest.MonkeyPatch.context() as patch:
-            patch.setattr(common, "HOT", hot)
+            if hot:  # keys and hubs of more than one row go the way of hot ones
+                for module, name, value in ((common, "HOT", 10**9), (common, "HOT_ROWS", 1), (graph, "HUBS", 1000), (graph, "HOT_ROWS", 1)):
+                    patch.setattr(module, name, value)
             got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame(rows), 4).collect())
         comp = brute_components(rows, 4)
         assert comp[509] == comp[505] == comp[512] == comp[520] == 3 and comp[521] == 521
@@ -97,6 +100,7 @@ def test_line_dedup_by_shuffled_keys(frame, corpus, monkeypatch):
     want = sorted(map(str, linededup.dedup_lines(frame(both(corpus))).collect()))
     monkeypatch.setattr(linededup, "MOST_KEYS", 0)
     monkeypatch.setattr(common, "HOT", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
     assert sorted(map(str, linededup.dedup_lines(frame(both(corpus))).collect())) == want
 
 
