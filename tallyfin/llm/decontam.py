@@ -9,7 +9,8 @@ held to the threshold is missed with probability below 1e-9 (small items are ske
 then nothing is missed).  Candidates are confirmed on the item's and the document's full sets.
 
 Items are broadcast in blocks of bounded bytes; a larger benchmark only takes more blocks.  Documents
-are read once a block, never shuffled, and a document's work depends on its own length.
+are read and hashed once for PASS blocks, never shuffled, and a document's work depends on its own length:
+its shingles are looked up in the blocks' sorted keys.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tallyfin.llm.common import clean_ids, join_hashes, mix, text_pieces, word_h
 
 #: Text of the items in a broadcast block, and coordinates of a sketch.
 BLOCK_BYTES = 16 << 20
+#: Blocks that a worker holds, and so that one pass over the documents searches.
+PASS = 4
 COORDINATES = 48
 MISS = 1e-9
 
@@ -76,16 +79,14 @@ def _search(index: dict, words: np.ndarray, threshold: float, gates: dict[int, n
         near = shingles[gate[(shingles >> np.uint64(44)).astype(np.int64)]]
         if not len(near):
             continue
-        at = np.searchsorted(index["keys"], near)
-        at[at == len(index["keys"])] = 0
-        if not (index["keys"][at] == near).any():
+        near = np.unique(near)
+        low, high = np.searchsorted(index["keys"], near), np.searchsorted(index["keys"], near, side="right")
+        n = high - low
+        if not n.any():
             continue
         found[width] = np.unique(shingles)
-    if not found:
-        return
-    for width, shingles in found.items():
-        held = np.isin(index["keys"], shingles, assume_unique=False)
-        owners, counts = np.unique(index["owners"][held], return_counts=True)
+        places = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        owners, counts = np.unique(index["owners"][places], return_counts=True)
         for owner, count in zip(owners.tolist(), counts.tolist()):
             if index["widths"][owner] == width:
                 hits[owner] = hits.get(owner, 0) + count
@@ -118,19 +119,30 @@ def _blocks(benchmark: DataFrame, k: int, threshold: float, item_id_col: str, it
         yield benchmark.sparkSession.sparkContext.broadcast(sketch_items([r["item_id"] for r in rows], [r["text"] for r in rows], k, threshold))
 
 
+def _passes(*args) -> Iterator[list[Broadcast]]:
+    """The blocks, PASS at a time."""
+    part: list[Broadcast] = []
+    for shared in _blocks(*args):
+        part.append(shared)
+        if len(part) == PASS:
+            yield part
+            part = []
+    if part:
+        yield part
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no item to the threshold (see find_contamination); no shuffle."""
     text_at = docs.columns.index(text_col)
-    for shared in _blocks(benchmark, k, threshold, item_id_col, item_text_col):
+    for part in _passes(benchmark, k, threshold, item_id_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            gates = _gates(index)
+        def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            indexes = [(shared.value, _gates(shared.value)) for shared in part]
             for batch in batches:
                 clean: list[bool] = []
                 for _, _, data, offsets in text_pieces(batch.column(text_at)):
                     words, at = word_hashes(data, offsets)
-                    clean += [next(_search(index, words[a:b], threshold, gates), None) is None for a, b in zip(at[:-1], at[1:])]
+                    clean += [all(next(_search(index, words[a:b], threshold, gates), None) is None for index, gates in indexes) for a, b in zip(at[:-1], at[1:])]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -147,19 +159,19 @@ def find_contamination(
     Repeated document rows give repeated pairs; repeated items give a pair each.
     """
     out = None
-    for shared in _blocks(benchmark, k, threshold, item_id_col, item_text_col):
+    for share in _passes(benchmark, k, threshold, item_id_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            gates = _gates(index)
+        def run(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:
+            indexes = [(shared.value, _gates(shared.value)) for shared in share]
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 out: list[tuple] = []
                 for first, end, data, offsets in text_pieces(batch.column(1)):
                     words, at = word_hashes(data, offsets)
                     for i in range(first, end):
-                        for owner, n, m in _search(index, words[at[i - first] : at[i - first + 1]], threshold, gates):
-                            out.append((ids[i], index["ids"][owner], n, m, n / m))
+                        for index, gates in indexes:
+                            for owner, n, m in _search(index, words[at[i - first] : at[i - first + 1]], threshold, gates):
+                                out.append((ids[i], index["ids"][owner], n, m, n / m))
                 columns = list(zip(*out)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
@@ -175,12 +187,13 @@ with words as (
   union all
   select 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') from benchmark
 ),
+widths as (select distinct least(5, len(w)) as k from words where kind = 'i' and len(w) > 0),
 shingles as (
-  select distinct kind, id, array_to_string(w[p:p + 4], ' ') as s
-  from (select kind, id, w, unnest(range(1, len(w) - 3)) as p from words where len(w) >= 5)
+  select distinct kind, id, k, array_to_string(w[p:p + k - 1], ' ') as s
+  from (select kind, id, w, k, unnest(range(1, (len(w) - k + 2)::bigint)) as p from words, widths where len(w) >= k and (kind = 'd' or k = least(5, len(w))))
 ),
 sizes as (select id, count(*) as n from shingles where kind = 'i' group by id),
-pairs as (select d.id as doc_id, i.id as item_id, count(*) as n_shared from shingles i join shingles d on i.s = d.s and d.kind = 'd' where i.kind = 'i' group by all)
+pairs as (select d.id as doc_id, i.id as item_id, count(*) as n_shared from shingles i join shingles d on i.s = d.s and i.k = d.k and d.kind = 'd' where i.kind = 'i' group by all)
 select doc_id, item_id, n_shared::bigint as n_shared, n::bigint as n_item, n_shared::double / n as containment
 from pairs join sizes on item_id = sizes.id where n_shared * 1000 >= 800 * n
 """

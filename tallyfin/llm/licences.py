@@ -157,8 +157,11 @@ class Scanner:
         starts, labels = [], set()
         for phrase, label in self.phrases:
             at = joined.find(phrase)
+            before = word = 0
             while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+                word += joined.count(b" ", before, at)  # from the place before, so the text is counted through once
+                before = at
+                starts.append(word)
                 labels.add(label)
                 at = joined.find(phrase, at + 1)
         return starts, labels

@@ -105,11 +105,13 @@ def _inputs(df: DataFrame, id_col: str, text_col: str, chars_col: str | None) ->
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled rows (those whose ids hash lowest) that are not held out.  Null ids and labels are left out; without rows, scores are 0.5."""
+    """Fit on at most ``sample`` labelled rows (those whose ids hash lowest, one for each id) that are not held out.  Null ids and labels are left out; without rows, scores are 0.5."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = _inputs(df, id_col, text_col, chars_col).join(F.broadcast(taken), "doc_id").select("doc_id", "text", "n_chars", "label")
+    met = _inputs(df, id_col, text_col, chars_col).join(F.broadcast(taken), "doc_id")
+    # of rows that repeat an id one stays (that of the least text hash), so that the sample bounds rows and not only ids
+    rows = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "n_chars", "label")).alias("r")).select("doc_id", "r.text", "r.n_chars", "r.label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -159,6 +159,11 @@ def test_decontamination(spark, frame, corpus):
                 if shared >= 0.8 * len(s) - 1e-9 and shared:
                     want[i, item, shared, len(s)] += 1
     bench = spark.createDataFrame(items, "item_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:  # many blocks, several to a pass
+        patch.setattr(decontam, "BLOCK_BYTES", 100)
+        patch.setattr(decontam, "PASS", 2)
+        assert Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.find_contamination(frame(rows), bench).collect()) == want
+        assert decontam.drop_contaminated(frame(rows), bench).count() == sum(not any(k[0] == i for k in want) for i, _ in rows)
     got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.find_contamination(frame(rows), bench).collect())
     assert got == want and want
     clean = decontam.drop_contaminated(frame(rows), bench)
@@ -179,6 +184,69 @@ def test_licences(frame, corpus):
     assert len(licences.scan_licences(frame(rows)).collect()) == len(rows) and licences.scan_licences(frame([])).count() == 0
 
 
+def test_licences_by_brute_force(corpus):
+    """Phrases by comparing words, maximal matches by trying every run of words, and chains by their rule."""
+    import random
+
+    rng = random.Random(2)
+    scanner = licences.Scanner()
+    words_of = lambda t: [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())]
+    templates = [(label, words_of(t)) for label, ts in licences.TEMPLATES.items() for t in ts]
+    least, runs = licences.MIN_MATCH, {}
+    for k, (_, t) in enumerate(templates):
+        for a in range(len(t)):
+            for b in range(a + least, len(t) + 1):
+                runs.setdefault(tuple(t[a:b]), set()).add((k, a))
+    texts = [t for _, t in corpus[:20]] + [None or "", "All Rights Reserved cc by cc BY; cc-by all rights reserved " * 3]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            t = rng.choice(templates)[1]
+            a = rng.randrange(len(t)) if rng.random() < 0.5 else 0
+            piece = list(t[a : a + rng.randrange(3, 80)])
+            if rng.random() < 0.6:
+                piece[rng.randrange(len(piece))] = "changed"
+            parts += piece + ["word"] * rng.randrange(3)
+        texts.append(", ".join(parts).title())
+    seen = 0
+    for text in texts:
+        w = words_of(text)
+        n_words, n_base, first, last, base, labels, score, spans = scanner.scan(text)
+        places = sorted(i for phrase in licences.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+        named = {label for phrase, label in licences.PHRASES.items() if any(w[i : i + len(phrase.split())] == phrase.split() for i in places)}
+        assert (n_words, n_base, first, last, base) == (len(w), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(named)))
+        matches = {}
+        for i in range(len(w)):
+            ends = [j for j in range(len(w), i + least - 1, -1) if tuple(w[i:j]) in runs]
+            if ends and not (i and tuple(w[i - 1 : ends[0]]) in runs):  # the longest from here, and no longer to the left
+                for k, a in runs[tuple(w[i : ends[0]])]:
+                    matches.setdefault(k, []).append((i, ends[0], a))
+        want = []
+        for k, found in matches.items():
+            size, chains = len(templates[k][1]), []
+            for m in sorted(found):
+                if chains and m[2] >= chains[-1][-1][2] and m[0] <= chains[-1][-1][1] + size:
+                    chains[-1].append(m)
+                else:
+                    chains.append([m])
+            for chain in chains:
+                covered = {p for s, e, a in chain for p in range(a, a + e - s)}
+                if len(covered) >= licences.COVER * size:
+                    want.append((templates[k][0], chain[0][0], max(e for _, e, _ in chain), len(covered) / size))
+        assert sorted((s["label"], s["first_word"], s["end_word"], s["cover"]) for s in spans) == sorted(want)
+        assert labels == ",".join(sorted(named | {x[0] for x in want})) and score == max([0.0, *(x[3] for x in want), *([1.0] if named else [])])
+        seen += len(want)
+    assert seen > 20
+
+
+def test_phrases_in_linear_time():
+    import time
+
+    start = time.monotonic()
+    assert licences.Scanner().scan("cc by " * 300_000)[1] == 300_000
+    assert time.monotonic() - start < 20
+
+
 def test_automaton():
     a = licences.Automaton([[1, 2, 3, 1, 2, 4], [5, 2, 3]])
     assert [(s, e) for s, e, _ in a.matches([9, 1, 2, 3, 1, 2, 4, 5, 2, 3], 3)] == [(1, 7), (7, 10)]
@@ -225,6 +293,44 @@ def test_quality(spark, frame, corpus):
     assert {r.score for r in quality.classify(frame(rows[:3]), labels.limit(0)).collect()} and quality.classify(frame([]), labels).count() == 0
 
 
+def test_features_by_brute_force(corpus):
+    """Statistics counted character by character; slots and values word by word."""
+    import numpy as np
+
+    from tallyfin.llm.common import text_pieces, word_hashes
+    import pyarrow as pa
+
+    texts = [t for _, t in corpus[:40]] + ["", None, "A! b| c| #$%\n\n12, Zeit. éß;", "!!!\t???", "x" * 500]
+    got = [f for _, _, data, offsets in text_pieces(pa.array(texts)) for f in quality.features(data, offsets, [None] * len(texts))]
+    for text, (slots, x) in zip(texts, got):
+        raw = (text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        of = lambda chars: sum(b in chars for b in raw)
+        lines, size, n = raw.count(b"\n") + 1, max(1, len(raw)), max(1, len(words))
+        symbols, pipes, bangs = of(b"#$%&*@^~_+=<>\\{}[]"), of(b"|"), of(b"!?")
+        by_slot = Counter()
+        for w in words:
+            one = np.frombuffer(w, np.uint8)
+            by_slot[int(word_hashes(one, np.array([0, len(one)]))[0][0] >> np.uint64(51))] += 1
+        want = {
+            "log_chars": np.log1p(len(raw)) / 10, "log_words": np.log1p(len(words)) / 10, "mean_word": min(4, (len(raw) - of(b" \t\x0b\x0c\r")) / n / 10), "symbols": min(4, 10 * symbols / size),
+            "digits": 10 * of(b"0123456789") / size, "upper": 3 * of(bytes(range(65, 91))) / size, "pipes": min(4, 20 * pipes / size), "bangs": min(4, 20 * bangs / size), "symbols_per_word": min(4, symbols / n),
+            "lines": min(4, 10 * lines / n), "short_lines": float(len(raw) / lines < 30), "stops": min(4, 5 * of(b".") / n), "commas": min(4, 5 * of(b",;:") / n), "high_bytes": 2 * of(range(128, 256)) / size,
+            "repeated_words": 1 - len(by_slot) / n, "inner_symbols": min(4, (symbols + pipes + bangs) / n), "log_metadata_chars": np.log1p(len(raw)) / 10, "empty": float(not words),
+        }
+        assert dict(zip(quality.STATISTICS, x[: quality.N_STATS])) == pytest.approx(want)
+        length = np.sqrt(sum(np.log1p(c) ** 2 for c in by_slot.values())) or 1
+        assert dict(zip((slots[quality.N_STATS :] - quality.N_STATS).tolist(), x[quality.N_STATS :])) == pytest.approx({s: quality.WORD_LENGTH * np.log1p(c) / length for s, c in by_slot.items()})
+
+
+def test_sample_holds_an_id_once(spark, frame, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality.Machine, "fit", lambda self, rows, labels, **k: fitted.append((len(rows), labels)) or self)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    quality.train(frame([(3, f"text {k}") for k in range(500)] + [(k, "other") for k in range(12)]), labels)
+    assert fitted[0][0] == len(fitted[0][1]) <= 12
+
+
 def test_interactions_by_squares():
     """The linear-time identity equals the sum over pairs."""
     import numpy as np
