@@ -241,3 +241,23 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     keyed = counts.join(linked, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component_id"), "n")
     out = join_counted(owned, checkpoint(keyed), ["rep"], total).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     return out.unionByName(member.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("boolean").alias("kept")))
+
+
+#: All pairs that share a shingle, and all that each document reaches: for small tables.
+ORACLE = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+),
+shingles as (
+  select distinct doc_id, array_to_string(w[p:p + 3], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2)::bigint)) as p from words where len(w) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+  select x, y from (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all)
+  join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)
+),
+reached as (select doc_id, doc_id as other from documents union select y, other from reached join pairs on doc_id = x),
+parts as (select doc_id, min(other) as component_id from reached group by doc_id)
+select parts.doc_id as doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, parts.doc_id = component_id as kept from parts left join sizes on parts.doc_id = sizes.doc_id
+"""

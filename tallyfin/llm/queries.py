@@ -54,4 +54,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_neighbours": op2_neighbours, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op7_personal_data": op7_personal_data, "op8_html": op8_html, "op9_repeats": op9_repeats, "op10_decontamination": op10_decontamination}
-ORACLES = {"op5_line_dedup": linededup.ORACLE, "op10_decontamination": decontam.ORACLE}
+ORACLES = {"op4_near_dedup": minhash.ORACLE, "op9_repeats": repeats.ORACLE, "op5_line_dedup": linededup.ORACLE, "op10_decontamination": decontam.ORACLE}

@@ -217,16 +217,21 @@ def _unpack(table: pa.Table) -> list[dict]:
     return sorted(table.to_pylist(), key=lambda r: r.get("range", r.get("block")))
 
 
+def _by_range(codes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, first, end) of the ranges that sorted codes fall in: however many ranges there are, a block has no more messages than codes."""
+    held, first = np.unique(codes >> np.uint64(32), return_index=True)
+    return list(zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(codes)]))
+
+
 def _send_codes(table: pa.Table, ranges: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     codes, several = Block(table, ranges).codes()
-    at = np.searchsorted(codes, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) if len(codes) else np.zeros(ranges + 1, int)
-    held = [r for r in range(ranges) if at[r + 1] > at[r]]
+    held = _by_range(codes)
     return pa.table(
         {
-            "range": pa.array(held, pa.int32()), "block": pa.array([block] * len(held), pa.int32()),
-            "codes": pa.array([codes[at[r] : at[r + 1]].astype(np.uint32).tobytes() for r in held], pa.binary()),
-            "several": pa.array([np.packbits(several[at[r] : at[r + 1]]).tobytes() for r in held], pa.binary()),
+            "range": pa.array([r for r, _, _ in held], pa.int32()), "block": pa.array([block] * len(held), pa.int32()),
+            "codes": pa.array([codes[a:b].astype(np.uint32).tobytes() for _, a, b in held], pa.binary()),
+            "several": pa.array([np.packbits(several[a:b]).tobytes() for _, a, b in held], pa.binary()),
         }
     )
 
@@ -270,15 +275,12 @@ def _send_phrases(blocks: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
     if blocks.num_rows and answers.num_rows:
         block = Block(blocks, ranges)
         block.phrases(_shared_codes(answers))
-        at = np.searchsorted(block.phrase_code, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
-        for r in range(ranges):
-            a, b = int(at[r]), int(at[r + 1])
-            if b > a:
-                sizes = block.phrase_size[a:b]
-                text = block.data[np.repeat(block.phrase_start[a:b], sizes) + _within(sizes)].tobytes()
-                row = (r, blocks.column("block")[0].as_py(), b - a, len(text), block.phrase_code[a:b].astype(np.uint32).tobytes(), sizes.astype(np.uint8).tobytes(), block.phrase_doc[a:b].astype(np.int64).tobytes(), pa.compress(text, "zstd", asbytes=True))
-                for column, value in zip(out, row):
-                    column.append(value)
+        for r, a, b in _by_range(block.phrase_code):
+            sizes = block.phrase_size[a:b]
+            text = block.data[np.repeat(block.phrase_start[a:b], sizes) + _within(sizes)].tobytes()
+            row = (r, blocks.column("block")[0].as_py(), b - a, len(text), block.phrase_code[a:b].astype(np.uint32).tobytes(), sizes.astype(np.uint8).tobytes(), block.phrase_doc[a:b].astype(np.int64).tobytes(), pa.compress(text, "zstd", asbytes=True))
+            for column, value in zip(out, row):
+                column.append(value)
     return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
 
@@ -336,8 +338,8 @@ def _mark(blocks: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
     rows = _unpack(answers)
     block.phrases(_shared_codes(answers) if rows else np.zeros(0, np.uint64))
     counts = block.phrase_size - LENGTH + 1
-    at = np.searchsorted(block.phrase_code, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
-    flags = [np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=int(counts[at[r["range"]] : at[r["range"] + 1]].sum())).astype(bool) for r in rows]
+    ends = {r: (a, b) for r, a, b in _by_range(block.phrase_code)}
+    flags = [np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=int(counts[slice(*ends[r["range"]])].sum())).astype(bool) for r in rows]
     spans = block.spans(np.concatenate(flags) if flags else np.zeros(0, bool))
     kept = []
     for d, cuts in enumerate(spans):
@@ -367,3 +369,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     phrases = by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: _send_phrases(b, a, n), _PHRASES)
     verdicts = phrases.groupBy("range").applyInArrow(_answer_phrases, "block int, range int, shared binary, repeated binary")
     return by_block.cogroup(verdicts.groupBy("block")).applyInArrow(lambda b, a: _mark(b, a, n), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+
+
+#: Every string of 50 bytes, as hexadecimal digits: for small tables.
+ORACLE = """
+with bytes as (select doc_id, hex(coalesce(text, '')) as h, length(hex(coalesce(text, ''))) // 2 as n from documents),
+strings as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as i from bytes)),
+first as (select s, min(doc_id) as low from strings group by s having min(doc_id) < max(doc_id)),
+hits as (select doc_id, i from strings join first using (s) where doc_id > low),
+marked as (select *, sum(new) over (partition by doc_id order by i) as run from (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new from hits)),
+runs as (select doc_id, min(i) as a, max(i) + 50 as b from marked group by doc_id, run),
+gaps as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b, 1 as gone, b - a as size from runs
+  union all select doc_id, coalesce((select max(b) from runs where runs.doc_id = bytes.doc_id), 0), n, 0, 0 from bytes
+)
+select doc_id, n as n_bytes, sum(size)::bigint as n_removed, sum(gone)::bigint as n_spans, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (gaps.b - a)), '' order by a))) as kept_sha256
+from gaps join bytes using (doc_id) group by doc_id, n
+"""
