@@ -39,7 +39,7 @@ def repeated_lines(pages: DataFrame, share: float = 0.6, least: int = 3, min_pag
     ``min_page_count`` sets the number of pages outright.
     """
     seen = page_lines(pages).select("doc", "page", stripped(F.col("line")).alias("line")).filter("line <> ''").distinct()
-    counted = seen.groupBy("doc", "line").agg(F.count("*").alias("pages"))
+    counted = seen.groupBy("doc", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= (min_page_count or least))  # few are left to meet their document
     of = page_counts(pages).select("doc", F.col("pages").alias("of"))
     needed = F.lit(min_page_count) if min_page_count else F.greatest(F.lit(least), F.floor(F.col("of") * share))
     return counted.join(of, "doc").filter((F.col("of") >= 3) & (F.col("pages") >= needed)).select("doc", "line", "pages")
