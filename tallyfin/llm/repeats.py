@@ -17,8 +17,9 @@ Exchange.  Documents are dealt once into blocks of bounded bytes.  (1) Each bloc
 trigger codes, four bytes each, by range; ranges answer one bit a code: does another document hold
 it?  (2) Blocks send the distinct phrases of those codes with the least document that holds each,
 compressed; ranges answer one bit a string.  (3) Blocks mark their documents.  A passage that a third
-of all documents hold is sent once a block, not once a document.  It is one plan: the blocks'
-exchange is reused by the three passes, and lost executors are recomputed from it.
+of all documents hold is sent once a block, not once a document; a trigger with very many phrases is
+told as hot in (1), and its strings then have codes of their own, so no range is one trigger's.  It is
+one plan: the blocks' exchange is reused by the three passes, and lost executors are recomputed from it.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from tallyfin.llm.common import clean_ids, mix
 LENGTH, TRIGGER = 50, 20
 #: Text bytes in a block (and so a task's memory), bytes hashed at once, and strings in a phrase at most.
 BLOCK_BYTES, PIECE, LONGEST = 8 << 20, 1 << 20, 64
+#: Blocks in a partition of an exchange; distinct phrases of a code in a block from which it tells their number, and phrases of a code in all from which it is hot.
+PER_PARTITION, TOLD_FROM, HOT_PHRASES = 2, 8, 200_000
 
 _A = 0x9E3779B97F4A7C15
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64))
@@ -118,31 +121,60 @@ class Block:
         known = self.known[self.doc] if len(self.doc) else np.zeros(0, bool)
         self.start, self.count, self.doc, key = self.start[known], self.count[known], self.doc[known], key[known]
         # the trigger is a least hash and so small: spread it before it is cut
-        key = mix(key + np.uint64(1))
-        self.code = (((key >> np.uint64(32)) * np.uint64(ranges)) & ~np.uint64(0xFFFFFFFF)) | (key & np.uint64(0xFFFFFFFF))
+        self.ranges = ranges
+        self.code = self._code(mix(key + np.uint64(1)))
 
-    def codes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct codes, and whether two documents of this block hold each."""
+    def _code(self, key: np.ndarray) -> np.ndarray:
+        return (((key >> np.uint64(32)) * np.uint64(self.ranges)) & ~np.uint64(0xFFFFFFFF)) | (key & np.uint64(0xFFFFFFFF))
+
+    def codes(self, told_from: int = TOLD_FROM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct codes, whether two documents of this block hold each, and the number of its distinct phrases if that is ``told_from`` or more, else 0."""
         order = np.argsort(self.code, kind="stable")
         code, doc = self.code[order], self.doc_ids[self.doc[order]]
         at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
         if not len(at):
-            return code, np.zeros(0, bool)
-        return code[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
-
-    def phrases(self, shared: np.ndarray) -> None:
-        """Keep phrases of shared codes and number the distinct ones by code and hash: phrase, and per distinct one code, size, place and least doc."""
-        held = np.isin(self.code, shared)
-        self.start, self.count, self.doc, self.code = self.start[held], self.count[held], self.doc[held], self.code[held]
-        size = self.count + LENGTH - 1
+            return code, np.zeros(0, bool), np.zeros(0, np.int64)
+        times = np.diff(np.append(at, len(code)))
+        told = np.zeros(len(at), np.int64)
+        often = np.repeat(times >= told_from, times)
+        if often.any():
+            pairs = np.unique(np.stack([np.repeat(np.arange(len(at)), times)[often].astype(np.uint64), self._digests(self.start[order[often]], self.count[order[often]] + LENGTH - 1)], 1), axis=0)
+            which, n = np.unique(pairs[:, 0].astype(np.int64), return_counts=True)
+            told[which[n >= told_from]] = n[n >= told_from]
+        return code[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at), told
+
+    def split(self, hot: np.ndarray) -> np.ndarray:
+        """Make each string of the phrases of hot codes a phrase of its own, whose code is of all its bytes; returns these codes.
+
+        So the strings of a trigger that stands in ever different surroundings are dealt to all ranges.
+        """
+        if not len(hot):
+            return hot
+        of = np.isin(self.code, hot)
+        start = np.repeat(self.start[of], self.count[of]) + _within(self.count[of])
+        doc, one = np.repeat(self.doc[of], self.count[of]), np.ones(len(start), np.int64)
+        code = self._code(mix(self._digests(start, one + LENGTH - 1) + np.uint64(7)))
+        self.start, self.count = np.concatenate([self.start[~of], start]), np.concatenate([self.count[~of], one])
+        self.doc, self.code = np.concatenate([self.doc[~of], doc]), np.concatenate([self.code[~of], code])
+        return np.unique(code)
+
+    def _digests(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         digest = np.zeros(len(size), np.uint64)
         for at in range(0, len(size), 4096):
-            rows = self._rows(self.start[at : at + 4096], size[at : at + 4096])
+            rows = self._rows(start[at : at + 4096], size[at : at + 4096])
             eight = rows.view(np.uint64)  # LONGEST + LENGTH - 1 bytes, padded to eights
             h = size[at : at + 4096].astype(np.uint64)
             for j in range(eight.shape[1]):
                 h = mix(h ^ eight[:, j]) + np.uint64(j)
             digest[at : at + 4096] = h
+        return digest
+
+    def phrases(self, shared: np.ndarray) -> None:
+        """Keep phrases of shared codes and number the distinct ones by code and hash: phrase, and per distinct one code, size, place and least doc."""
+        held = np.isin(self.code, shared)
+        self.start, self.count, self.doc, self.code = self.start[held], self.count[held], self.doc[held], self.code[held]
+        size = self.count + LENGTH - 1
+        digest = self._digests(self.start, size)
         order = np.lexsort((self.doc, digest, self.code))
         new = np.ones(len(order), bool)
         a, b = order[:-1], order[1:]
@@ -223,21 +255,22 @@ def _by_range(codes: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(codes)]))
 
 
-def _send_codes(table: pa.Table, ranges: int) -> pa.Table:
+def _send_codes(table: pa.Table, ranges: int, told_from: int) -> pa.Table:
     block = table.column("block")[0].as_py()
-    codes, several = Block(table, ranges).codes()
+    codes, several, told = Block(table, ranges).codes(told_from)
     held = _by_range(codes)
     return pa.table(
         {
             "range": pa.array([r for r, _, _ in held], pa.int32()), "block": pa.array([block] * len(held), pa.int32()),
             "codes": pa.array([codes[a:b].astype(np.uint32).tobytes() for _, a, b in held], pa.binary()),
             "several": pa.array([np.packbits(several[a:b]).tobytes() for _, a, b in held], pa.binary()),
+            "told": pa.array([np.stack([np.flatnonzero(told[a:b]), told[a:b][told[a:b] > 0]]).astype(np.uint32).tobytes() for _, a, b in held], pa.binary()),
         }
     )
 
 
-def _answer_codes(table: pa.Table) -> pa.Table:
-    """Per block of one range: the codes that another document (of any block) holds too."""
+def _answer_codes(table: pa.Table, told_from: int, hot_phrases: int) -> pa.Table:
+    """Per block of one range: the codes that another document (of any block) holds too, and which of them are hot."""
     rows = _unpack(table.drop_columns("range"))
     codes = [np.frombuffer(r["codes"], np.uint32) for r in rows]
     several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(c)).astype(bool) for r, c in zip(rows, codes)])
@@ -251,17 +284,25 @@ def _answer_codes(table: pa.Table) -> pa.Table:
     shared[order] = twice
     # a code that is in one block is shared there if two of its documents hold it; in two blocks, by both
     ends = np.cumsum([0, *map(len, codes)])
+    # a code has under ``told_from`` phrases in a block that tells none of it
+    phrases = np.full(len(flat), told_from, np.int64)
+    for row, begin in zip(rows, ends[:-1]):
+        where, n = np.frombuffer(row["told"], np.uint32).reshape(2, -1).astype(np.int64)
+        phrases[begin + where] = n
+    distinct, number = np.unique(flat, return_inverse=True)
+    hot = shared & (np.bincount(number, weights=phrases, minlength=len(distinct))[number] > hot_phrases)
     r = table.column("range")[0].as_py()
     return pa.table(
         {
             "block": pa.array([x["block"] for x in rows], pa.int32()), "range": pa.array([r] * len(rows), pa.int32()),
             "shared": pa.array([c[shared[a:b]].tobytes() for c, a, b in zip(codes, ends[:-1], ends[1:])], pa.binary()),
+            "hot": pa.array([c[hot[a:b]].tobytes() for c, a, b in zip(codes, ends[:-1], ends[1:])], pa.binary()),
         }
     )
 
 
-def _shared_codes(answers: pa.Table) -> np.ndarray:
-    parts = [np.frombuffer(r["shared"], np.uint32).astype(np.uint64) | (np.uint64(r["range"]) << np.uint64(32)) for r in _unpack(answers)]
+def _told_codes(rows: list[dict], name: str) -> np.ndarray:
+    parts = [np.frombuffer(r[name], np.uint32).astype(np.uint64) | (np.uint64(r["range"]) << np.uint64(32)) for r in rows if r[name]]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
@@ -273,8 +314,9 @@ def _send_phrases(blocks: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     out: list[list] = [[] for _ in names]
     if blocks.num_rows and answers.num_rows:
-        block = Block(blocks, ranges)
-        block.phrases(_shared_codes(answers))
+        block, told = Block(blocks, ranges), _unpack(answers)
+        strings = block.split(_told_codes(told, "hot"))
+        block.phrases(np.concatenate([_told_codes(told, "shared"), strings]))
         for r, a, b in _by_range(block.phrase_code):
             sizes = block.phrase_size[a:b]
             text = block.data[np.repeat(block.phrase_start[a:b], sizes) + _within(sizes)].tobytes()
@@ -334,9 +376,10 @@ _MARKED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans",
 def _mark(blocks: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
     if not blocks.num_rows:
         return _MARKED.empty_table()
-    block = Block(blocks, ranges)
-    rows = _unpack(answers)
-    block.phrases(_shared_codes(answers) if rows else np.zeros(0, np.uint64))
+    block, told = Block(blocks, ranges), _unpack(answers)
+    block.split(_told_codes(told, "hot"))
+    rows = [r for r in told if r["repeated"] is not None]
+    block.phrases(_told_codes(rows, "shared"))
     counts = block.phrase_size - LENGTH + 1
     ends = {r: (a, b) for r, a, b in _by_range(block.phrase_code)}
     flags = [np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=int(counts[slice(*ends[r["range"]])].sum())).astype(bool) for r in rows]
@@ -352,7 +395,7 @@ def _mark(blocks: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
     return pa.Table.from_arrays([block.ids, pa.array(np.diff(block.offsets)), pa.array(spans, _MARKED.field("spans").type), pa.array(kept, pa.binary())], schema=_MARKED)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, told_from: int = TOLD_FROM, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """Per row: doc_id, n_bytes long, spans array<start, end> (maximal removed byte runs), kept binary.
 
     Texts count as UTF-8 bytes, null as empty.  Strings are judged on the input, never across texts.
@@ -362,13 +405,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = clean_ids(df, id_col, text_col)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-int(size) // block_bytes))
+    parts = -(-n // PER_PARTITION)  # a task's work is a few blocks however many there are
     blocks = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text")
-    by_block = blocks.groupBy("block")
-    sent = by_block.applyInArrow(lambda t: _send_codes(t, n), "range int, block int, codes binary, several binary")
-    answers = sent.groupBy("range").applyInArrow(_answer_codes, "block int, range int, shared binary").filter(F.length("shared") > 0)
+    by_block = blocks.repartition(parts, "block").groupBy("block")
+    sent = by_block.applyInArrow(lambda t: _send_codes(t, n, told_from), "range int, block int, codes binary, several binary, told binary")
+    answers = sent.repartition(parts, "range").groupBy("range").applyInArrow(lambda t: _answer_codes(t, told_from, hot_phrases), "block int, range int, shared binary, hot binary").filter(F.length("shared") > 0)
+    answers = answers.repartition(parts, "block")
     phrases = by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: _send_phrases(b, a, n), _PHRASES)
-    verdicts = phrases.groupBy("range").applyInArrow(_answer_phrases, "block int, range int, shared binary, repeated binary")
-    return by_block.cogroup(verdicts.groupBy("block")).applyInArrow(lambda b, a: _mark(b, a, n), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    verdicts = phrases.repartition(parts, "range").groupBy("range").applyInArrow(_answer_phrases, "block int, range int, shared binary, repeated binary")
+    none = F.lit(None).cast("binary")
+    hot = answers.filter(F.length("hot") > 0).select("block", "range", none.alias("shared"), none.alias("repeated"), "hot")
+    told = verdicts.withColumn("hot", none).unionByName(hot).repartition(parts, "block")
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(lambda b, a: _mark(b, a, n), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 #: Every string of 50 bytes, as hexadecimal digits: for small tables.

@@ -121,6 +121,9 @@ def test_repeats(frame, corpus):
     for block_bytes in (3000, 1 << 20):
         got = Counter((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(frame(rows), block_bytes=block_bytes).collect())
         assert got == want
+    # codes of several phrases count as hot: their strings go by themselves
+    got = Counter((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(frame(rows), block_bytes=3000, told_from=2, hot_phrases=3).collect())
+    assert got == want
     assert repeats.remove_repeats(frame([])).count() == 0
 
 
