@@ -9,9 +9,10 @@ from tallyfin.functions import normal
 from tallyfin.functions.scan import scan
 
 
-def _paths(models: DataFrame, paths: int) -> DataFrame:
-    """Each model's row for each path number from 0."""
-    return models.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
+def _paths(models: DataFrame, paths: int, keys: str = "ticker", name: str = "path") -> DataFrame:
+    """Each model's row for each path number from 0, dealt to all tasks: a few small rows become much work, which their size does not tell."""
+    parts = int(models.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return models.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition(parts, keys, name)
 
 
 def gbm_paths(models: DataFrame, horizon: float = 0.5, dt: float = 1 / 26, paths: int = 1000, keys: str = "ticker", logs: bool = False) -> DataFrame:
@@ -21,7 +22,7 @@ def gbm_paths(models: DataFrame, horizon: float = 0.5, dt: float = 1 / 26, paths
     at the first step, so step 0 is not s0.  With ``logs`` the last column is log_price, which no volatility takes out of range.
     """
     n = int(horizon / dt)
-    grid = _paths(models, paths).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    grid = _paths(models, paths, keys).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     w = Window.partitionBy(keys, "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     wiener = F.sum(normal.normal(keys, "path", "step") * F.sqrt(F.lit(dt))).over(w)
     t = F.col("step") * (horizon / (n - 1) if n > 1 else 0.0)
@@ -49,7 +50,7 @@ def summary(df: DataFrame, value: str, keys: str = "ticker") -> DataFrame:
 def ou_paths(models: DataFrame, horizon: float = 1.0, dt: float = 1 / 252, paths: int = 1000, keys: str = "ticker") -> DataFrame:
     """(keys, path, x, x_final): a mean-reverting path by Euler steps, folded within its row; models: (keys, x0, mu, sigma, theta)."""
     n = int(horizon / dt)
-    drawn = _paths(models, paths)
+    drawn = _paths(models, paths, keys)
     steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: normal.normal(keys, "path", i))
     step = lambda x, z: x + F.col("theta") * (F.col("mu") - x) * dt + F.col("sigma") * F.sqrt(F.lit(dt)) * z
     x0 = F.col("x0").cast("double")
@@ -63,7 +64,7 @@ def ou_final(models: DataFrame, horizon: float = 1.0, dt: float = 1 / 252, paths
     n = int(horizon / dt)
     steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: normal.normal(keys, "path", i))
     step = lambda x, z: x + F.col("theta") * (F.col("mu") - x) * dt + F.col("sigma") * F.sqrt(F.lit(dt)) * z
-    return _paths(models, paths).select(keys, "path", F.aggregate(steps, F.col("x0").cast("double"), step).alias("x_final"))
+    return _paths(models, paths, keys).select(keys, "path", F.aggregate(steps, F.col("x0").cast("double"), step).alias("x_final"))
 
 
 def dcf_draws(companies: DataFrame, draws: int = 10_000, years: int = 5, keys: str = "company") -> DataFrame:
@@ -74,7 +75,7 @@ def dcf_draws(companies: DataFrame, draws: int = 10_000, years: int = 5, keys: s
     flow growth from 2 to 10 %.  ``invalid`` marks draws whose growth reaches the WACC.
     """
     between = lambda low, high, name: low + (high - low) * normal.uniform(F.lit(name), keys, "draw")
-    base = companies.withColumnsRenamed({"wacc": "_w", "terminal_growth": "_g"}).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    base = _paths(companies.withColumnsRenamed({"wacc": "_w", "terminal_growth": "_g"}), draws, keys, "draw")
     drawn = base.withColumns({
         "wacc": between(0.8 * F.col("_w"), 1.2 * F.col("_w"), "wacc"),
         "terminal_growth": between(0.5 * F.col("_g"), F.least(1.5 * F.col("_g"), 0.9 * F.col("_w")), "growth"),

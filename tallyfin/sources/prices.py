@@ -18,20 +18,22 @@ def read_price_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """(prices, corporate actions, rejected files) of all CSV files under a path or glob; the file's name is the ticker.
 
     Files are read as lines, so each may order its columns in its own way; a file that lacks a
-    required column is reported in the third table and otherwise left out.  Rows of dividends go to the second.
+    required column is reported in the third table and otherwise left out.  Headers are read at once, to
+    learn how many cells rows may have.  Rows of dividends go to the second.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     ticker = F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1)
     looks = F.lower(F.translate("value", "\ufeff\u00a0", "  ")).rlike(r"^\s*\"?date\s*\"?\s*,")
     header = lines.filter(looks).groupBy("file").agg(F.first("value").alias("header"))
-    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(16)), {"mode": "PERMISSIVE"})
     names = F.transform(F.split("header", ","), lambda h: F.regexp_replace(F.lower(F.btrim(h, F.lit(" \u00a0\ufeff\t\"\r"))), "[\\s\u00a0]+", "_"))
     headed = header.select("file", names.alias("names"))
+    width = max(len(REQUIRED), headed.agg(F.coalesce(F.max(F.size("names")), F.lit(0)).alias("n")).first()["n"])  # the widest header
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
     lacking = headed.select("file", F.array_except(F.array(*map(F.lit, REQUIRED)), "names").alias("missing"))
     files = lines.select("file").distinct().join(lacking, "file", "left")
     rejected = files.filter(F.col("missing").isNull() | (F.size("missing") > 0)).select(ticker.alias("ticker"), F.coalesce(F.array_join("missing", ", "), F.lit("header")).alias("missing"))
     rows = lines.filter(~looks & (F.length(F.trim("value")) > 0)).join(headed, "file").select("file", "names", cells.alias("c"))
-    rows = rows.select("file", "names", F.array(*(F.col("c")[f"c{i}"] for i in range(16))).alias("cells"))
+    rows = rows.select("file", "names", F.array(*(F.col("c")[f"c{i}"] for i in range(width))).alias("cells"))
     cell = lambda n: F.when(F.array_contains("names", n), F.get("cells", (F.array_position("names", n) - 1).cast("int")))
     named = rows.select("file", *(cell(n).alias(n) for n in REQUIRED))
     good = named.join(files.filter(F.size("missing") == 0).select("file"), "file", "left_semi")
