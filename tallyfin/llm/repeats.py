@@ -35,8 +35,8 @@ from tallyfin.llm.common import clean_ids, mix
 LENGTH, TRIGGER = 50, 20
 #: Text bytes in a block (and so a task's memory), bytes hashed at once, and strings in a phrase at most.
 BLOCK_BYTES, PIECE, LONGEST = 8 << 20, 1 << 20, 64
-#: Blocks in a partition of an exchange; distinct phrases of a code in a block from which it tells their number, and phrases of a code in all from which it is hot.
-PER_PARTITION, TOLD_FROM, HOT_PHRASES = 2, 8, 200_000
+#: Distinct phrases of a code in a block from which it tells their number, and phrases of a code in all from which it is hot.
+TOLD_FROM, HOT_PHRASES = 8, 200_000
 
 _A = 0x9E3779B97F4A7C15
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64))
@@ -405,17 +405,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = clean_ids(df, id_col, text_col)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-int(size) // block_bytes))
-    parts = -(-n // PER_PARTITION)  # a task's work is a few blocks however many there are
+    # as many partitions as blocks: a task's work is a few blocks however many there are
     blocks = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text")
-    by_block = blocks.repartition(parts, "block").groupBy("block")
+    by_block = blocks.repartition(n, "block").groupBy("block")
     sent = by_block.applyInArrow(lambda t: _send_codes(t, n, told_from), "range int, block int, codes binary, several binary, told binary")
-    answers = sent.repartition(parts, "range").groupBy("range").applyInArrow(lambda t: _answer_codes(t, told_from, hot_phrases), "block int, range int, shared binary, hot binary").filter(F.length("shared") > 0)
-    answers = answers.repartition(parts, "block")
+    answers = sent.repartition(n, "range").groupBy("range").applyInArrow(lambda t: _answer_codes(t, told_from, hot_phrases), "block int, range int, shared binary, hot binary").filter(F.length("shared") > 0)
+    answers = answers.repartition(n, "block")
     phrases = by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: _send_phrases(b, a, n), _PHRASES)
-    verdicts = phrases.repartition(parts, "range").groupBy("range").applyInArrow(_answer_phrases, "block int, range int, shared binary, repeated binary")
+    verdicts = phrases.repartition(n, "range").groupBy("range").applyInArrow(_answer_phrases, "block int, range int, shared binary, repeated binary")
     none = F.lit(None).cast("binary")
     hot = answers.filter(F.length("hot") > 0).select("block", "range", none.alias("shared"), none.alias("repeated"), "hot")
-    told = verdicts.withColumn("hot", none).unionByName(hot).repartition(parts, "block")
+    told = verdicts.withColumn("hot", none).unionByName(hot).repartition(n, "block")
     return by_block.cogroup(told.groupBy("block")).applyInArrow(lambda b, a: _mark(b, a, n), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
