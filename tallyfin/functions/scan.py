@@ -15,7 +15,8 @@ def scan(values: Column, start: Column, step: Callable[[Column, Column], Column]
     """All states of a recursion: start, step(start, first value), and so on; one more than values.
 
     Values are folded in runs of RUN and the runs in turn.  ``values`` should be a column of a
-    projection of its own, since it is cut into runs within the expression.
+    projection of its own, since it is cut into runs within the expression.  Unnest the result by the
+    outer functions: for the others the optimiser adds a filter that computes all states once more.
     """
     one = lambda s, states: F.struct(s.alias("s"), states.alias("states"))
     none = F.array().cast(f"array<{kind}>")

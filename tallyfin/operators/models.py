@@ -178,7 +178,7 @@ def regime_filter(df: DataFrame, calm: tuple[float, float], wild: tuple[float, f
         return F.coalesce(F.try_divide(prior * likely[1], prior * likely[1] + (1 - prior) * likely[0]), prior)
 
     folded = arrays.select(keys, "s", scan(F.col("s"), F.lit(0.5), step).alias("p"))
-    rows = folded.select(keys, F.explode(F.arrays_zip("s", F.slice("p", F.lit(2), F.size("s")).alias("p"))).alias("z"))
+    rows = folded.select(keys, F.explode_outer(F.arrays_zip("s", F.slice("p", F.lit(2), F.size("s")).alias("p"))).alias("z"))
     return rows.select(keys, F.col(f"z.s.{order}").alias(order), F.col("z.p").alias("wild"))
 
 
@@ -188,7 +188,7 @@ def _variances(df: DataFrame, step: Callable[[Column, Column], Column], value: s
     made = df.select(keys, order, (F.col(value) - F.avg(value).over(whole)).alias("e"), F.var_pop(value).over(whole).alias("h0"))
     arrays = made.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct(order, "e"))).alias("s"), F.first("h0").alias("h0"))
     folded = arrays.select(keys, "s", scan(F.col("s"), F.col("h0"), lambda h, x: step(h, x["e"])).alias("h"))
-    rows = folded.select(keys, F.explode(F.arrays_zip("s", F.slice("h", F.lit(1), F.size("s")).alias("h"))).alias("z"))
+    rows = folded.select(keys, F.explode_outer(F.arrays_zip("s", F.slice("h", F.lit(1), F.size("s")).alias("h"))).alias("z"))
     e, h = F.col("z.s.e"), F.col("z.h")
     return rows.select(keys, F.col(f"z.s.{order}").alias(order), e.alias("resid"), h.alias("variance"), F.try_divide(e, F.sqrt(h)).alias("std_resid"))
 

@@ -214,7 +214,7 @@ def q_ou_paths(spark, sf_dir):
 
 def q_ou_mean_path(spark, sf_dir):
     p = montecarlo.ou_paths(_ou_models(spark, sf_dir), OU_STEPS / 252, paths=OU_PATHS)
-    return rounded(p.select("ticker", F.posexplode("x").alias("step", "x")).groupBy("ticker", "step").agg(F.avg(F.exp("x")).alias("mean_price")), 4)
+    return rounded(p.select("ticker", F.posexplode_outer("x").alias("step", "x")).groupBy("ticker", "step").agg(F.avg(F.exp("x")).alias("mean_price")), 4)
 
 
 def q_bayes_posterior(spark, sf_dir):
