@@ -120,6 +120,14 @@ def q_dcf_value(spark, sf_dir):
     return rounded(made.select("company", "pv_fcf", "pv_terminal", "enterprise_value", "price"), 2)
 
 
+def q_pv_split(spark, sf_dir):
+    """How much of each company's value its cash flows and its terminal value make up."""
+    made = montecarlo.valued(_companies(spark, sf_dir).withColumn("fcf_growth", F.lit(0.06)))
+    parts = F.array(*(F.struct(F.lit(n).alias("part"), F.col(c).alias("value"), F.try_divide(F.col(c), F.col("enterprise_value")).alias("share")) for n, c in (("cash flows", "pv_fcf"), ("terminal value", "pv_terminal"))))
+    made = made.select("company", F.explode(parts).alias("p")).select("company", "p.*")
+    return made.select("company", "part", F.round("value", 2).alias("value"), F.round("share", 6).alias("share"))
+
+
 def q_dcf_sensitivity(spark, sf_dir):
     grid = valuation.sensitivity(_companies(spark, sf_dir).drop("wacc", "terminal_growth").withColumn("fcf_growth", F.lit(0.06)))
     return rounded(montecarlo.valued(grid).select("company", "wacc", "terminal_growth", "price"), 2)
@@ -259,7 +267,11 @@ def _strip(x: str) -> str:
     return f"trim({x}, '{textclean.WHITE}')"
 
 
-REPEATED = f"{LINES}, rep as (select doc, {_strip('line')} as line, count(distinct page) as pages from lines where {_strip('line')} <> '' group by 1, 2 having count(distinct page) >= {MIN_PAGES}), of_pages as (select source as doc, count(*) as n from documents group by 1), repeated as (select rep.* from rep join of_pages using (doc) where n >= 3)"
+REPEATED = (
+    f"{LINES}, rep as (select doc, {_strip('line')} as line, count(distinct page) as pages from lines where {_strip('line')} <> '' group by 1, 2 having count(distinct "
+    f"page) >= {MIN_PAGES}), of_pages as (select source as doc, count(*) as n from documents group by 1), repeated as (select rep.* from rep join of_pages using "
+    "(doc) where n >= 3)"
+)
 STRIPPED = f"{REPEATED}, stripped as (select l.* from lines l where not exists (select 1 from repeated r where r.doc = l.doc and r.line = {_strip('l.line')}))"
 
 
@@ -284,8 +296,14 @@ CRITERIA = (
     "select ticker, calendardate, 3, intrinsic_value from ruled where ebitda_incr union all select ticker, calendardate, 4, intrinsic_value from ruled where fcfps_incr and grossmarg_incr union all "
     "select ticker, calendardate, 5, intrinsic_value from ruled where fcfps_incr and sharesout_decr)"
 )
-FINAL = f"{CRITERIA}, final as (select calendardate, ticker from picks where criterion = 1 union (select calendardate, ticker from picks where criterion = 2 except select calendardate, ticker from picks where criterion in (1, 3)))"
-DAILY = "daily as (select n_name as ticker, o_orderdate::date as date, avg(o_totalprice) as close from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2)"
+FINAL = (
+    f"{CRITERIA}, final as (select calendardate, ticker from picks where criterion = 1 union (select calendardate, ticker from picks where criterion = 2 except "
+    "select calendardate, ticker from picks where criterion in (1, 3)))"
+)
+DAILY = (
+    "daily as (select n_name as ticker, o_orderdate::date as date, avg(o_totalprice) as close from orders join customer on o_custkey = c_custkey join nation "
+    "on c_nationkey = n_nationkey group by 1, 2)"
+)
 MEANS = "means as (select ticker, date, close, " + ", ".join(f"case when count(close) over w{n} >= {n} then avg(close) over w{n} end as avg_{n}" for n in (15, 30, 45)) + " from daily window " + ", ".join(f"w{n} as (partition by ticker order by date rows between {n - 1} preceding and current row)" for n in (15, 30, 45)) + ")"
 
 
@@ -294,7 +312,11 @@ def _forward(source: str) -> str:
     return f"select s.ticker as ticker, start, {parts} from (select ticker, calendardate as start from {source}) s left join daily on s.ticker = daily.ticker group by 1, 2"
 
 
-COMPANIES = f"{FUND}, last_f as (select ticker, arg_max(ebitdausd, calendardate) as ebitdausd, arg_max(shareswadil, calendardate) as shareswadil, arg_max(fcfps, calendardate) as fcfps from f group by 1), companies as (select ticker as company, round(fcfps * shareswadil, 2) as fcf, 0.10::double as wacc, 0.03::double as terminal_growth, round(ebitdausd * 0.5, 2) as debt, round(ebitdausd * 0.1, 2) as cash, shareswadil as shares from last_f)"
+COMPANIES = (
+    f"{FUND}, last_f as (select ticker, arg_max(ebitdausd, calendardate) as ebitdausd, arg_max(shareswadil, calendardate) as shareswadil, arg_max(fcfps, calendardate) "
+    "as fcfps from f group by 1), companies as (select ticker as company, round(fcfps * shareswadil, 2) as fcf, 0.10::double as wacc, 0.03::double as terminal_growth, "
+    "round(ebitdausd * 0.5, 2) as debt, round(ebitdausd * 0.1, 2) as cash, shareswadil as shares from last_f)"
+)
 PV = "fcf * (" + " + ".join(f"pow((1 + fcf_growth) / (1 + wacc), {i})" for i in range(1, 6)) + ")"
 PT = "fcf * pow(1 + fcf_growth, 5) * (1 + terminal_growth) / nullif(wacc - terminal_growth, 0) / pow(1 + wacc, 5)"
 PRICE = f"({PV} + {PT} - debt + cash) / nullif(shares, 0)"
@@ -313,40 +335,111 @@ ORACLES = {
     "q_intrinsic_value": f"with {DELTAS} select ticker, calendardate, round(intrinsic_value, 3) as intrinsic_value from ruled",
     "q_criteria_long": f"with {CRITERIA} select ticker, calendardate, criterion, round(intrinsic_value, 3) as intrinsic_value from picks",
     "q_final_tickers": f"with {FINAL} select * from final",
-    "q_latest_picks": f"with {CRITERIA} select ticker, calendardate, criterion, round(intrinsic_value, 3) as intrinsic_value from picks where calendardate = (select max(calendardate) from f)",
+    "q_latest_picks": (
+        f"with {CRITERIA} select ticker, calendardate, criterion, round(intrinsic_value, 3) as intrinsic_value from picks where calendardate = (select max(calendardate) "
+        "from f)"
+    ),
     "q_horizon_avgs": f"with {FINAL}, {DAILY}, fw as ({_forward('final')}) select ticker, start, " + ", ".join(f"round(fwd_{n}, 6) as fwd_{n}" for n in screen.HORIZONS) + " from fw",
-    "q_price_rolling_means": f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 from means",
-    "q_point_in_time": f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 from means where date <= date '2000-06-30' qualify row_number() over (partition by ticker order by date desc) = 1",
+    "q_price_rolling_means": (
+        f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 "
+        "from means"
+    ),
+    "q_point_in_time": (
+        f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 "
+        "from means where date <= date '2000-06-30' qualify row_number() over (partition by ticker order by date desc) = 1"
+    ),
     "q_screen_join": f"with {FINAL}, {DAILY}, {MEANS}, chosen as (select * from final where calendardate = date '1999-10-01'), fw as ({_forward('chosen')}), latest_row as (select * from means where date <= date '2000-06-30' qualify row_number() over (partition by ticker order by date desc) = 1) select latest_row.ticker as ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45, r_name as sector, criterion, round(intrinsic_value, 6) as intrinsic_value, start, " + ", ".join(f"round(fwd_{n}, 6) as fwd_{n}" for n in screen.HORIZONS) + " from latest_row join chosen on latest_row.ticker = chosen.ticker join nation on n_name = latest_row.ticker join region on n_regionkey = r_regionkey join picks on picks.ticker = latest_row.ticker and picks.calendardate = date '1999-10-01' join fw on fw.ticker = latest_row.ticker",
-    "q_sector_filter": f"with {FUND} select ticker, calendardate, round(roic, 6) as roic from f where ticker in (select n_name from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA')",
+    "q_sector_filter": (
+        f"with {FUND} select ticker, calendardate, round(roic, 6) as roic from f where ticker in (select n_name from nation join region on n_regionkey = r_regionkey "
+        "where r_name = 'ASIA')"
+    ),
     "q_sectors": "select distinct r_name as sector from nation join region on n_regionkey = r_regionkey",
-    "q_prev_bday": "select day, (day - case isodow(day) when 1 then 3 when 7 then 2 else 1 end)::date as previous, strftime(day - 720, '%Y-%m-%d') as since from (select distinct o_orderdate::date as day from orders)",
-    "q_dcf_mc": f"with {DRAWN}, p as (select company, {PRICE} as price, terminal_growth >= wacc as bad from drawn) select company, round(avg(price), 2) as mean, round(quantile_cont(price, 0.5), 2) as median, round(stddev_pop(price), 2) as std, round(quantile_cont(price, 0.05), 2) as p5, round(quantile_cont(price, 0.95), 2) as p95, (count(*) filter (where bad))::bigint as n_invalid from p group by 1",
-    "q_dcf_value": f"with {COMPANIES}, c as (select *, 0.06::double as fcf_growth from companies) select company, round({PV}, 2) as pv_fcf, round({PT}, 2) as pv_terminal, round({PV} + {PT}, 2) as enterprise_value, round({PRICE}, 2) as price from c",
-    "q_dcf_sensitivity": f"with {COMPANIES}, c as (select company, fcf, debt, cash, shares, 0.06::double as fcf_growth, w::double as wacc, g::double as terminal_growth from companies, (values (0.08), (0.09), (0.10), (0.11), (0.12)) ws(w), (values (0.01), (0.02), (0.03), (0.04)) gs(g)) select company, wacc, terminal_growth, round({PRICE}, 2) as price from c",
-    "q_dcf_projection": f"with {COMPANIES} select company, y.y::int as year, round(fcf * pow(1.06::double, y.y), 2) as projected, round(fcf * pow(1.06::double, y.y) / pow(1 + wacc, y.y), 2) as present from companies, range(1, 6) y(y)",
+    "q_prev_bday": (
+        "select day, (day - case isodow(day) when 1 then 3 when 7 then 2 else 1 end)::date as previous, strftime(day - 720, '%Y-%m-%d') as since from (select distinct "
+        "o_orderdate::date as day from orders)"
+    ),
+    "q_dcf_mc": (
+        f"with {DRAWN}, p as (select company, {PRICE} as price, terminal_growth >= wacc as bad from drawn) select company, round(avg(price), 2) as mean, round(quantile_cont(price, "
+        "0.5), 2) as median, round(stddev_pop(price), 2) as std, round(quantile_cont(price, 0.05), 2) as p5, round(quantile_cont(price, 0.95), 2) as p95, (count(*) "
+        "filter (where bad))::bigint as n_invalid from p group by 1"
+    ),
+    "q_dcf_value": (
+        f"with {COMPANIES}, c as (select *, 0.06::double as fcf_growth from companies) select company, round({PV}, 2) as pv_fcf, round({PT}, 2) as pv_terminal, "
+        f"round({PV} + {PT}, 2) as enterprise_value, round({PRICE}, 2) as price from c"
+    ),
+    "q_pv_split": (
+        f"with {COMPANIES}, c as (select *, 0.06::double as fcf_growth from companies), v as (select company, {PV} as a, {PT} as b from c) select company, 'cash "
+        "flows' as part, round(a, 2) as value, round(a / nullif(a + b, 0), 6) as share from v union all select company, 'terminal value', round(b, 2), round(b "
+        "/ nullif(a + b, 0), 6) from v"
+    ),
+    "q_dcf_sensitivity": (
+        f"with {COMPANIES}, c as (select company, fcf, debt, cash, shares, 0.06::double as fcf_growth, w::double as wacc, g::double as terminal_growth from companies, "
+        f"(values (0.08), (0.09), (0.10), (0.11), (0.12)) ws(w), (values (0.01), (0.02), (0.03), (0.04)) gs(g)) select company, wacc, terminal_growth, round({PRICE}, "
+        "2) as price from c"
+    ),
+    "q_dcf_projection": (
+        f"with {COMPANIES} select company, y.y::int as year, round(fcf * pow(1.06::double, y.y), 2) as projected, round(fcf * pow(1.06::double, y.y) / pow(1 + wacc, "
+        "y.y), 2) as present from companies, range(1, 6) y(y)"
+    ),
     "q_wacc": f"with {COMPANIES} select company, round(shares * 100 / (shares * 100 + debt) * 0.12 + debt / (shares * 100 + debt) * 0.05 * 0.75, 6) as cost from companies",
-    "q_historical_metrics": f"with {FUND}, g as (select *, ebitdausd / nullif(lag(ebitdausd) over (partition by ticker order by calendardate), 0) - 1 as g from f) select ticker, count(g) as periods, round(avg(g), 4) as mean_growth, round(stddev_samp(g), 4) as std_growth, round(arg_max(ebitdausd, calendardate), 4) as last_value from g group by 1",
-    "q_ratios": f"with {FUND} select ticker, calendardate, round(epsusd * 15 / nullif(epsusd, 0), 5) as pe, round(epsusd * 15 / nullif(ebitdausd / shareswadil, 0), 5) as pb, round(epsusd * 15 / nullif(fcfps, 0), 5) as ps, round(ebitdausd * 8 / nullif(ebitdausd, 0), 5) as ev_ebitda, round(epsusd * 15 / nullif(epsusd, 0) / nullif(roic * 10, 0), 5) as peg from f",
-    "q_dividend_value": f"with {FUND} select ticker, calendardate, round(case when 0.08 > roic / 20 then epsusd * 0.4 * (1 + roic / 20) / (0.08 - roic / 20) end, 3) as ddm, round((ebitdausd - ebitdausd * 0.5) / nullif(shareswadil, 0), 3) as nav, round(ebitdausd + ebitdausd * 0.1 - ebitdausd * 0.2 - ebitdausd * 0.05 + ebitdausd * 0.03, 3) as fcfe from f",
-    "q_comparables": f"with {FUND}, m as (select ticker, r_name as sector, calendardate, epsusd, ebitdausd / shareswadil / epsusd as multiple from f join nation on n_name = ticker join region on n_regionkey = r_regionkey), md as (select sector, median(multiple) as median_multiple from m group by 1) select ticker, m.sector as sector, calendardate, round(median_multiple, 3) as median_multiple, round(median_multiple * epsusd, 3) as implied_value from m join md on m.sector = md.sector",
+    "q_historical_metrics": (
+        f"with {FUND}, g as (select *, ebitdausd / nullif(lag(ebitdausd) over (partition by ticker order by calendardate), 0) - 1 as g from f) select ticker, count(g) "
+        "as periods, round(avg(g), 4) as mean_growth, round(stddev_samp(g), 4) as std_growth, round(arg_max(ebitdausd, calendardate), 4) as last_value from g group "
+        "by 1"
+    ),
+    "q_ratios": (
+        f"with {FUND} select ticker, calendardate, round(epsusd * 15 / nullif(epsusd, 0), 5) as pe, round(epsusd * 15 / nullif(ebitdausd / shareswadil, 0), 5) as "
+        "pb, round(epsusd * 15 / nullif(fcfps, 0), 5) as ps, round(ebitdausd * 8 / nullif(ebitdausd, 0), 5) as ev_ebitda, round(epsusd * 15 / nullif(epsusd, 0) "
+        "/ nullif(roic * 10, 0), 5) as peg from f"
+    ),
+    "q_dividend_value": (
+        f"with {FUND} select ticker, calendardate, round(case when 0.08 > roic / 20 then epsusd * 0.4 * (1 + roic / 20) / (0.08 - roic / 20) end, 3) as ddm, round((ebitdausd "
+        "- ebitdausd * 0.5) / nullif(shareswadil, 0), 3) as nav, round(ebitdausd + ebitdausd * 0.1 - ebitdausd * 0.2 - ebitdausd * 0.05 + ebitdausd * 0.03, 3) "
+        "as fcfe from f"
+    ),
+    "q_comparables": (
+        f"with {FUND}, m as (select ticker, r_name as sector, calendardate, epsusd, ebitdausd / shareswadil / epsusd as multiple from f join nation on n_name = "
+        "ticker join region on n_regionkey = r_regionkey), md as (select sector, median(multiple) as median_multiple from m group by 1) select ticker, m.sector "
+        "as sector, calendardate, round(median_multiple, 3) as median_multiple, round(median_multiple * epsusd, 3) as implied_value from m join md on m.sector "
+        "= md.sector"
+    ),
     "q_page_lines": f"with {LINES} select doc, page, pos, line from lines",
     "q_repeated_lines": f"with {REPEATED} select doc, line, pages from repeated",
     "q_strip_lines": f"with {STRIPPED} select doc, page, pos, line from stripped",
     "q_headings": f"with {LINES}, x as (select doc, page, pos, [" + ", ".join(f"'{h}'" for h in HEADS) + f"][pos % {len(HEADS)} + 1] || line as x from lines) select doc, page, pos, {_head('x')} as marked from x",
-    "q_repeated_rule": f"with lines as (select strftime(ts, '%Y-%m-%d %H') as doc, event_id as page, event_type as line from events union all select strftime(ts, '%Y-%m-%d %H'), event_id, 'user ' || (user_id % 3) from events), n as (select doc, count(distinct page) as of from lines group by 1), r as (select doc, line, count(distinct page) as pages from lines group by 1, 2) select doc, line, pages from r join n using (doc) where of >= 3 and pages >= greatest(3, floor(of * 0.6))",
+    "q_repeated_rule": (
+        "with lines as (select strftime(ts, '%Y-%m-%d %H') as doc, event_id as page, event_type as line from events union all select strftime(ts, '%Y-%m-%d %H'), "
+        "event_id, 'user ' || (user_id % 3) from events), n as (select doc, count(distinct page) as of from lines group by 1), r as (select doc, line, count(distinct "
+        "page) as pages from lines group by 1, 2) select doc, line, pages from r join n using (doc) where of >= 3 and pages >= greatest(3, floor(of * 0.6))"
+    ),
     "q_table_scan": "select o_orderkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice from orders where o_orderstatus in ('F', 'P') and o_orderdate <= date '1997-06-30'",
-    "q_revenue_order": f"with {FUND} select ticker, round(ebitdausd, 2) as ebitdausd, (row_number() over (order by ebitdausd desc, ticker))::int as place from f where calendardate = (select max(calendardate) from f) qualify place <= 10",
-    "q_point_in_time_exact": f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 from means where date = date '2000-06-30'",
+    "q_revenue_order": (
+        f"with {FUND} select ticker, round(ebitdausd, 2) as ebitdausd, (row_number() over (order by ebitdausd desc, ticker))::int as place from f where calendardate "
+        "= (select max(calendardate) from f) qualify place <= 10"
+    ),
+    "q_point_in_time_exact": (
+        f"with {DAILY}, {MEANS} select ticker, date, round(close, 6) as close, round(avg_15, 6) as avg_15, round(avg_30, 6) as avg_30, round(avg_45, 6) as avg_45 "
+        "from means where date = date '2000-06-30'"
+    ),
     "q_markdown": f"with {STRIPPED}, p as (select doc, page, {_strip(f"string_agg({_head('line')}, chr(10) order by pos)")} as text from stripped group by 1, 2), "
     "t as (select source as doc, doc_id as page, '| page | chars |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | ' || length(coalesce(text, '')) || ' |' as tab from documents where doc_id % 10 = 0), "
     "parts as (select source as doc, doc_id as page, 0 as place, p.text as part from documents join p on p.doc = source and p.page = doc_id where p.text <> '' union all "
     "select doc, page, 1, '' from t union all select doc, page, 2, tab from t union all select source, doc_id, 3, '' from documents), "
     f"m as (select doc, {_strip('string_agg(part, chr(10) || chr(10) order by page, place)')} || chr(10) as markdown from parts group by 1) select doc, md5(markdown) as digest, length(markdown)::bigint as chars from m",
     "q_cid_pages": r"select source as doc, doc_id as page from documents where regexp_matches(coalesce(text, '') || case when doc_id % 7 = 0 then '(cid:' || doc_id || ')' when doc_id % 5 = 0 then '(cid: 5) cid:6' else '' end, '\(cid:[0-9]+\)')",
-    "q_low_text_pages": "with a as (select source as doc, avg(length(coalesce(text, ''))) as a from documents group by 1) select doc, doc_id as page from documents join a on source = doc where length(coalesce(text, '')) < a * 0.15 and a > 200",
+    "q_low_text_pages": (
+        "with a as (select source as doc, avg(length(coalesce(text, ''))) as a from documents group by 1) select doc, doc_id as page from documents join a on source "
+        "= doc where length(coalesce(text, '')) < a * 0.15 and a > 200"
+    ),
     "q_md_table": "select conv_id, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || replace(" + _strip("role") + ", chr(10), ' ') || ' | ' || replace(" + _strip("coalesce(text, '')") + ", chr(10), ' ') || ' |', chr(10) order by turn) as markdown from conversations group by 1",
-    "q_quality_report": "with a as (select source as doc, count(*) as pages, avg(length(coalesce(text, ''))) as avg_chars from documents group by 1), l as (select doc, string_agg(doc_id::varchar, ',' order by doc_id) as low, string_agg(doc_id::varchar, ', ' order by doc_id) as shown from documents join a on source = doc where length(coalesce(text, '')) < avg_chars * 0.15 and avg_chars > 200 group by 1), c as (select source as doc, string_agg(doc_id::varchar, ',' order by doc_id) as cid, string_agg(doc_id::varchar, ', ' order by doc_id) as shown from documents where regexp_matches(text, '\\(cid:\\d+\\)') group by 1) select a.doc as doc, pages, round(avg_chars, 4) as avg_chars, 0::bigint as n_tables, coalesce(low, '') as low_text_pages, coalesce(cid, '') as cid_pages, concat_ws('; ', 'little text on pages ' || l.shown, 'broken glyphs on pages ' || c.shown) as warnings from a left join l on a.doc = l.doc left join c on a.doc = c.doc",
+    "q_quality_report": (
+        "with a as (select source as doc, count(*) as pages, avg(length(coalesce(text, ''))) as avg_chars from documents group by 1), l as (select doc, string_agg(doc_id::varchar, "
+        "',' order by doc_id) as low, string_agg(doc_id::varchar, ', ' order by doc_id) as shown from documents join a on source = doc where length(coalesce(text, "
+        "'')) < avg_chars * 0.15 and avg_chars > 200 group by 1), c as (select source as doc, string_agg(doc_id::varchar, ',' order by doc_id) as cid, string_agg(doc_id::varchar, "
+        "', ' order by doc_id) as shown from documents where regexp_matches(text, '\\(cid:\\d+\\)') group by 1) select a.doc as doc, pages, round(avg_chars, 4) "
+        "as avg_chars, 0::bigint as n_tables, coalesce(low, '') as low_text_pages, coalesce(cid, '') as cid_pages, concat_ws('; ', 'little text on pages ' || l.shown, "
+        "'broken glyphs on pages ' || c.shown) as warnings from a left join l on a.doc = l.doc left join c on a.doc = c.doc"
+    ),
     "q_skip_done": "select doc_id, source from documents where doc_id not in (select doc_id from documents where source = 'src0')",
     "q_tail_rows": f"with {RETS} select ticker, ts, round(ret, 8) as ret from rets qualify row_number() over (partition by ticker order by ts desc) <= 7",
 }

@@ -121,21 +121,64 @@ ORACLES = {
     "q_egarch_filter": _recursive(f"exp({EGARCH[0]}::double + {EGARCH[1]}::double * (abs(r.e / sqrt(r.h)) - sqrt(2 / pi())) + {EGARCH[2]}::double * r.e / sqrt(r.h) + {EGARCH[3]}::double * ln(r.h))") + "select ticker, ts, round(h, 5) as variance from rec",
     "q_garch_in_mean": _recursive("0.05::double + 0.1::double * r.e * r.e + 0.85::double * r.h") + f"select ticker, ts, round({PREMIUM}::double * h, 5) as expected from rec",
     "q_regime_filter": _recursive(_posterior("r.h", "s.ret"), _posterior("0.5::double", "ret")) + "select ticker, ts, round(h, 6) as wild from rec",
-    "q_breusch_pagan": f"with {RETS}, l as (select * from (select ticker, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets) where x is not null), f as (select ticker, regr_slope(y, x) as b, regr_intercept(y, x) as a from l group by ticker) select ticker, count(*) as n, round(count(*) * regr_r2((y - a - b * x) ^ 2, x), 5) as lm from l join f using (ticker) group by ticker",
+    "q_breusch_pagan": (
+        f"with {RETS}, l as (select * from (select ticker, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets) where x is not null), f as "
+        "(select ticker, regr_slope(y, x) as b, regr_intercept(y, x) as a from l group by ticker) select ticker, count(*) as n, round(count(*) * regr_r2((y - a "
+        "- b * x) ^ 2, x), 5) as lm from l join f using (ticker) group by ticker"
+    ),
     "q_phillips_perron": f"with {RETS}, l as (select * from (select ticker, ts, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets) where x is not null), f as (select ticker, regr_slope(y, x) as b, regr_intercept(y, x) as a, regr_sxx(y, x) as sxx, count(*) as n from l group by ticker), "
     "u as (select ticker, ts, b, sxx, n, y - a - b * x as u from l join f using (ticker)), v as (select ticker, b, sxx, n, sum(u * u) as uu, " + ", ".join(f"sum(u * l{k}) as p{k}" for k in range(1, 6)) + " from (select *, " + ", ".join(f"lag(u, {k}) over (partition by ticker order by ts) as l{k}" for k in range(1, 6)) + " from u) group by all), "
     "w as (select *, uu / n as s, uu / n + " + " + ".join(f"2 * (1 - {k}::double / 6) * p{k} / n" for k in range(1, 6)) + " as long, sqrt(uu / (n - 2) / sxx) as err from v) select ticker, n, round((b - 1) / err * sqrt(s / long) - (long - s) * n * err / (2 * sqrt(long) * sqrt(uu / (n - 2))), 5) as t from w",
     "q_seasonal": f"with {BARS} select ticker, ts, round(close - avg(close) over (partition by ticker, hour(ts)) + avg(close) over (partition by ticker), 5) as adjusted from bars",
-    "q_illiquidity": f"with {BARS}, i as (select ticker, abs(close / nullif(lag(close) over (partition by ticker order by ts), 0) - 1) / nullif(close * volume, 0) as i from bars) select ticker, count(i) as days, round(avg(i), 6) as illiquidity from i group by ticker",
-    "q_factor_exposure": f"with {RETS}, m as (select ticker, ret as y, avg(ret) over (partition by ts) as x from rets) select ticker, count(*) as n, round(regr_intercept(y, x), 5) as alpha, round(regr_slope(y, x), 5) as beta, round(regr_r2(y, x), 5) as r2, round(stddev_samp(y) * sqrt(1 - regr_r2(y, x)), 5) as specific from m group by ticker",
-    "q_tail_index": f"with {RETS}, q as (select ticker, quantile_cont(-ret, 1 - 0.1::double) as threshold from rets group by ticker), o as (select ticker, -ret as loss, threshold from rets join q using (ticker) where -ret > threshold) select ticker, round(threshold, 5) as threshold, count(*) as n, round(1 / avg(case when threshold > 0 then ln(loss / threshold) end), 5) as hill, round(avg(loss - threshold), 5) as mean_excess from o group by ticker, o.threshold",
+    "q_illiquidity": (
+        f"with {BARS}, i as (select ticker, abs(close / nullif(lag(close) over (partition by ticker order by ts), 0) - 1) / nullif(close * volume, 0) as i from "
+        "bars) select ticker, count(i) as days, round(avg(i), 6) as illiquidity from i group by ticker"
+    ),
+    "q_factor_exposure": (
+        f"with {RETS}, m as (select ticker, ret as y, avg(ret) over (partition by ts) as x from rets) select ticker, count(*) as n, round(regr_intercept(y, x), "
+        "5) as alpha, round(regr_slope(y, x), 5) as beta, round(regr_r2(y, x), 5) as r2, round(stddev_samp(y) * sqrt(1 - regr_r2(y, x)), 5) as specific from m "
+        "group by ticker"
+    ),
+    "q_tail_index": (
+        f"with {RETS}, q as (select ticker, quantile_cont(-ret, 1 - 0.1::double) as threshold from rets group by ticker), o as (select ticker, -ret as loss, threshold "
+        "from rets join q using (ticker) where -ret > threshold) select ticker, round(threshold, 5) as threshold, count(*) as n, round(1 / avg(case when threshold "
+        "> 0 then ln(loss / threshold) end), 5) as hill, round(avg(loss - threshold), 5) as mean_excess from o group by ticker, o.threshold"
+    ),
     "q_differenced": f"with {BARS} select * from (select ticker, ts, round(close - lag(close) over (partition by ticker order by ts), 6) as diff from bars) where diff is not null",
-    "q_detrended": f"with {BARS}, n as (select ticker, ts, close, row_number() over (partition by ticker order by ts) as x from bars), l as (select ticker, regr_slope(close, x) as b, regr_intercept(close, x) as a from n group by ticker) select n.ticker as ticker, ts, round(close - a - b * x, 5) as residual from n join l on n.ticker = l.ticker",
-    "q_durbin_watson": f"with {CENTRED}, d as (select *, e - lag(e) over (partition by ticker order by ts) as d from c) select ticker, round(sum(d * d) / sum(e * e), 6) as dw from d group by ticker",
-    "q_arch_lm": f"with {CENTRED}, d as (select ticker, e * e as y, lag(e * e) over (partition by ticker order by ts) as x from c) select ticker, count(*) as n, round(count(*) * regr_r2(y, x), 6) as lm from d where x is not null group by ticker",
-    "q_kpss": f"with {CENTRED}, s as (select *, sum(e) over (partition by ticker order by ts rows unbounded preceding) as s from c) select ticker, round(sum(s * s) / (count(*) * sum(e * e)), 6) as kpss from s group by ticker",
-    "q_var_horizon": f"with {RETS}, v as ({_var_sql('rets').replace('round(-min(q.q), 6)', '-min(q.q)').replace('round(-avg(s.ret), 6)', '-avg(s.ret)')}) select ticker, round(var * sqrt(10), 6) as var, round(cvar * sqrt(10), 6) as cvar from v",
-    "q_var_simulated": f"with {RETS}, f as (select ticker, avg(ret) as mu, stddev_samp(ret) as sd from rets group by ticker), sim as (select ticker, mu + sd * {normal_sql('ticker', 'd.draw')} as ret from f, range({DRAWS}) d(draw)) {_var_sql('sim').replace(', 6)', ', 5)')}",
-    "q_cvar_bootstrap": f"with {RETS}, b as (select ticker, ret, s.sample::int as sample, {uniform_sql(chr(39) + 'boot' + chr(39), 'ticker', chr(115) + 'trftime(ts, ' + chr(39) + '%Y-%m-%d %H:%M:%S' + chr(39) + ')', 's.sample')} as u from rets, range({SAMPLES}) s(sample)), copies as ({COPIES}), v as ({_var_sql('copies', 'ticker, sample').replace('round(-avg(s.ret), 6)', '-avg(s.ret)')}) select ticker, round(avg(cvar), 5) as mean_cvar, round(stddev_samp(cvar), 5) as std_cvar from v group by ticker",
-    "q_sentiment": f"with {RETS}, s as (select ticker, ts, sign(ret)::double as score from rets) select ticker, ts, score, round(case when count(score) over w >= 5 then avg(score) over w end, 6) as moving, round((count(*) filter (where score > 0) over w)::double / nullif(count(*) filter (where score < 0) over w, 0), 6) as ratio, lag(score, 1) over o as score_lag1, lag(score, 2) over o as score_lag2 from s window o as (partition by ticker order by ts), w as (partition by ticker order by ts rows between 4 preceding and current row)",
+    "q_detrended": (
+        f"with {BARS}, n as (select ticker, ts, close, row_number() over (partition by ticker order by ts) as x from bars), l as (select ticker, regr_slope(close, "
+        "x) as b, regr_intercept(close, x) as a from n group by ticker) select n.ticker as ticker, ts, round(close - a - b * x, 5) as residual from n join l on "
+        "n.ticker = l.ticker"
+    ),
+    "q_durbin_watson": (
+        f"with {CENTRED}, d as (select *, e - lag(e) over (partition by ticker order by ts) as d from c) select ticker, round(sum(d * d) / sum(e * e), 6) as dw "
+        "from d group by ticker"
+    ),
+    "q_arch_lm": (
+        f"with {CENTRED}, d as (select ticker, e * e as y, lag(e * e) over (partition by ticker order by ts) as x from c) select ticker, count(*) as n, round(count(*) "
+        "* regr_r2(y, x), 6) as lm from d where x is not null group by ticker"
+    ),
+    "q_kpss": (
+        f"with {CENTRED}, s as (select *, sum(e) over (partition by ticker order by ts rows unbounded preceding) as s from c) select ticker, round(sum(s * s) / "
+        "(count(*) * sum(e * e)), 6) as kpss from s group by ticker"
+    ),
+    "q_var_horizon": (
+        f"with {RETS}, v as ({_var_sql('rets').replace('round(-min(q.q), 6)', '-min(q.q)').replace('round(-avg(s.ret), 6)', '-avg(s.ret)')}) select ticker, round(var "
+        "* sqrt(10), 6) as var, round(cvar * sqrt(10), 6) as cvar from v"
+    ),
+    "q_var_simulated": (
+        f"with {RETS}, f as (select ticker, avg(ret) as mu, stddev_samp(ret) as sd from rets group by ticker), sim as (select ticker, mu + sd * {normal_sql('ticker', 'd.draw')} "
+        f"as ret from f, range({DRAWS}) d(draw)) {_var_sql('sim').replace(', 6)', ', 5)')}"
+    ),
+    "q_cvar_bootstrap": (
+        f"with {RETS}, b as (select ticker, ret, s.sample::int as sample, {uniform_sql(chr(39) + 'boot' + chr(39), 'ticker', chr(115) + 'trftime(ts, ' + chr(39) + '%Y-%m-%d %H:%M:%S' + chr(39) + ')', 's.sample')} "
+        f"as u from rets, range({SAMPLES}) s(sample)), copies as ({COPIES}), v as ({_var_sql('copies', 'ticker, sample').replace('round(-avg(s.ret), 6)', '-avg(s.ret)')}) "
+        "select ticker, round(avg(cvar), 5) as mean_cvar, round(stddev_samp(cvar), 5) as std_cvar from v group by ticker"
+    ),
+    "q_sentiment": (
+        f"with {RETS}, s as (select ticker, ts, sign(ret)::double as score from rets) select ticker, ts, score, round(case when count(score) over w >= 5 then avg(score) "
+        "over w end, 6) as moving, round((count(*) filter (where score > 0) over w)::double / nullif(count(*) filter (where score < 0) over w, 0), 6) as ratio, "
+        "lag(score, 1) over o as score_lag1, lag(score, 2) over o as score_lag2 from s window o as (partition by ticker order by ts), w as (partition by ticker "
+        "order by ts rows between 4 preceding and current row)"
+    ),
 }

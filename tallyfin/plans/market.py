@@ -10,7 +10,10 @@ from tallyfin.operators import corrgrid, models, montecarlo, risk, volatility
 from tallyfin.sources.tables import bars_hourly, bars_weekly
 
 #: SQL of the hourly and weekly bars, and of hourly returns.
-BARS = "bars as (select event_type as ticker, date_trunc('hour', ts) as ts, arg_min(value, event_id) as open, max(value) as high, min(value) as low, arg_max(value, event_id) as close, count(*) as volume from events group by 1, 2)"
+BARS = (
+    "bars as (select event_type as ticker, date_trunc('hour', ts) as ts, arg_min(value, event_id) as open, max(value) as high, min(value) as low, arg_max(value, "
+    "event_id) as close, count(*) as volume from events group by 1, 2)"
+)
 WEEKS = (
     "weeks as (select o_orderpriority as ticker, date_trunc('week', o_orderdate)::date as date, arg_min(o_totalprice, (o_orderdate, o_orderkey)) as open, max(o_totalprice) as high, "
     "min(o_totalprice) as low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as close, count(*) as volume from orders group by 1, 2)"
@@ -151,6 +154,11 @@ def q_corr_best(spark, sf_dir):
     return rounded(corrgrid.best_cell(corrgrid.correlation_grid(bars_hourly(spark, sf_dir))))
 
 
+def q_corr_matrix(spark, sf_dir):
+    wide = corrgrid.matrix(corrgrid.correlation_grid(bars_hourly(spark, sf_dir)))
+    return rounded(wide.select("ticker", "window", *(F.col(f"`{d}`").alias(f"days_{d}") for d in corrgrid.HORIZONS)))
+
+
 def q_corr_row_mean(spark, sf_dir):
     return rounded(corrgrid.window_means(corrgrid.correlation_grid(bars_hourly(spark, sf_dir))))
 
@@ -343,7 +351,10 @@ GBM_YZ = f"with {WEEKLY_YZ}" + ", ".join(
     f"select {p} as steps_a_year, ticker, path, step, round(ln(s0) + ((mu - 0.5 * sigma * sigma) * step * (0.5 / {p // 2 - 1}) + sigma * sum({normal_sql('ticker', 'path', 'step')} * sqrt(1.0::double / {p})) over (partition by ticker, path order by step)), 5) as log_price from cells{p}"
     for p in (52, 26)
 )
-SUMMARY = "round(avg({x}), 4) as mean, round(quantile_cont({x}, 0.5), 4) as median, round(stddev_pop({x}), 4) as std, round(quantile_cont({x}, 0.05), 4) as p5, round(quantile_cont({x}, 0.95), 4) as p95"
+SUMMARY = (
+    "round(avg({x}), 4) as mean, round(quantile_cont({x}, 0.5), 4) as median, round(stddev_pop({x}), 4) as std, round(quantile_cont({x}, 0.05), 4) as p5, round(quantile_cont({x}, "
+    "0.95), 4) as p95"
+)
 OU_FIT = (
     f"{BARS}, logs as (select ticker, ts, ln(close) as y, lag(ln(close)) over (partition by ticker order by ts) as x from bars), "
     "fit as (select ticker, arg_max(y, ts) as x0, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, avg(y - x) as mu, stddev_pop(y - x) as sigma from logs group by ticker)"
@@ -396,46 +407,111 @@ ORACLES = {
     "q_forward_return": f"with {BARS} select ticker, ts, " + ", ".join(f"round(lead(close, {d}) over w / nullif(close, 0) - 1, 8) as fwd_{d}" for d in (1, 5, 14)) + " from bars window w as (partition by ticker order by ts)",
     "q_annualized_return": f"with {RETS} select ticker, ts, round(ret * sqrt(252), 7) as ret from rets",
     "q_var_hist": f"with {RETS} {_var_sql('rets')}",
-    "q_var_param": f"with {RETS}, f as (select ticker, avg(ret * sqrt(252)) as mu, stddev_samp(ret * sqrt(252)) as sd from rets group by ticker) select ticker, round(-(mu + {Z05!r}::double * sd), 6) as var, round(-(mu + sd * {DENSITY!r}::double), 6) as cvar, round(-mu + sd * {DENSITY!r}::double, 6) as cvar_textbook from f",
-    "q_var_lookback": f"with {WEEKS}, near as (select w.* from weeks w join (select ticker, max(date) as last from weeks group by 1) l using (ticker) where date >= last - 365), rets as (select * from (select ticker, date, close / nullif(lag(close) over (partition by ticker order by date), 0) - 1 as ret from near) where ret is not null) {_var_sql('rets')}",
+    "q_var_param": (
+        f"with {RETS}, f as (select ticker, avg(ret * sqrt(252)) as mu, stddev_samp(ret * sqrt(252)) as sd from rets group by ticker) select ticker, round(-(mu "
+        f"+ {Z05!r}::double * sd), 6) as var, round(-(mu + sd * {DENSITY!r}::double), 6) as cvar, round(-mu + sd * {DENSITY!r}::double, 6) as cvar_textbook from "
+        "f"
+    ),
+    "q_var_lookback": (
+        f"with {WEEKS}, near as (select w.* from weeks w join (select ticker, max(date) as last from weeks group by 1) l using (ticker) where date >= last - 365), "
+        "rets as (select * from (select ticker, date, close / nullif(lag(close) over (partition by ticker order by date), 0) - 1 as ret from near) where ret is "
+        f"not null) {_var_sql('rets')}"
+    ),
     "q_var_multi_confidence": f"with {RETS} " + " union all ".join(f"select *, {c}::double as confidence from ({_var_sql('rets', level=f'1 - {c}::double')})" for c in (0.9, 0.95, 0.99)),
     "q_stress_scenarios": f"with {RETS}, {STRESSED.format(src='rets')} {_var_sql('stressed', 'ticker, scenario')}",
-    "q_stress_tail_only": f"with {RETS}, {STRESSED.format(src='rets')} select ticker, scenario, count(*) as n, round(avg(ret), 6) as mean_ret, round(min(ret), 6) as min_ret from stressed where scenario = 'Prolonged Decline' group by all",
-    "q_scenario_table": "select * from (values ('Market Crash', -0.1::double, null::double, null::int, null::double), ('High Volatility', null, 2, null, null), ('Prolonged Decline', null, null, 30, -0.02), ('Mixed Scenario', -0.05, 1.5, null, null)) t(scenario, shock, vol_mult, tail_days, tail_return)",
+    "q_stress_tail_only": (
+        f"with {RETS}, {STRESSED.format(src='rets')} select ticker, scenario, count(*) as n, round(avg(ret), 6) as mean_ret, round(min(ret), 6) as min_ret from "
+        "stressed where scenario = 'Prolonged Decline' group by all"
+    ),
+    "q_scenario_table": (
+        "select * from (values ('Market Crash', -0.1::double, null::double, null::int, null::double), ('High Volatility', null, 2, null, null), ('Prolonged Decline', "
+        "null, null, 30, -0.02), ('Mixed Scenario', -0.05, 1.5, null, null)) t(scenario, shock, vol_mult, tail_days, tail_return)"
+    ),
     "q_portfolio_return": f"with {RETS}, {PORTFOLIO} select ticker, ts, round(ret, 8) as ret from folio",
     "q_portfolio_var": f"with {RETS}, {PORTFOLIO} {_var_sql('folio')}",
     "q_portfolio_stress": f"with {RETS}, {PORTFOLIO}, {STRESSED.format(src='folio')} {_var_sql('stressed', 'ticker, scenario')}",
-    "q_risk_report": f"with {BOTH}, {STRESSED.format(src='both_rets')}, v as (select ticker, '' as scenario, var, cvar from ({_var_sql('both_rets')}) union all select ticker, scenario, var, cvar from ({_var_sql('stressed', 'ticker, scenario')})) select case when ticker = 'PORTFOLIO' then 0 else 1 end as section, ticker, scenario, printf('VaR (95%%): %.4f  cVaR (95%%): %.4f', var, cvar) as line from v",
-    "q_rolling_var": f"with {RETS} select ticker, ts, round(ret, 6) as ret, round(case when count(ret) over w >= 60 then -quantile_cont(ret, 1 - 0.95::double) over w end, 6) as var from rets window w as (partition by ticker order by ts rows between 60 preceding and 1 preceding)",
-    "q_back_test": f"with {RETS}, r as (select ticker, ret, case when count(ret) over w >= 60 then -quantile_cont(ret, 1 - 0.95::double) over w end as var from rets window w as (partition by ticker order by ts rows between 60 preceding and 1 preceding)) select ticker, count(*) as days, (count(*) filter (where ret < -var))::bigint as breaches, round(count(*) * (1 - 0.95::double), 6) as expected from r where var is not null group by ticker",
+    "q_risk_report": (
+        f"with {BOTH}, {STRESSED.format(src='both_rets')}, v as (select ticker, '' as scenario, var, cvar from ({_var_sql('both_rets')}) union all select ticker, "
+        f"scenario, var, cvar from ({_var_sql('stressed', 'ticker, scenario')})) select case when ticker = 'PORTFOLIO' then 0 else 1 end as section, ticker, scenario, "
+        "printf('VaR (95%%): %.4f  cVaR (95%%): %.4f', var, cvar) as line from v"
+    ),
+    "q_rolling_var": (
+        f"with {RETS} select ticker, ts, round(ret, 6) as ret, round(case when count(ret) over w >= 60 then -quantile_cont(ret, 1 - 0.95::double) over w end, 6) "
+        "as var from rets window w as (partition by ticker order by ts rows between 60 preceding and 1 preceding)"
+    ),
+    "q_back_test": (
+        f"with {RETS}, r as (select ticker, ret, case when count(ret) over w >= 60 then -quantile_cont(ret, 1 - 0.95::double) over w end as var from rets window "
+        "w as (partition by ticker order by ts rows between 60 preceding and 1 preceding)) select ticker, count(*) as days, (count(*) filter (where ret < -var))::bigint "
+        "as breaches, round(count(*) * (1 - 0.95::double), 6) as expected from r where var is not null group by ticker"
+    ),
     "q_roll_std": f"with {BARS} " + _frames("stddev_samp({x})", (3, 7, 14), "std", "close"),
     "q_roll_mean_15_30_45": f"with {BARS} " + _frames("avg({x})", (15, 30, 45), "avg", "close"),
     "q_gk_vol": f"with {GK} select ticker, ts, " + ", ".join(f"round(case when count(term) over w{n} >= {n} then sqrt(greatest(0, avg(term) over w{n})) end, 6) as gk_{n}" for n in (30, 10, 5)) + " from terms window " + ", ".join(f"w{n} as (partition by ticker order by ts rows between {n - 1} preceding and current row)" for n in (30, 10, 5)),
     "q_yz_vol": f"with {YZ} select ticker, ts, " + ", ".join(f"round(case when count(oo) over w{n} >= {n} then sqrt((var_samp(oo) over w{n} + {volatility.yang_zhang_weight(n)!r}::double * avg(rs) over w{n} + (1 - {volatility.yang_zhang_weight(n)!r}::double) * var_samp(co) over w{n}) * {p}) end, 6) as yz_{n}" for n, p in ((5, 52), (10, 26))) + " from yy window " + ", ".join(f"w{n} as (partition by ticker order by ts rows between {n - 1} preceding and current row)" for n in (5, 10)),
-    "q_gbm_params": f"with {GK}, g as (select *, case when count(term) over w >= 10 then sqrt(avg(term) over w) end as gk from terms window w as (partition by ticker order by ts rows between 9 preceding and current row)) select ticker, round(arg_max(close, ts), 6) as s0, round(avg(lr) / (1.0::double / 26) + 0.5 * arg_max(gk, ts) ^ 2, 6) as mu, round(arg_max(gk, ts), 6) as sigma, round(0.5 * arg_max(gk, ts) ^ 2, 6) as mu_literal from g group by ticker",
+    "q_gbm_params": (
+        f"with {GK}, g as (select *, case when count(term) over w >= 10 then sqrt(avg(term) over w) end as gk from terms window w as (partition by ticker order "
+        "by ts rows between 9 preceding and current row)) select ticker, round(arg_max(close, ts), 6) as s0, round(avg(lr) / (1.0::double / 26) + 0.5 * arg_max(gk, "
+        "ts) ^ 2, 6) as mu, round(arg_max(gk, ts), 6) as sigma, round(0.5 * arg_max(gk, ts) ^ 2, 6) as mu_literal from g group by ticker"
+    ),
     "q_corr_grid": f'with {GRID} select ticker, "window", days, round(corr, 6) as corr from grid',
     "q_corr_best": f'with {GRID} select ticker, "window", days, round(corr, 6) as corr from grid qualify row_number() over (partition by ticker order by corr desc nulls last, "window", days) = 1',
+    "q_corr_matrix": f'with {GRID} select ticker, "window", ' + ", ".join(f"round(max(case when days = {d} then corr end), 6) as days_{d}" for d in corrgrid.HORIZONS) + " from grid group by all",
     "q_corr_row_mean": f'with {GRID} select ticker, "window", round(avg(corr), 6) as mean_corr from grid group by all',
     "q_gbm_paths": f"with {GBM} select ticker, path, step, round(price, 4) as price from paths",
     "q_gbm_mean_path": f"with {GBM} select ticker, step, round(avg(price), 4) as mean_price from paths group by all",
     "q_gbm_final_stats": f"with {GBM} select ticker, {SUMMARY.format(x='price')} from paths where step = 12 group by ticker",
-    "q_mc_histogram": f"with {GBM}, l as (select ticker, round(price, 4) as price from paths where step = 12), e as (select ticker, min(price) as lo, max(price) as hi from l group by ticker), b as (select ticker, lo, (hi - lo) / 20 as width, least(19, floor((price - lo) / ((hi - lo) / 20)))::int as bin from l join e using (ticker)) select ticker, bin, round(lo + bin * width, 4) as lower, round(lo + (bin + 1) * width, 4) as upper, count(*) as n from b group by ticker, bin, lo, width",
-    "q_kernel_density": f"with {RETS}, f as (select ticker, min(ret) as lo, max(ret) as hi, stddev_samp(ret) * pow(count(ret), -0.2) as h, count(ret) as n from rets group by ticker), g as (select ticker, lo, hi, h, n, i.i, lo + (hi - lo) * i.i / 19 as x from f, range(20) i(i)) select g.ticker as ticker, round(x, 6) as x, round(sum(exp(-(((x - ret) / h) ^ 2) / 2) / (sqrt(2 * pi()) * h)) / min(n), 6) as density from g join rets on g.ticker = rets.ticker group by g.ticker, i, x",
+    "q_mc_histogram": (
+        f"with {GBM}, l as (select ticker, round(price, 4) as price from paths where step = 12), e as (select ticker, min(price) as lo, max(price) as hi from l "
+        "group by ticker), b as (select ticker, lo, (hi - lo) / 20 as width, least(19, floor((price - lo) / ((hi - lo) / 20)))::int as bin from l join e using "
+        "(ticker)) select ticker, bin, round(lo + bin * width, 4) as lower, round(lo + (bin + 1) * width, 4) as upper, count(*) as n from b group by ticker, bin, "
+        "lo, width"
+    ),
+    "q_kernel_density": (
+        f"with {RETS}, f as (select ticker, min(ret) as lo, max(ret) as hi, stddev_samp(ret) * pow(count(ret), -0.2) as h, count(ret) as n from rets group by ticker), "
+        "g as (select ticker, lo, hi, h, n, i.i, lo + (hi - lo) * i.i / 19 as x from f, range(20) i(i)) select g.ticker as ticker, round(x, 6) as x, round(sum(exp(-(((x "
+        "- ret) / h) ^ 2) / 2) / (sqrt(2 * pi()) * h)) / min(n), 6) as density from g join rets on g.ticker = rets.ticker group by g.ticker, i, x"
+    ),
     "q_gbm_yz_paths": GBM_YZ,
     "q_ou_mean_path": f"{OU} select ticker, step, round(avg(exp(x)), 4) as mean_price from walk group by all",
     "q_ou_final_stats": f"{OU} select ticker, {SUMMARY.format(x='exp(x)')} from walk where step = {OU_STEPS} group by ticker",
     "q_ou_paths": f"{OU} select ticker, path, count(*) as points, round(min(x), 5) as low, round(max(x), 5) as high, round(arg_max(x, step), 5) as x_final from walk group by all",
     "q_bayes_posterior": f"with {POSTERIOR} select ticker, " + ", ".join(f"round({c}, 6) as {c}" for c in ("prior_mean", "prior_std", "like_std", "post_mean", "post_std")) + " from post",
-    "q_bayes_grid": f"with {POSTERIOR}, g as (select *, g.i::int as n, prior_mean + prior_std * (6.0::double * g.i / 999 - 3) as x from post, range(1000) g(i)) select ticker, n as i, round(x, 7) as x, round({_pdf('prior_mean', 'prior_std')}, 7) as prior, round({_pdf('prior_mean', 'like_std')}, 7) as likelihood, round({_pdf('post_mean', 'post_std')}, 7) as posterior from g",
-    "q_ar1_ou_fit": f"with {OU_FIT} select ticker, round(x0, 6) as x0, round(slope, 6) as slope, round(intercept, 6) as intercept, round(case when slope > 0 then -ln(slope) * 252 end, 6) as theta, round((1 - slope) * 252, 6) as theta_euler, round(mu, 6) as mu, round(sigma, 6) as sigma from fit",
+    "q_bayes_grid": (
+        f"with {POSTERIOR}, g as (select *, g.i::int as n, prior_mean + prior_std * (6.0::double * g.i / 999 - 3) as x from post, range(1000) g(i)) select ticker, "
+        f"n as i, round(x, 7) as x, round({_pdf('prior_mean', 'prior_std')}, 7) as prior, round({_pdf('prior_mean', 'like_std')}, 7) as likelihood, round({_pdf('post_mean', 'post_std')}, "
+        "7) as posterior from g"
+    ),
+    "q_ar1_ou_fit": (
+        f"with {OU_FIT} select ticker, round(x0, 6) as x0, round(slope, 6) as slope, round(intercept, 6) as intercept, round(case when slope > 0 then -ln(slope) "
+        "* 252 end, 6) as theta, round((1 - slope) * 252, 6) as theta_euler, round(mu, 6) as mu, round(sigma, 6) as sigma from fit"
+    ),
     "q_acf": f"with {RETS}, c as (select ticker, ts, ret - avg(ret) over (partition by ticker) as x from rets) " + " union all ".join(f"select ticker, {k} as lag, round(sum(p) / sum(x * x), 6) as acf from (select ticker, x, x * lag(x, {k}) over (partition by ticker order by ts) as p from c) group by ticker" for k in range(1, 21)),
     "q_pacf": f"with recursive {RETS}, c as (select ticker, ts, ret - avg(ret) over (partition by ticker) as x from rets), acf as (" + " union all ".join(f"select ticker, {k} as lag, sum(p) / sum(x * x) as acf from (select ticker, x, x * lag(x, {k}) over (partition by ticker order by ts) as p from c) group by ticker" for k in range(1, 21)) + f"), {PACF} select ticker, lag, round(pacf, 6) as pacf from lev",
-    "q_df_test": f"with {RETS}, l as (select ticker, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets), f as (select ticker, count(*) as n, regr_slope(y - x, x) as g, regr_sxx(y - x, x) as sxx, regr_syy(y - x, x) as syy, regr_sxy(y - x, x) as sxy from l where x is not null group by ticker) select ticker, n, round(g, 6) as gamma, round(g / sqrt((syy - g * sxy) / (n - 2) / sxx), 6) as t from f",
+    "q_df_test": (
+        f"with {RETS}, l as (select ticker, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets), f as (select ticker, count(*) as n, regr_slope(y "
+        "- x, x) as g, regr_sxx(y - x, x) as sxx, regr_syy(y - x, x) as syy, regr_sxy(y - x, x) as sxy from l where x is not null group by ticker) select ticker, "
+        "n, round(g, 6) as gamma, round(g / sqrt((syy - g * sxy) / (n - 2) / sxx), 6) as t from f"
+    ),
     "q_garch_filter": f"{FILTER} select ticker, ts, round(h, 6) as variance from rec",
     "q_std_resid": f"{FILTER} select ticker, ts, round(e / sqrt(h), 6) as std_resid from rec",
     "q_garch_forecast": f"{FILTER} select ticker, step, round(variance, 6) as variance from fc",
-    "q_mse_rmse": f"{FILTER}, seen as (select ticker, 15 - row_number() over (partition by ticker order by ts desc) as step, ret * ret as s from rets qualify step >= 1) select seen.ticker as ticker, round(avg((s - variance) ^ 2), 5) as mse, round(sqrt(avg((s - variance) ^ 2)), 5) as rmse, round(avg(abs(s - variance)), 5) as mae from seen join fc on seen.ticker = fc.ticker and seen.step = fc.step group by seen.ticker",
-    "q_qq_pairs": f"{FILTER}, z as (select ticker, e / sqrt(h) as sample, row_number() over (partition by ticker order by e / sqrt(h), ts) as i, count(*) over (partition by ticker) as n from rec), t as (select *, (i - 0.5::double) / n as p, (i - 0.5::double) / n - 0.5 as q, sqrt(-2 * ln(least((i - 0.5::double) / n, 1 - (i - 0.5::double) / n))) as t from z), v as (select *, {_ratio(normal.TAIL, 't')} as tail, q * {_ratio(normal.MIDDLE, 'q * q')} as middle from t) select ticker, i::int as i, round(case when least(p, 1 - p) >= {normal.TAIL_FROM}::double then middle when p < 0.5 then tail else -tail end, 4) as theoretical, round(sample, 4) as sample from v",
-    "q_risk_report_document": f"with {BOTH}, {STRESSED.format(src='both_rets')}, v as (select ticker, '' as scenario, var, cvar from ({_var_sql('both_rets')}) union all select ticker, scenario, var, cvar from ({_var_sql('stressed', 'ticker, scenario')})) select case when ticker = 'PORTFOLIO' then 0 else 1 end as section, ticker, ticker || ':' || chr(10) || string_agg(case when scenario = '' then '' else '  ' || scenario || ': ' end || printf('VaR (95%%): %.4f  cVaR (95%%): %.4f', var, cvar), chr(10) order by scenario) as text from v group by ticker",
+    "q_mse_rmse": (
+        f"{FILTER}, seen as (select ticker, 15 - row_number() over (partition by ticker order by ts desc) as step, ret * ret as s from rets qualify step >= 1) select "
+        "seen.ticker as ticker, round(avg((s - variance) ^ 2), 5) as mse, round(sqrt(avg((s - variance) ^ 2)), 5) as rmse, round(avg(abs(s - variance)), 5) as "
+        "mae from seen join fc on seen.ticker = fc.ticker and seen.step = fc.step group by seen.ticker"
+    ),
+    "q_qq_pairs": (
+        f"{FILTER}, z as (select ticker, e / sqrt(h) as sample, row_number() over (partition by ticker order by e / sqrt(h), ts) as i, count(*) over (partition "
+        "by ticker) as n from rec), t as (select *, (i - 0.5::double) / n as p, (i - 0.5::double) / n - 0.5 as q, sqrt(-2 * ln(least((i - 0.5::double) / n, 1 - "
+        f"(i - 0.5::double) / n))) as t from z), v as (select *, {_ratio(normal.TAIL, 't')} as tail, q * {_ratio(normal.MIDDLE, 'q * q')} as middle from t) select "
+        f"ticker, i::int as i, round(case when least(p, 1 - p) >= {normal.TAIL_FROM}::double then middle when p < 0.5 then tail else -tail end, 4) as theoretical, "
+        "round(sample, 4) as sample from v"
+    ),
+    "q_risk_report_document": (
+        f"with {BOTH}, {STRESSED.format(src='both_rets')}, v as (select ticker, '' as scenario, var, cvar from ({_var_sql('both_rets')}) union all select ticker, "
+        f"scenario, var, cvar from ({_var_sql('stressed', 'ticker, scenario')})) select case when ticker = 'PORTFOLIO' then 0 else 1 end as section, ticker, ticker "
+        "|| ':' || chr(10) || string_agg(case when scenario = '' then '' else '  ' || scenario || ': ' end || printf('VaR (95%%): %.4f  cVaR (95%%): %.4f', var, "
+        "cvar), chr(10) order by scenario) as text from v group by ticker"
+    ),
     "q_ewma": f"{EWMA} select ticker, ts, round(h, 6) as variance from rec",
 }
