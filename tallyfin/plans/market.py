@@ -206,7 +206,7 @@ def q_kernel_density(spark, sf_dir):
 
 def _ou_models(spark, sf_dir):
     fit = models.ou_fit(bars_hourly(spark, sf_dir))
-    return fit.select("ticker", *(F.round(c, 6).alias(c) for c in ("x0", "mu", "sigma")), F.round("theta_euler", 6).alias("theta"))
+    return fit.select("ticker", *(F.round(c, 7).alias(c) for c in ("x0", "mu", "sigma")), F.round("theta_euler", 7).alias("theta"))
 
 
 def q_ou_final_stats(spark, sf_dir):
@@ -217,7 +217,7 @@ def q_ou_final_stats(spark, sf_dir):
 def q_ou_paths(spark, sf_dir):
     """Every path of every step, told by its ends and extremes."""
     p = montecarlo.ou_paths(_ou_models(spark, sf_dir), OU_STEPS / 252, paths=OU_PATHS)
-    return rounded(p.select("ticker", "path", F.size("x").cast("long").alias("points"), F.array_min("x").alias("low"), F.array_max("x").alias("high"), "x_final"), 5)
+    return rounded(p.select("ticker", "path", F.size("x").cast("long").alias("points"), F.array_min("x").alias("low"), F.array_max("x").alias("high"), "x_final"), 4)
 
 
 def q_ou_mean_path(spark, sf_dir):
@@ -309,11 +309,15 @@ YEAR_RETS = RETS.replace("bars as (select event_type", "all_bars as (select even
 )
 PORTFOLIO = "folio as (select 'PORTFOLIO' as ticker, ts, avg(ret) as ret from rets group by ts)"
 BOTH = f"{YEAR_RETS}, {PORTFOLIO}, both_rets as (select ticker, ts, ret from rets union all select ticker, ts, ret from folio)"
-TERM = "(0.5 * ln(high / low) ^ 2 - (2 * ln(2) - 1) * ln(close / open) ^ 2)"
+RS = (
+    "(ln(nullif(high, 0) / nullif(open, 0)) * (ln(nullif(high, 0) / nullif(open, 0)) - ln(nullif(close, 0) / nullif(open, 0))) "
+    "+ ln(nullif(low, 0) / nullif(open, 0)) * (ln(nullif(low, 0) / nullif(open, 0)) - ln(nullif(close, 0) / nullif(open, 0))))"
+)
+TERM = "(0.5 * ln(nullif(high, 0) / nullif(low, 0)) ^ 2 - (2 * ln(2) - 1) * ln(nullif(close, 0) / nullif(open, 0)) ^ 2)"
 GK = f"{BARS}, terms as (select *, {TERM} as term, ln(close / nullif(lag(close) over (partition by ticker order by ts), 0)) as lr from bars)"
 YZ = (
-    f"{BARS}, y as (select ticker, ts, ln(high / open) * (ln(high / open) - ln(close / open)) + ln(low / open) * (ln(low / open) - ln(close / open)) as rs, "
-    "open / lag(open) over w - 1 as oo, close / lag(close) over w - 1 as cc from bars window w as (partition by ticker order by ts)), yy as (select *, cc - oo as co from y)"
+    f"{BARS}, y as (select ticker, ts, {RS} as rs, "
+    "open / nullif(lag(open) over w, 0) - 1 as oo, close / nullif(lag(close) over w, 0) - 1 as cc from bars window w as (partition by ticker order by ts)), yy as (select *, cc - oo as co from y)"
 )
 GRID = (
     f"{BARS}, feats as (select ticker, " + ", ".join(f"case when count(close) over w{n} >= {n} then stddev_samp(close) over w{n} end as std_{n}" for n in corrgrid.WINDOWS)
@@ -339,11 +343,11 @@ GBM = (
     f"paths as (select ticker, path, step, s0 * exp((mu - 0.5 * sigma * sigma) * step * (0.5 / 12) + sigma * sum({normal_sql('ticker', 'path', 'step')} * sqrt(1.0::double / 26)) over (partition by ticker, path order by step)) as price from cells)"
 )
 WEEKLY_YZ = (
-    f"{WEEKS}, y as (select ticker, date, close, ln(close / nullif(lag(close) over w, 0)) as lr, ln(high / open) * (ln(high / open) - ln(close / open)) + ln(low / open) * (ln(low / open) - ln(close / open)) as rs, "
-    "open / lag(open) over w - 1 as oo, close / lag(close) over w - 1 as cc from weeks window w as (partition by ticker order by date)), yy as (select *, cc - oo as co from y), "
+    f"{WEEKS}, y as (select ticker, date, close, ln(close / nullif(lag(close) over w, 0)) as lr, {RS} as rs, "
+    "open / nullif(lag(open) over w, 0) - 1 as oo, close / nullif(lag(close) over w, 0) - 1 as cc from weeks window w as (partition by ticker order by date)), yy as (select *, cc - oo as co from y), "
 )
 GBM_YZ = f"with {WEEKLY_YZ}" + ", ".join(
-    f"par{p} as (select ticker, round(arg_max(close, date), 6) as s0, round(avg(lr) / (1.0::double / {p}) + 0.5 * arg_max(yz, date) ^ 2, 6) as mu, round(arg_max(yz, date), 6) as sigma from (select *, case when count(oo) over w >= {n} then "
+    f"par{p} as (select ticker, round(arg_max(close, date), 6) as s0, round(avg(lr) / (1.0::double / {p}) + 0.5 * arg_max(yz, date) ^ 2, 6) as mu, round(arg_max(yz, date), 6) as sigma from (select *, case when least(count(oo) over w, count(rs) over w, count(co) over w) >= {n} then "
     f"sqrt((var_samp(oo) over w + {volatility.yang_zhang_weight(n)!r}::double * avg(rs) over w + (1 - {volatility.yang_zhang_weight(n)!r}::double) * var_samp(co) over w) * {p}) end as yz from yy window w as (partition by ticker order by date rows between {n - 1} preceding and current row)) group by ticker), "
     f"cells{p} as (select *, p.path::int as path, s.step::int as step from par{p}, range({GBM_PATHS}) p(path), range({p // 2}) s(step))"
     for n, p in ((5, 52), (10, 26))
@@ -360,7 +364,7 @@ OU_FIT = (
     "fit as (select ticker, arg_max(y, ts) as x0, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, avg(y - x) as mu, stddev_pop(y - x) as sigma from logs group by ticker)"
 )
 OU = (
-    f"with recursive {OU_FIT}, start as (select ticker, round(x0, 6) as x0, round(mu, 6) as mu, round(sigma, 6) as sigma, round((1 - slope) * 252, 6) as theta, p.path::int as path from fit, range({OU_PATHS}) p(path)), "
+    f"with recursive {OU_FIT}, start as (select ticker, round(x0, 7) as x0, round(mu, 7) as mu, round(sigma, 7) as sigma, round((1 - slope) * 252, 7) as theta, p.path::int as path from fit, range({OU_PATHS}) p(path)), "
     "walk as (select ticker, path, mu, sigma, theta, 0 as step, x0 as x from start union all "
     f"select ticker, path, mu, sigma, theta, step + 1, x + theta * (mu - x) * (1.0::double / 252) + sigma * sqrt(1.0::double / 252) * {normal_sql('ticker', 'path', 'step')} from walk where step < {OU_STEPS})"
 )
@@ -447,7 +451,7 @@ ORACLES = {
     "q_roll_std": f"with {BARS} " + _frames("stddev_samp({x})", (3, 7, 14), "std", "close"),
     "q_roll_mean_15_30_45": f"with {BARS} " + _frames("avg({x})", (15, 30, 45), "avg", "close"),
     "q_gk_vol": f"with {GK} select ticker, ts, " + ", ".join(f"round(case when count(term) over w{n} >= {n} then sqrt(greatest(0, avg(term) over w{n})) end, 6) as gk_{n}" for n in (30, 10, 5)) + " from terms window " + ", ".join(f"w{n} as (partition by ticker order by ts rows between {n - 1} preceding and current row)" for n in (30, 10, 5)),
-    "q_yz_vol": f"with {YZ} select ticker, ts, " + ", ".join(f"round(case when count(oo) over w{n} >= {n} then sqrt((var_samp(oo) over w{n} + {volatility.yang_zhang_weight(n)!r}::double * avg(rs) over w{n} + (1 - {volatility.yang_zhang_weight(n)!r}::double) * var_samp(co) over w{n}) * {p}) end, 6) as yz_{n}" for n, p in ((5, 52), (10, 26))) + " from yy window " + ", ".join(f"w{n} as (partition by ticker order by ts rows between {n - 1} preceding and current row)" for n in (5, 10)),
+    "q_yz_vol": f"with {YZ} select ticker, ts, " + ", ".join(f"round(case when least(count(oo) over w{n}, count(rs) over w{n}, count(co) over w{n}) >= {n} then sqrt((var_samp(oo) over w{n} + {volatility.yang_zhang_weight(n)!r}::double * avg(rs) over w{n} + (1 - {volatility.yang_zhang_weight(n)!r}::double) * var_samp(co) over w{n}) * {p}) end, 6) as yz_{n}" for n, p in ((5, 52), (10, 26))) + " from yy window " + ", ".join(f"w{n} as (partition by ticker order by ts rows between {n - 1} preceding and current row)" for n in (5, 10)),
     "q_gbm_params": (
         f"with {GK}, g as (select *, case when count(term) over w >= 10 then sqrt(avg(term) over w) end as gk from terms window w as (partition by ticker order "
         "by ts rows between 9 preceding and current row)) select ticker, round(arg_max(close, ts), 6) as s0, round(avg(lr) / (1.0::double / 26) + 0.5 * arg_max(gk, "
@@ -474,7 +478,7 @@ ORACLES = {
     "q_gbm_yz_paths": GBM_YZ,
     "q_ou_mean_path": f"{OU} select ticker, step, round(avg(exp(x)), 4) as mean_price from walk group by all",
     "q_ou_final_stats": f"{OU} select ticker, {SUMMARY.format(x='exp(x)')} from walk where step = {OU_STEPS} group by ticker",
-    "q_ou_paths": f"{OU} select ticker, path, count(*) as points, round(min(x), 5) as low, round(max(x), 5) as high, round(arg_max(x, step), 5) as x_final from walk group by all",
+    "q_ou_paths": f"{OU} select ticker, path, count(*) as points, round(min(x), 4) as low, round(max(x), 4) as high, round(arg_max(x, step), 4) as x_final from walk group by all",
     "q_bayes_posterior": f"with {POSTERIOR} select ticker, " + ", ".join(f"round({c}, 6) as {c}" for c in ("prior_mean", "prior_std", "like_std", "post_mean", "post_std")) + " from post",
     "q_bayes_grid": (
         f"with {POSTERIOR}, g as (select *, g.i::int as n, prior_mean + prior_std * (6.0::double * g.i / 999 - 3) as x from post, range(1000) g(i)) select ticker, "
