@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfin.llm import ann, bpe, decontam, html, licences, linededup, minhash, pii, quality, repeats
+from tallyfin.llm import ann, bpe, decontam, html, licences, linededup, minhash, pii, quality, repeats, spelling, tokencount, vqcode
 from tallyfin.llm.common import documents
 
 
@@ -53,5 +53,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_neighbours": op2_neighbours, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op7_personal_data": op7_personal_data, "op8_html": op8_html, "op9_repeats": op9_repeats, "op10_decontamination": op10_decontamination}
-ORACLES = {"op4_near_dedup": minhash.ORACLE, "op9_repeats": repeats.ORACLE, "op5_line_dedup": linededup.ORACLE, "op10_decontamination": decontam.ORACLE}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vqcode.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a cache of its own, which is empty at first: every distinct text is encoded once, appended and read."""
+    return tokencount.count_tokens(documents(spark, sf_dir), tokencount.default_tokenizer(), tokencount.fresh_cache(spark))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_neighbours": op2_neighbours, "op3_quality": op3_quality, "op4_near_dedup": op4_near_dedup, "op5_line_dedup": op5_line_dedup, "op6_licences": op6_licences, "op7_personal_data": op7_personal_data, "op8_html": op8_html, "op9_repeats": op9_repeats, "op10_decontamination": op10_decontamination, "op11_spelling": op11_spelling, "op12_vector_codes": op12_vector_codes, "op13_token_counts": op13_token_counts}
+ORACLES = {"op4_near_dedup": minhash.ORACLE, "op9_repeats": repeats.ORACLE, "op5_line_dedup": linededup.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_spelling": spelling.ORACLE, "op12_vector_codes": vqcode.oracle_sql()}
