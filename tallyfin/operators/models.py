@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfin.functions import normal
+from tallyfin.functions.blocks import Affine, Weights, scan_rows, with_moments
 from tallyfin.functions.scan import scan
 from tallyfin.functions.series import ordered
 
@@ -140,21 +141,26 @@ def partial_autocorrelation(acf: DataFrame, keys: str = "ticker") -> DataFrame:
     return acf.select(keys, "lag", "acf").groupBy(keys).applyInPandas(levinson, f"{keys} string, lag int, pacf double")
 
 
-def garch_filter(df: DataFrame, omega: float, alpha: float, beta: float, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+def garch_filter(df: DataFrame, omega: float, alpha: float, beta: float, value: str = "ret", order: str = "ts", keys: str = "ticker", blocks: int | None = None) -> DataFrame:
     """(keys, order, resid, variance, std_resid) of fixed parameters; the first variance is the series' own.
 
-    The recursion is a linear scan of each series' array (a series is a few bytes a row), all in the JVM.
+    A row's variance is an affine map of the last one, so a series is scanned in blocks that many tasks
+    take (``functions.blocks``).  Rows without a value pass their variance on and have no residual;
+    rows of one moment are taken in order of their residuals.
     """
-    return _variances(df, lambda h, e: omega + alpha * e * e + beta * h, value, order, keys)
+    return _affine_variances(df, lambda e: omega + alpha * e * e, beta, value, order, keys, blocks)
 
 
-def gjr_filter(df: DataFrame, omega: float, alpha: float, gamma: float, beta: float, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
+def gjr_filter(df: DataFrame, omega: float, alpha: float, gamma: float, beta: float, value: str = "ret", order: str = "ts", keys: str = "ticker", blocks: int | None = None) -> DataFrame:
     """As garch_filter, with gamma more on the square of a negative residual."""
-    return _variances(df, lambda h, e: omega + (alpha + F.when(e < 0, gamma).otherwise(0.0)) * e * e + beta * h, value, order, keys)
+    return _affine_variances(df, lambda e: omega + (alpha + F.when(e < 0, gamma).otherwise(0.0)) * e * e, beta, value, order, keys, blocks)
 
 
 def egarch_filter(df: DataFrame, omega: float, alpha: float, gamma: float, beta: float, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
-    """As garch_filter, on the logarithm of the variance: omega + alpha (|z| - E|z|) + gamma z + beta times the last."""
+    """As garch_filter, on the logarithm of the variance: omega + alpha (|z| - E|z|) + gamma z + beta times the last.
+
+    z divides by the variance itself, so steps do not compose as maps: a series is one row's array here.
+    """
 
     def step(h: Column, e: Column) -> Column:
         z = e / F.sqrt(h)
@@ -168,18 +174,34 @@ def garch_in_mean(df: DataFrame, omega: float, alpha: float, beta: float, premiu
     return garch_filter(df, omega, alpha, beta, value, order, keys).withColumn("expected", premium * F.col("variance"))
 
 
-def regime_filter(df: DataFrame, calm: tuple[float, float], wild: tuple[float, float], stay: tuple[float, float], value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
-    """(keys, order, wild): the probability, given the rows up to each, of the second of two normal regimes (mean, deviation) that stay with these probabilities; before the first row both are alike likely."""
-    arrays = df.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("r")))).alias("s"))
+def regime_filter(
+    df: DataFrame, calm: tuple[float, float], wild: tuple[float, float], stay: tuple[float, float], value: str = "ret", order: str = "ts", keys: str = "ticker", blocks: int | None = None
+) -> DataFrame:
+    """(keys, order, wild): the probability, given the rows up to each, of the second of two normal regimes (mean, deviation) that stay with these probabilities; before the first row both are alike likely.
 
-    def step(p: Column, x: Column) -> Column:
-        prior = p * stay[1] + (1 - p) * (1 - stay[0])
-        likely = [normal.density(x["r"], F.lit(m), F.lit(d)) for m, d in (calm, wild)]
-        return F.coalesce(F.try_divide(prior * likely[1], prior * likely[1] + (1 - prior) * likely[0]), prior)
-
-    folded = arrays.select(keys, "s", scan(F.col("s"), F.lit(0.5), step).alias("p"))
-    rows = folded.select(keys, F.explode_outer(F.arrays_zip("s", F.slice("p", F.lit(2), F.size("s")).alias("p"))).alias("z"))
-    return rows.select(keys, F.col(f"z.s.{order}").alias(order), F.col("z.p").alias("wild"))
+    A row's step is a 2 x 2 matrix, so series are scanned in blocks as by garch_filter.  A row without a value, or of no density in
+    either regime, only moves the regimes on.
+    """
+    if not all(0 < p < 1 for p in stay):
+        raise ValueError("a regime stays with a probability between 0 and 1")
+    likely = [normal.density(F.col(value), F.lit(m), F.lit(d)) for m, d in (calm, wild)]
+    told = F.coalesce(likely[0] + likely[1] > 0, F.lit(False))
+    calm_like, wild_like = (F.when(told, x).otherwise(1.0) for x in likely)
+    cells = {"_m00": calm_like * stay[0], "_m01": calm_like * (1 - stay[1]), "_m10": wild_like * (1 - stay[0]), "_m11": wild_like * stay[1]}
+    made = df.select(keys, order, F.col(value).alias("_value"), *(c.alias(name) for name, c in cells.items()), F.lit(0.5).alias("_half"))
+    found = scan_rows(made, Weights, list(cells), ["_half", "_half"], [keys], [order], ["calm", "wild"], carry=["_value"], blocks=blocks, after=True)
+    return found.select(keys, order, "wild")
+
+
+def _affine_variances(df: DataFrame, news: Callable[[Column], Column], beta: float, value: str, order: str, keys: str, blocks: int | None) -> DataFrame:
+    """(keys, order, resid, variance, std_resid) of variances news(residual) + beta times the last, from the series' own."""
+    moments = with_moments(df.select(keys, order, F.col(value).cast("double").alias("_value")), "_value", [keys], {"_mean": F.avg, "_h0": F.var_pop})
+    e = F.col("_value") - F.col("_mean")
+    made = moments.select(keys, order, e.alias("resid"), "_h0").select(
+        "*", F.when(F.col("resid").isNull(), 1.0).otherwise(beta).alias("_a"), F.when(F.col("resid").isNull(), 0.0).otherwise(news(F.col("resid"))).alias("_b")
+    )
+    found = scan_rows(made, Affine, ["_a", "_b"], ["_h0"], [keys], [order], ["variance"], carry=["resid"], blocks=blocks)
+    return found.select(keys, order, "resid", "variance", F.try_divide("resid", F.sqrt("variance")).alias("std_resid"))
 
 
 def _variances(df: DataFrame, step: Callable[[Column, Column], Column], value: str, order: str, keys: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfin.functions import normal
+from tallyfin.functions.quantile import exact_quantiles
 from tallyfin.functions.series import annualised, ordered, simple_return
 from tallyfin.schema import SCENARIOS
+from tallyfin.session import checkpoint, small
 
 
 @dataclass(frozen=True)
@@ -58,26 +60,30 @@ def look_back(series: DataFrame, days: int = 365, order: str = "date", keys: str
 def historical(rets: DataFrame, confidence: float = 0.95, keys: tuple[str, ...] = ("ticker",), value: str = "ret", approximate: bool = False) -> DataFrame:
     """(keys, var, cvar): the loss at the quantile and the mean loss at or beyond it.
 
-    Returns are shuffled once, by key: the exact quantile is taken over each key's partition, so a key's
-    distinct values must fit an executor.  With ``approximate`` the quantile is a sketch's, partially
-    aggregated and joined back, and no key is a single task's rows.
+    The exact quantile comes from counts by digit (``functions.quantile``), so a key may have any number
+    of returns and none is a single task's.  With ``approximate`` it is a sketch's, in one pass.
     """
     level = 1 - check_confidence(confidence)
     if approximate:
         cut = rets.groupBy(*keys).agg(F.percentile_approx(value, F.lit(level), 100_000).alias("_q"))
         tail = rets.join(cut, list(keys))
-    else:
-        tail = rets.withColumn("_q", F.percentile(value, F.lit(level)).over(Window.partitionBy(*keys)))
-    return tail.filter(F.col(value) <= F.col("_q")).groupBy(*keys).agg((-F.first("_q")).alias("var"), (-F.avg(value)).alias("cvar"))
+        return tail.filter(F.col(value) <= F.col("_q")).groupBy(*keys).agg((-F.first("_q")).alias("var"), (-F.avg(value)).alias("cvar"))
+    return historical_at(rets, (confidence,), keys, value).select(*keys, "var", "cvar")
 
 
 def historical_at(rets: DataFrame, confidences: tuple[float, ...], keys: tuple[str, ...] = ("ticker",), value: str = "ret") -> DataFrame:
-    """(keys, var, cvar, confidence) at several confidences, from one shuffle and one pass."""
-    levels = F.array(*(F.lit(1 - check_confidence(c)) for c in confidences))
-    cut = rets.withColumn("_q", F.percentile(value, levels).over(Window.partitionBy(*keys)))
-    sums = cut.groupBy(*keys).agg(F.first("_q").alias("_q"), *(F.avg(F.when(F.col(value) <= F.col("_q")[i], F.col(value))).alias(f"_{i}") for i in range(len(confidences))))
-    rows = F.array(*(F.struct((-F.col("_q")[i]).alias("var"), (-F.col(f"_{i}")).alias("cvar"), F.lit(c).alias("confidence")) for i, c in enumerate(confidences)))
-    return sums.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+    """(keys, var, cvar, confidence) at several confidences, from the same passes."""
+    levels = [1 - check_confidence(c) for c in confidences]
+    rows = checkpoint(rets.select(*keys, F.col(value).cast("double").alias("_v")))
+    cut = checkpoint(exact_quantiles(rows, "_v", levels, keys).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("q").alias("_q")))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    tails = rows.join(small(cut), same & (F.col("_v") <= F.array_max("_q")))
+    means = (F.avg(F.when(F.col("_v") <= F.col("_q")[i], F.col("_v"))).alias(f"_{i}") for i in range(len(levels)))
+    sums = tails.groupBy(*keys, "_q").agg(*means)
+    found = F.array(*(F.struct((-F.col("_q")[i]).alias("var"), (-F.col(f"_{i}")).alias("cvar"), F.lit(c).alias("confidence")) for i, c in enumerate(confidences)))
+    return sums.select(*keys, F.explode(found).alias("_r")).select(*keys, "_r.*")
 
 
 def parametric(rets: DataFrame, confidence: float = 0.95, keys: tuple[str, ...] = ("ticker",), value: str = "ret") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfin.functions import series
-from tallyfin.operators import models, montecarlo, risk, screen, textclean, valuation
-from tallyfin.plans.market import RETS, rounded, uniform_sql
-from tallyfin.sources import sinks, tables
+from tallyfin.operators import asof, models, montecarlo, risk, screen, textclean, valuation
+from tallyfin.plans.market import BARS, RETS, rounded, uniform_sql
+from tallyfin.session import shared_folder
+from tallyfin.sources import paged, sinks, tables
 
 #: Production parameters: pages that make a line repeated, draws.
 HEADS = ("Item 1A. ", "\tITEM 7 - ", "item\u00a03", "Items 4 ", "See Item 5. ", "")
@@ -223,11 +226,33 @@ def q_cid_pages(spark, sf_dir):
 
 
 def q_table_scan(spark, sf_dir):
-    """A table's columns and rows as the caller asks for them, as known on a day."""
+    """A table's columns and rows as the caller asks for them, as known on a day: pages cut from orders, read through the paged source with its filters pushed."""
+    endpoint = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    paged.write_pages(tables.table(spark, sf_dir, "orders").withColumn("o_orderdate", F.to_date("o_orderdate")), endpoint)
+    asked = paged.scan_pages(spark, endpoint, ["o_orderkey", "o_orderstatus", "o_totalprice"], {"o_orderstatus": ["F", "P"]}, as_of=("o_orderdate", "1997-06-30"))
+    return rounded(asked, 2)
+
+
+def q_file_scan(spark, sf_dir):
+    """The same of the table's own files."""
     asked = tables.scan(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"], {"o_orderstatus": ["F", "P"]}, as_of=("o_orderdate", "1997-06-30"))
     return rounded(asked, 2)
 
 
+def q_asof_prices(spark, sf_dir):
+    """Every quarter's figures with the price last known at its end, at most a week old."""
+    quarters = tables.fundamentals(spark, sf_dir).select("ticker", "calendardate", "roic")
+    joined = asof.asof_join(quarters, tables.daily_prices(spark, sf_dir), "ticker", "calendardate", "date", ["close"], tolerance=F.expr("interval 7 days"), matched="price_date")
+    return rounded(joined, 6)
+
+
+def q_asof_bars(spark, sf_dir):
+    """Every event with the close of the last hour before its own."""
+    events = tables.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("at"), F.col("event_type").alias("ticker"), "value")
+    bars = tables.bars_hourly(spark, sf_dir).select("ticker", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), "close")
+    return rounded(asof.asof_join(events, bars, "ticker", "at", "ts", ["close"], exact=False, matched="bar_end"), 6)
+
+
 def q_revenue_order(spark, sf_dir):
     """Tickers of the last quarter by falling revenue, the first ten."""
     last = screen.latest(tables.fundamentals(spark, sf_dir)).select("ticker", "ebitdausd").orderBy(F.desc("ebitdausd"), "ticker").limit(10)
@@ -413,6 +438,15 @@ ORACLES = {
         "page) as pages from lines group by 1, 2) select doc, line, pages from r join n using (doc) where of >= 3 and pages >= greatest(3, floor(of * 0.6))"
     ),
     "q_table_scan": "select o_orderkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice from orders where o_orderstatus in ('F', 'P') and o_orderdate <= date '1997-06-30'",
+    "q_file_scan": "select o_orderkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice from orders where o_orderstatus in ('F', 'P') and o_orderdate <= date '1997-06-30'",
+    "q_asof_prices": (
+        f"with {FUND}, {DAILY} select f.ticker as ticker, calendardate, round(roic, 6) as roic, round(case when p.date >= calendardate - interval 7 day then close end, 6) as close, "
+        "case when p.date >= calendardate - interval 7 day then p.date end as price_date from f asof left join daily p on f.ticker = p.ticker and f.calendardate >= p.date"
+    ),
+    "q_asof_bars": (
+        f"with {BARS} select event_id, e.ts as at, event_type as ticker, round(value, 6) as value, round(close, 6) as close, b.ts as bar_end "
+        "from events e asof left join (select ticker, ts + interval 1 hour as ts, close from bars) b on e.event_type = b.ticker and e.ts > b.ts"
+    ),
     "q_revenue_order": (
         f"with {FUND} select ticker, round(ebitdausd, 2) as ebitdausd, (row_number() over (order by ebitdausd desc, ticker))::int as place from f where calendardate "
         "= (select max(calendardate) from f) qualify place <= 10"
