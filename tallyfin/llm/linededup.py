@@ -29,9 +29,9 @@ def folded(line: Column) -> Column:
     return F.lower(F.decode(F.encode(line, "UTF-8"), "ISO-8859-1"))
 
 
-def _on_keys(lines: DataFrame, keys: DataFrame, total: int) -> DataFrame:
-    """lines with the columns of their key; keys: (a, b, n, ...), one row a key."""
-    return lines.join(F.broadcast(keys.drop("n")), ["a", "b"]) if keys.count() <= MOST_KEYS else join_counted(lines, keys, ["a", "b"], total)
+def _on_keys(lines: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """lines with the columns of their key; keys: (on, n, ...), one row a key."""
+    return lines.join(F.broadcast(keys.drop("n")), on) if keys.count() <= MOST_KEYS else join_counted(lines, keys, on, total)
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -57,13 +57,14 @@ def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: s
 
     held = docs.filter("doc_id is not null").select("doc_id", "mark", F.array_compact(F.transform(keys, placed_key)).alias("keys"))
     held = checkpoint(held.filter(F.size("keys") > 0))
-    in_rows = held.select(F.explode(F.array_distinct(F.transform("keys", lambda k: F.struct(k["a"], k["b"])))).alias("key")).select("key.a", "key.b")
-    several = checkpoint(in_rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs))
+    # one hash is enough to leave out lines of few rows; distinct longs go through a hash set, so this is linear in the lines
+    in_rows = held.select(F.explode(F.array_distinct(F.transform("keys", lambda k: k["a"]))).alias("a"))
+    several = checkpoint(in_rows.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs))
     total = int(several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     placed = held.select("doc_id", "mark", F.explode("keys").alias("key")).select("doc_id", "mark", "key.place", "key.a", "key.b")
-    documents = _on_keys(placed.select("doc_id", "a", "b"), several, total).distinct()
+    documents = _on_keys(placed.select("doc_id", "a", "b"), several, ["a"], total).distinct()
     common = checkpoint(documents.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs))
-    drops = _on_keys(placed, common, total).filter(F.col("doc_id") < F.col("last")).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("drops"))
+    drops = _on_keys(placed, common, ["a", "b"], total).filter(F.col("doc_id") < F.col("last")).groupBy("doc_id", "mark").agg(F.collect_set("place").alias("drops"))
     more = ["rest"] if carry else []
     joined = docs.join(drops, ["doc_id", "mark"], "left").select("doc_id", "drops", lines.alias("lines"), *more)
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))  # by a hash set, so linear in the lines

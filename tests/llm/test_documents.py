@@ -104,6 +104,19 @@ def test_line_dedup_by_shuffled_keys(frame, corpus, monkeypatch):
     assert sorted(map(str, linededup.dedup_lines(frame(both(corpus))).collect())) == want
 
 
+def test_line_dedup_of_very_many_lines(frame, corpus):
+    """Time is linear in a document's lines; a line that one document repeats does not count as one of many documents."""
+    import time
+
+    lines = [f"line {k % 199_000} of one long document, each more than forty characters" for k in range(200_000)]
+    df = frame([(1, "\n".join(lines)), (2, "\n".join(lines[:10])), (3, "x"), *((k, lines[5]) for k in (4, 5, 6))])
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in linededup.dedup_lines(df).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[1].n_lines == 200_000 and got[1].n_dropped == 2 and got[2].n_dropped == 1 and got[6].n_dropped == 0 and got[5].n_dropped == 1
+    assert got[1].kept == "\n".join(x for x in lines if x != lines[5])
+
+
 def test_folded_lines(spark):
     import random
 
@@ -127,6 +140,16 @@ def test_repeats(frame, corpus):
     assert repeats.remove_repeats(frame([])).count() == 0
 
 
+def test_repeats_of_many_null_ids(frame, corpus):
+    """Rows without an id are no block of their own: they are returned as they are, whatever their number."""
+    text = corpus[7][1]
+    rows = [(None, text)] * 3000 + [(None, None), (1, text), (2, text)]
+    df = frame(rows)
+    got = Counter((r.doc_id, r.n_bytes, len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(df).collect())
+    assert got == brute_repeats(rows)
+    assert repeats.remove_repeats(df.filter("doc_id is null")).count() == 3001
+
+
 def test_bpe(frame, corpus):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")

@@ -40,3 +40,17 @@ def test_near_stage_repeated_rows_and_null_ids(spark, frame):
     got = corpus_pipeline.near_stage(spark, frame(rows), "").select("doc_id", "text").collect()
     want = [(1, long), (3, other), (3, "a third text"), (None, "alone here"), (None, ""), (None, None), (4, ""), (5, None)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_near_stage_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", "b", 1), (2, text + " more", "c", "d", 2), (3, None, "e", "f", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, _key string, OTHER int")
+    got = corpus_pipeline.near_stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
+def test_line_stage_of_one_long_document(spark, frame):
+    lines = [f"line {k} of one long document, each more than forty characters" for k in range(200_000)]
+    got = corpus_pipeline.line_stage(spark, frame([(k, "\n".join(lines[: 200_000 if k == 0 else 3])) for k in range(5)]), "")
+    assert {r.doc_id: r.text.count("\n") + 1 for r in got.collect() if r.text} == {0: 199_997, 4: 3}
