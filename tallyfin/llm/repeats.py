@@ -402,7 +402,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows of one doc_id are one document: none removes from another.  Rows with a null doc_id are
     returned whole and take nothing from others.
     """
-    docs = clean_ids(df, id_col, text_col)
+    every = clean_ids(df, id_col, text_col)
+    docs = every.filter("doc_id is not null")
+    text = F.coalesce("text", F.lit(""))
+    apart = every.filter("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, end: long>>").alias("spans"), text.cast("binary").alias("kept"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-int(size) // block_bytes))
     # as many partitions as blocks: a task's work is a few blocks however many there are
@@ -416,7 +419,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.lit(None).cast("binary")
     hot = answers.filter(F.length("hot") > 0).select("block", "range", none.alias("shared"), none.alias("repeated"), "hot")
     told = verdicts.withColumn("hot", none).unionByName(hot).repartition(n, "block")
-    return by_block.cogroup(told.groupBy("block")).applyInArrow(lambda b, a: _mark(b, a, n), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    marked = by_block.cogroup(told.groupBy("block")).applyInArrow(lambda b, a: _mark(b, a, n), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return marked.unionByName(apart)
 
 
 #: Every string of 50 bytes, as hexadecimal digits: for small tables.
