@@ -31,6 +31,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return flat.select(*docs.columns)
 
 
+def _unused(name: str, docs: DataFrame) -> str:
+    """A column name like this one that docs does not have, in whatever case."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays: that of the least doc_id.
 
@@ -40,14 +48,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     made = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
     key = F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), made))
-    keyed = docs.withColumn("_key", key)
-    gone = minhash.near_duplicates(keyed, k=5, percent=80, id_col="_key").filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    again = checkpoint(keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1 and _key is not null").select(F.col("_key").alias("_again")))
+    made_up, other = _unused("key", docs), _unused("other", docs)
+    keyed = docs.withColumn(made_up, key)
+    gone = minhash.near_duplicates(keyed, k=5, percent=80, id_col=made_up).filter("not kept").select(F.col("doc_id").alias(other)).distinct()
+    keyless = keyed.filter(F.col(made_up).isNull())  # without words: they take no part, and no join deals them to one task
+    keyed = keyed.filter(F.col(made_up).isNotNull())
+    rest = keyed.join(gone, F.col(made_up) == F.col(other), "left_anti")
+    again = checkpoint(keyed.groupBy(made_up).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(made_up).alias(other)))
     if not again.isEmpty():  # few: only their texts are compared
-        same = F.col("_key") == F.col("_again")
-        rest = rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates(["_key", "text"]))
-    return rest.select(*docs.columns)
+        same = F.col(made_up) == F.col(other)
+        rest = rest.join(again, same, "left_anti").unionByName(rest.join(again, same, "left_semi").dropDuplicates([made_up, "text"]))
+    return rest.unionByName(keyless).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
