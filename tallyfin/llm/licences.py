@@ -2,9 +2,9 @@
 
 The automaton accepts every substring of every licence template, over word tokens.  A file is
 streamed through it once: after each word the automaton holds the longest suffix of the words read so
-far that stands in some template (matching statistics).  Maximal matches of MIN_MATCH words or more
-are chained, per template in order of place, into covered spans; a template whose chained matches
-cover enough of its words is a label.
+far that stands in some template (matching statistics).  Where that gives MIN_MATCH words or more, each template's own
+automaton gives its maximal matches, and the best chain of them is found by dynamic programming; a template whose
+chain covers enough of its words is a label.
 
 The templates are fixed values, so the automaton (a few thousand states) is built on each worker and
 cached.  Files are streamed row by row in bounded pieces; nothing is shuffled or collected.
@@ -12,6 +12,7 @@ cached.  Files are streamed row by row in bounded pieces; nothing is shuffled or
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +38,48 @@ TEMPLATES = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) "
+        "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    ),
+    "cc0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. "
+        "You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/.",
+    ),
+    "cddl": (
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    ),
+    "eupl": (
+        "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission subsequent versions of the EUPL (the Licence); You may not use this work except in compliance with the Licence.",
+    ),
+    "gfdl": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; "
+        "with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.",
     ),
     "cc-by": (
         "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
         "Licensed under CC BY 4.0.",
+        "This work is licensed under the Creative Commons Attribution 3.0 Unported License.",
     ),
     "cc-by-nc": (
         "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
     ),
+    "cc-by-nc-nd": ("This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",),
+    "cc-by-nc-sa": ("This work is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",),
+    "cc-by-nd": ("This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",),
     "cc-by-sa": (
         "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
@@ -55,14 +89,38 @@ TEMPLATES = {
         "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
         "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/.",
+    ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see http://www.gnu.org/licenses/.",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
     ),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is also available with a FAQ at: http://scripts.sil.org/OFL",),
+    "postgresql": (
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, "
+        "provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    ),
+    "wtfpl": ("This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar.",),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ),
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software "
         "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
         "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
         "or substantial portions of the Software.",
         "Released under the MIT License.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY",
+        "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
     ),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
     "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",),
@@ -139,6 +197,40 @@ class Automaton:
             yield len(tokens) - length, len(tokens), state
 
 
+def chains(matches: list[tuple[int, int, int]], size: int, least: float) -> list[tuple[int, int, int]]:
+    """(words covered, first word, end) of chains of matches (start, end, place in the template) that cover ``least`` words or more and do not overlap, the largest first.
+
+    In a chain both the places in the text and those in the template rise, and a gap is no longer than
+    the template.  A word counts once, in the text and in the template.  Each match takes the
+    predecessor that gives it most, so a second place of the same words breaks no chain; only matches
+    within two template lengths are looked at, which keeps the time linear in the text.
+    """
+    matches = sorted(matches)
+    best, first, low = [], [], 0
+    for i, (s, e, p) in enumerate(matches):
+        n = e - s
+        while matches[low][0] < s - 2 * size:
+            low += 1
+        top, begin = n, s
+        for j in range(low, i):
+            t, f, q = matches[j]
+            if t < s and q < p and f < e and q + f - t < p + n and s <= f + size:
+                gained = best[j] + n - max(0, f - s, q + f - t - p)
+                if gained > top:
+                    top, begin = gained, first[j]
+        best.append(top)
+        first.append(begin)
+    out: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for covered, a, b in sorted(((c, a, m[1]) for c, a, m in zip(best, first, matches) if c >= least), key=lambda x: (-x[0], x[1], x[2])):
+        k = bisect_left(taken, (b, -1))  # spans taken are disjoint: only the last that starts before the end can meet
+        if k and taken[k - 1][1] > a:
+            continue
+        insort(taken, (a, b))
+        out.append((covered, a, b))
+    return out
+
+
 class Scanner:
     def __init__(self):
         self.labels, texts = [], []
@@ -148,7 +240,8 @@ class Scanner:
                 texts.append(words_of(text))
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.sizes = [len(t) for t in texts]
-        self.automaton = Automaton([[self.ids[w] for w in t] for t in texts])
+        coded = [[self.ids[w] for w in t] for t in texts]
+        self.automaton, self.own = Automaton(coded), [Automaton([t]) for t in coded]
         self.phrases = [(b" " + b" ".join(words_of(p)) + b" ", label) for p, label in PHRASES.items()]
 
     def base(self, words: list[bytes]) -> tuple[list[int], list[int], set[str]]:
@@ -175,30 +268,24 @@ class Scanner:
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if b - a < MIN_MATCH:
                 continue
-            for start, end, state in self.automaton.matches(ids[a:b].tolist(), MIN_MATCH):
-                for template, place in self.automaton.ends[state]:
-                    found.setdefault(template, []).append((a + start, a + end, place - (end - start)))
+            run = ids[a:b].tolist()
+            if next(self.automaton.matches(run, MIN_MATCH), None) is None:
+                continue
+            # a longer match in one template hides those in others, so each is asked where any matches
+            for template, own in enumerate(self.own):
+                for start, end, state in own.matches(run, MIN_MATCH):
+                    found.setdefault(template, []).extend((a + start, a + end, place - (end - start)) for _, place in own.ends[state])
         out = []
         for template, matches in found.items():
             size = self.sizes[template]
-            chain: list[tuple[int, int, int]] = []
-
-            def close(chain: list[tuple[int, int, int]], template=template, size=size) -> None:
-                reach = covered = 0
-                for s, e, place in chain:
-                    covered += max(0, place + e - s - max(reach, place))
-                    reach = max(reach, place + e - s)
-                if covered >= COVER * size:
-                    out.append((template, chain[0][0], max(e for _, e, _ in chain), covered / size))
-
-            for m in sorted(matches):
-                if chain and (m[2] < chain[-1][2] or m[0] > chain[-1][1] + size):
-                    close(chain)
-                    chain = []
-                chain.append(m)
-            if chain:
-                close(chain)
-        return sorted(out, key=lambda x: (x[1], x[0]))
+            out += [(covered, template, a, b) for covered, a, b in chains(matches, size, COVER * size)]
+        # notices that differ in a word cover each other nearly: of spans over the same words the one that explains most stays
+        taken, stand = bytearray(len(words)), []
+        for covered, template, a, b in sorted(out, key=lambda x: (-x[0], -x[0] / self.sizes[x[1]], x[1], x[2])):
+            if 2 * taken.count(1, a, b) < b - a:
+                taken[a:b] = b"\1" * (b - a)
+                stand.append((template, a, b, covered / self.sizes[template]))
+        return sorted(stand, key=lambda x: (x[1], x[0]))
 
     def scan(self, text: str) -> tuple:
         words = words_of(text)

@@ -211,18 +211,18 @@ def test_licences(frame, corpus):
 
 
 def test_licences_by_brute_force(corpus):
-    """Phrases by comparing words, maximal matches by trying every run of words, and chains by their rule."""
+    """Phrases by comparing words, maximal matches by trying every run of words; chains have a test of their own."""
     import random
 
     rng = random.Random(2)
     scanner = licences.Scanner()
     words_of = lambda t: [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())]
     templates = [(label, words_of(t)) for label, ts in licences.TEMPLATES.items() for t in ts]
-    least, runs = licences.MIN_MATCH, {}
+    least, runs = licences.MIN_MATCH, [{} for _ in templates]
     for k, (_, t) in enumerate(templates):
         for a in range(len(t)):
             for b in range(a + least, len(t) + 1):
-                runs.setdefault(tuple(t[a:b]), set()).add((k, a))
+                runs[k].setdefault(tuple(t[a:b]), set()).add(a)
     texts = [t for _, t in corpus[:20]] + [None or "", "All Rights Reserved cc by cc BY; cc-by all rights reserved " * 3]
     for _ in range(60):
         parts = []
@@ -241,24 +241,19 @@ def test_licences_by_brute_force(corpus):
         places = sorted(i for phrase in licences.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
         named = {label for phrase, label in licences.PHRASES.items() if any(w[i : i + len(phrase.split())] == phrase.split() for i in places)}
         assert (n_words, n_base, first, last, base) == (len(w), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(named)))
-        matches = {}
-        for i in range(len(w)):
-            ends = [j for j in range(len(w), i + least - 1, -1) if tuple(w[i:j]) in runs]
-            if ends and not (i and tuple(w[i - 1 : ends[0]]) in runs):  # the longest from here, and no longer to the left
-                for k, a in runs[tuple(w[i : ends[0]])]:
-                    matches.setdefault(k, []).append((i, ends[0], a))
-        want = []
-        for k, found in matches.items():
-            size, chains = len(templates[k][1]), []
-            for m in sorted(found):
-                if chains and m[2] >= chains[-1][-1][2] and m[0] <= chains[-1][-1][1] + size:
-                    chains[-1].append(m)
-                else:
-                    chains.append([m])
-            for chain in chains:
-                covered = {p for s, e, a in chain for p in range(a, a + e - s)}
-                if len(covered) >= licences.COVER * size:
-                    want.append((templates[k][0], chain[0][0], max(e for _, e, _ in chain), len(covered) / size))
+        claims = []
+        for k, (label, t) in enumerate(templates):
+            matches = []
+            for i in range(len(w)):
+                ends = [j for j in range(min(len(w), i + len(t)), i + least - 1, -1) if tuple(w[i:j]) in runs[k]]
+                if ends and not (i and tuple(w[i - 1 : ends[0]]) in runs[k]):  # the longest from here, and no longer to the left
+                    matches += [(i, ends[0], a) for a in runs[k][tuple(w[i : ends[0]])]]
+            claims += [(-n, -n / len(t), k, a, b) for n, a, b in licences.chains(matches, len(t), licences.COVER * len(t))]
+        want, taken = [], set()
+        for n, share, k, a, b in sorted(claims):
+            if 2 * len(taken & set(range(a, b))) < b - a:
+                taken |= set(range(a, b))
+                want.append((templates[k][0], a, b, -share))
         assert sorted((s["label"], s["first_word"], s["end_word"], s["cover"]) for s in spans) == sorted(want)
         assert labels == ",".join(sorted(named | {x[0] for x in want})) and score == max([0.0, *(x[3] for x in want), *([1.0] if named else [])])
         seen += len(want)
