@@ -14,9 +14,9 @@ classes that cut across are no template.  The tokens of the nested classes in or
 template.  What a page has between two of them is a slot.
 
 Main text is what fills the slots, but for menus, headers, footers, sidebars, notices, adverts, forms and
-comments, which are told by their elements.  Words of the template are left out; only a heading of it
-that stands between filled slots stays, as the title of the slot after it.  Pages that hold no token of
-a template or have nothing in its slots fall back on their own elements.
+comments, which are told by their elements and the names of their classes, ids and roles.  Words of the template are left out; only a heading of it
+that stands between filled slots stays, as the title of the slot after it.  Of pages that hold no token of
+a template or have nothing in its slots all stays that is not told to be such furniture.
 """
 
 from __future__ import annotations
@@ -40,11 +40,12 @@ RAW = frozenset("script style textarea noscript iframe xmp template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 NEVER = frozenset("head title script style noscript template textarea nav header footer aside form button select iframe svg dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: An element whose class, id or role has one of these words is not main text either.
+#: An element one of whose classes, or whose id or role, is one of these words, or is made of them and of AFFIXES, is not main text either.
 NEVER_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices popup modal newsletter subscribe subscription signup "
     "comment comments disqus respond reply replies sidebar nav navbar navigation menu breadcrumb breadcrumbs header footer masthead related recommended share sharing social toolbar pagination pager contentinfo complementary search".split()
 )
+AFFIXES = frozenset("site page post entry main top bottom left right primary secondary global user reader block box bar slot unit list item section area panel widget wrap wrapper container inner outer holder content text title form links icons buttons".split())
 MAIN = frozenset(("article", "main"))
 #: An open element on the left is closed by an opening one on the right.
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
@@ -57,12 +58,10 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _TOLD = re.compile("class|id|role|hidden", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+")
 
 #: Tokens of a valid class, the share of a host's pages that hold it, and the pages that a host needs for a template.
 CLASS_SIZE, SUPPORT, LEAST_PAGES = 2, 0.8, 5
-#: Share of a page's text from which its article and main elements stand for it where there is no template.
-MAIN_SHARE = 0.5
 #: Bytes of templates that are broadcast at most; beyond, pages meet them by a join that adaptive execution splits.
 BROADCAST_BYTES = 32 << 20
 #: Tokens gathered at once in a batch, and remembered elements of a worker.
@@ -78,6 +77,17 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
 
 
+def _is_furniture(value: str) -> bool:
+    """True if a name of the attribute's value is a furniture word ("ad", "cookies") or made of such and of affixes ("site-footer", "comment_list"); "ad-hoc-report" is not."""
+    for name in value.split():
+        if name in NEVER_WORDS:
+            return True
+        parts = [x for x in _PARTS.split(name) if x]
+        if not NEVER_WORDS.isdisjoint(parts) and all(x in NEVER_WORDS or x in AFFIXES for x in parts):
+            return True
+    return False
+
+
 def _element(name: str, attributes: str) -> tuple[int, bool, bool]:
     """Hash of the element's step in a path, whether it is never main text, and whether it is marked as main text."""
     known = _elements.get((name, attributes))
@@ -90,7 +100,7 @@ def _element(name: str, attributes: str) -> tuple[int, bool, bool]:
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 never = True
             elif key in ("class", "id", "role"):
-                if not NEVER_WORDS.isdisjoint(_WORD.findall(value)) and name not in ("html", "body", *MAIN):
+                if _is_furniture(value) and name not in ("html", "body", *MAIN):
                     never = True
                 if key == "class" and value.split():
                     step = f"{name}.{value.split()[0]}"
@@ -183,6 +193,8 @@ def parse(page: str) -> tuple[list[int], list[tuple[int, str, bool, bool]]]:
                 close(k)
             top = stack[-1]
             step, never, main = _element(name, attributes)
+            if name == "header" and top[3]:  # an article's own, with its headline
+                never = _element("div", attributes)[1]
             path = _join(top[1], step)
             tokens.append(path)
             if not attributes.endswith("/"):
@@ -301,9 +313,7 @@ def slots(page: str, template: dict[int, int] | None) -> list[tuple[int, str]]:
                         before = bisect_left(starts, i)
                         out.append((matched[starts[before - 1]] if before else -1, text))
                 return out
-    inside = [text for _, text, _, main in found if main]
-    whole = [text for _, text, *_ in found]
-    return [(-1, text) for text in (inside if sum(map(len, inside)) >= MAIN_SHARE * sum(map(len, whole)) else whole)]
+    return [(-1, text) for _, text, *_ in found]
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:

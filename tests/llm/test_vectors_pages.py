@@ -92,7 +92,7 @@ def test_pages(spark):
     rng = random.Random(2)
     bodies = {i: f"<h1>Head {i}</h1><p>One  &amp; two<br>three {i * i}\n four<p><b>last</b> {'word ' * (i % 5)}</p><form>x</form>" for i in range(40)}
     rows = [(i, f"http://h{i % 3}.example.com/{i}", page(rng, b)) for i, b in bodies.items()]
-    rows += [(100, None, None), (101, "x", ""), (102, "http://lone.example.com", "<p>only <i>one</i><!-- no --><script>no"), (103, "http://a.b", "<article><header>no</header>yes<nav>no</nav></article>out"), (0, rows[0][1], rows[0][2])]
+    rows += [(100, None, None), (101, "x", ""), (102, "http://lone.example.com", "<p>only <i>one</i><!-- no --><script>no"), (103, "http://a.b", "<header>no</header><article><header><h1>head</h1><nav>no</nav></header>yes<nav>no</nav></article>out"), (0, rows[0][1], rows[0][2])]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
     got = html.extract_pages(df).collect()
     assert len(got) == len(rows)
@@ -100,7 +100,7 @@ def test_pages(spark):
     for i in bodies:
         want = f"Head {i}\nOne & two three {i * i} four\n" + " ".join(["last", *["word"] * (i % 5)])
         assert texts[i] == want
-    assert (texts[100], texts[101], texts[102], texts[103]) == ("", "", "only one", "yes")
+    assert (texts[100], texts[101], texts[102], texts[103]) == ("", "", "only one", "head\nyes\nout")
     found = {r.host: r.template for r in html.templates(df.select(html.host_of(F.col("url")).alias("host"), "html")).collect()}
     assert set(found) == {f"h{k}.example.com" for k in range(3)}
     tokens, texts = html.parse(rows[1][2])
@@ -178,6 +178,76 @@ def test_classes_nest_by_position():
     assert html.nest([cut, inner, outer]) == [1, 2, 4, 5, 3]
 
 
+def test_names_of_furniture_are_whole_words():
+    kept = ['class="ad-hoc-report"', 'id="search-algorithms"', 'class="related-work"', 'class="navigational shareholders"', 'class="cookie-recipe"', 'role="note"']
+    gone = ['class="ad"', 'class="x advert"', 'class="site-footer"', 'id="comment_list"', 'class="main-nav"', 'role="navigation"', "class='cookie-notice-wrapper'", "hidden", 'aria-hidden="true"']
+    for name, stays in [*((k, True) for k in kept), *((g, False) for g in gone)]:
+        assert html.slots(f"<p>one</p><div {name}>two</div>", None) == [(-1, "one"), *([(-1, "two")] if stays else [])], name
+
+
+def test_nothing_is_dropped_for_a_share_of_the_page():
+    """Text outside article and main stays, however much is inside; an article's own header is part of it, the page's is not."""
+    inside = "".join(f"<p>{'word ' * k}</p>" for k in (3, 30, 300))
+    got = [t for _, t in html.slots(f"<header>top</header><article><header><h1>Title</h1></header>{inside}</article><div><p>Second part of story</p></div><footer>end</footer>", None)]
+    assert got[0] == "Title" and got[-1] == "Second part of story" and len(got) == 5
+
+
+def test_nesting_by_brute_force():
+    """Classes are taken by size; one is left out just if it cuts across one taken before."""
+    rng = random.Random(7)
+
+    def nested(x, y):
+        gaps = lambda a, b: {sum(m < n for m in a) for n in b}
+        return len(gaps(x, y)) == 1 or len(gaps(y, x)) == 1
+
+    for _ in range(300):
+        places = rng.sample(range(100), 24)
+        classes, at = [], 0
+        while at < 22:
+            size = rng.randrange(2, 6)
+            classes.append((rng.randrange(5, 9), [(float(p), 1000 + p) for p in places[at : at + size]]))
+            at += size
+        taken = []
+        for n, members in sorted(((n, sorted(m)) for n, m in classes), key=lambda c: (-c[0] * len(c[1]), c[1])):
+            if all(nested(members, t) for t in taken):
+                taken.append(members)
+        assert html.nest(classes) == [t for _, t in sorted(m for c in taken for m in c)]
+
+
+def test_slots_by_brute_force():
+    """The page's tokens of the template are the longest run of them in the template's order; all else is in a slot."""
+    import itertools
+
+    rng = random.Random(11)
+    for _ in range(150):
+        blocks = [rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 9))]
+        page = "".join(f"<p>{b}" for b in blocks)
+        tokens, found = html.parse(page)
+        words = {t: b for t, b in zip([t for i, t in enumerate(tokens) if any(f[0] == i for f in found)], blocks)}
+        order = rng.sample(sorted(set(words)), rng.randrange(len(set(words)) + 1))
+        template = {t: i for i, t in enumerate(order)}
+        once = [template[t] for t in tokens if t in template and tokens.count(t) == 1]
+        longest = max((len(c) for n in range(len(once) + 1) for c in itertools.combinations(once, n) if list(c) == sorted(c)), default=0)
+        got = [t for _, t in html.slots(page, template)]
+        assert len(got) == (len(blocks) - longest if 0 < longest < len(blocks) else len(blocks))
+
+
+def test_pages_without_marked_furniture_lose_it_by_the_template(spark):
+    """Nothing but div, p and h1: what repeats over a host's pages goes, what is a page's own stays, on every page."""
+    rng, rows, want = random.Random(13), [], {}
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta omega".split()) + str(rng.randrange(9999)) for _ in range(n))
+    for i in range(40):
+        own = [say(4), say(20), say(15)]
+        top = f"<div><div>Home</div><div>About {i % 2}</div><div>Contact us</div></div>"
+        body = f"<div><h1>{own[0]}</h1><p>{own[1]}</p><div><p>Read more below</p></div><p>{own[2]}</p></div>"
+        rows.append((i, f"https://h{i % 2}.example.com/{i}", f"<body>{top}{body}<div><p>All of this site belongs to somebody</p></div></body>"))
+        want[i] = "\n".join(own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_pages(df).collect()}
+    alone = {i: "\n".join(t for _, t in html.slots(page, None)) for i, _, page in rows}
+    assert got == want and sum(alone[i] != got[i] for i in got) == 40
+
+
 def test_very_deep_and_odd_markup():
     page = "<div class=a>" * 100_000 + "deep" + "</b></div>" * 100_000 + "<p>end"
     assert [t for _, t in html.slots(page, None)] == ["deep", "end"]
