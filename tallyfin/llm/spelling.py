@@ -88,8 +88,12 @@ def places(counted: DataFrame, most: int = MOST_SHARED) -> DataFrame:
 
 
 def _common(x: str, y: str) -> int:
-    """Length of the longest common prefix, by halving."""
+    """Length of the longest common prefix; of long strings by halving."""
     low, high = 0, min(len(x), len(y))
+    if high <= 32:
+        while low < high and x[low] == y[low]:
+            low += 1
+        return low
     if x[:high] == y[:high]:
         return high
     while low + 1 < high:
@@ -100,15 +104,11 @@ def _common(x: str, y: str) -> int:
 
 def edit_place(w: str, v: str) -> int | None:
     """Where in w the one edit that makes it v stands (as far right as it can); None where the words are equal or further apart."""
-    if abs(len(w) - len(v)) > 1 or w == v:
+    longer = len(w) - len(v)
+    if not -1 <= longer <= 1 or w == v:
         return None
-    p = _common(w, v)
-    if len(w) == len(v):
-        same = w[p + 1 :] == v[p + 1 :]
-    elif len(w) > len(v):
-        same = w[p + 1 :] == v[p:]
-    else:
-        same = w[p:] == v[p + 1 :]
+    p = _common(w, v) if w[:1] == v[:1] else 0
+    same = w[p + 1 :] == v[p + 1 :] if not longer else w[p + 1 :] == v[p:] if longer > 0 else w[p:] == v[p + 1 :]
     return p if same else None
 
 
@@ -116,48 +116,50 @@ class _Shard:
     """Segments of a shard's words, their places, and what scanning has found for each word."""
 
     def __init__(self):
-        self.nodes: dict[tuple[int, int, int, str, str], list[int]] = {}
+        self.nodes: dict[tuple[int, int, int, str, str], list[tuple[str, int]]] = {}
         self.words: list[str] = []
         self.near: list[int] = []
         self.best: list[tuple[int, str]] = []
         self.automaton = None
 
     def add(self, word: str, a: int, b: int) -> None:
-        self.nodes.setdefault((len(word), a, b, word[:a], word[b:]), []).append(len(self.words))
+        self.nodes.setdefault((len(word), a, b, word[:a], word[b:]), []).append((word[a:b], len(self.words)))
         self.words.append(word)
         self.near.append(0)
         self.best.append((0, ""))
 
     def build(self) -> None:
-        # of a node's two segments the longer is looked for, the other compared
-        by_segment: dict[str, list[tuple[tuple, list[int]]]] = {}
-        for node, members in self.nodes.items():
-            before, after = node[3], node[4]
-            by_segment.setdefault(before if len(before) >= len(after) else after, []).append((node, members))
+        # of a node's two segments the longer is looked for, the other compared; nodes by the length of their words
+        by_segment: dict[str, dict[int, list]] = {}
+        for (size, a, b, before, after), members in self.nodes.items():
+            at_start = len(before) >= len(after)
+            node = (at_start, before, after, a, size - b, b - a, b == size, members)
+            by_segment.setdefault(before if at_start else after, {}).setdefault(size, []).append(node)
         self.automaton = ahocorasick.Automaton()
         for segment, nodes in by_segment.items():
             self.automaton.add_word(segment, (len(segment), nodes))
         self.automaton.make_automaton()
 
     def scan(self, v: str, n: int) -> None:
-        size = len(v)
+        size, near, best = len(v), self.near, self.best
         for end, (length, nodes) in self.automaton.iter(v):
-            start = end + 1 - length
-            if start and end + 1 < size:
-                continue  # neither at the start nor at the end
-            for (of, a, b, before, after), members in nodes:
-                offset = 0 if len(before) >= len(after) else size - length
-                if start != offset or not -1 <= size - of <= 1 or size - len(after) < a or not (v.startswith(before) and v.endswith(after)):
-                    continue
-                for m in members:
-                    w = self.words[m]
-                    p = edit_place(w, v)
-                    # an edit belongs to one span, so that a pair is met once; one after the last code point to the last span
-                    if p is not None and (a <= p < b or p == b == of):
-                        self.near[m] += 1
-                        top, form = self.best[m]
-                        if n > top or (n == top and v < form):
-                            self.best[m] = (n, v)
+            starts, ends = end + 1 == length, end + 1 == size
+            if not (starts or ends):
+                continue
+            for of in (size - 1, size, size + 1):
+                for at_start, before, after, a, tail, span, last, members in nodes.get(of, ()):
+                    if not (starts if at_start else ends) or size - tail < a or not (v.endswith(after) if at_start else v.startswith(before)):
+                        continue
+                    between = v[a : size - tail]
+                    for part, m in members:
+                        # outside the span the words are equal; an edit belongs to the span of its rightmost place, so that a pair
+                        # is met once, and one after the last code point to the last span
+                        p = edit_place(part, between)
+                        if p is not None and (last or p < span and (p < len(between) or part[p] != after[0])):
+                            near[m] += 1
+                            top, form = best[m]
+                            if n > top or (n == top and v < form):
+                                best[m] = (n, v)
 
     def found(self) -> pa.RecordBatch:
         at = [i for i, k in enumerate(self.near) if k]
