@@ -14,6 +14,7 @@ from tallyfin.functions import normal
 from tallyfin.functions.blocks import Affine, Weights, scan_rows, with_moments
 from tallyfin.functions.scan import scan
 from tallyfin.functions.series import ordered
+from tallyfin.operators import garch
 
 #: Least observations for a GARCH fit, forecast steps.
 MIN_ROWS, HORIZON = 30, 14
@@ -237,67 +238,12 @@ def garch_accuracy(rets: DataFrame, forecast: DataFrame, value: str = "ret", ord
     return scored.select(keys, "mse", F.sqrt("mse").alias("rmse"), "mae")
 
 
-def _objective(params: np.ndarray, e2: np.ndarray, h0: float) -> float:
-    omega, alpha, beta = params
-    if omega <= 0 or alpha < 0 or beta < 0 or alpha + beta >= 0.9999:
-        return np.inf
-    h, total = h0, 0.0
-    for x in e2:
-        total += np.log(h) + x / h
-        h = omega + alpha * x + beta * h
-    return total
-
-
-def _descend(f, start: np.ndarray, scale: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Simplex search (Nelder and Mead)."""
-    points = [start] + [start + np.eye(len(start))[i] * scale[i] for i in range(len(start))]
-    ranked = sorted(((f(p), i, p) for i, p in enumerate(points)), key=lambda x: x[:2])
-    for k in range(steps):
-        (worst, _, w), centre = ranked[-1], np.mean([p for *_, p in ranked[:-1]], axis=0)
-        trial = centre + (centre - w)
-        value = f(trial)
-        if value < ranked[0][0]:
-            far = centre + 2 * (centre - w)
-            if (v := f(far)) < value:
-                trial, value = far, v
-        elif value >= ranked[-2][0]:
-            near = centre + 0.5 * ((trial if value < worst else w) - centre)
-            if (v := f(near)) < min(value, worst):
-                trial, value = near, v
-            else:
-                best = ranked[0][2]
-                ranked = [ranked[0]] + [(f(q := best + 0.5 * (p - best)), 10 + i, q) for i, (*_, p) in enumerate(ranked[1:])]
-                ranked.sort(key=lambda x: x[:2])
-                continue
-        ranked[-1] = (value, 100 + k, trial)
-        ranked.sort(key=lambda x: x[:2])
-        if ranked[-1][0] - ranked[0][0] < 1e-9:
-            break
-    return ranked[0][2], ranked[0][0]
-
-
 def garch_fit(df: DataFrame, value: str = "ret", order: str = "ts", keys: str = "ticker", min_rows: int = MIN_ROWS) -> DataFrame:
-    """(keys, n, mu, omega, alpha, beta, objective) of percent returns, by maximum likelihood; series of under ``min_rows`` are left out.
+    """(keys, n, mu, omega, alpha, beta, objective) of percent returns, by maximum likelihood; series of under ``min_rows`` values, or without variation, are left out.
 
-    The search starts from a variance-targeted grid; alpha + beta < 1 holds throughout.  A series is
-    one task's work: the recursion allows no other order.
+    Many series are fitted at once (``operators.garch``); alpha + beta < 1 holds throughout.
     """
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [keys, "n", "mu", "omega", "alpha", "beta", "objective"]
-        r = pdf.sort_values(order)[value].dropna().to_numpy(float) * 100
-        if len(r) < min_rows:
-            return pd.DataFrame(columns=columns)
-        e2, h0 = (r - r.mean()) ** 2, float(r.var())
-        if not h0:
-            return pd.DataFrame(columns=columns)
-        f = lambda p: _objective(p, e2, h0)
-        starts = [np.array([h0 * (1 - a - b), a, b]) for a in (0.05, 0.2, 0.4) for b in (0.1, 0.5, 0.75) if a + b < 0.999]
-        best = min(starts, key=f)
-        params, objective = _descend(f, best, np.array([0.1 * best[0], 0.05, -0.05]))
-        return pd.DataFrame([[pdf[keys].iloc[0], len(r), r.mean(), *params, objective]], columns=columns)
-
-    return df.select(keys, order, value).groupBy(keys).applyInPandas(fit, f"{keys} string, n long, mu double, omega double, alpha double, beta double, objective double")
+    return garch.fit(df, value, order, keys, min_rows)
 
 
 def quantile_pairs(filtered: DataFrame, keys: str = "ticker") -> DataFrame:
