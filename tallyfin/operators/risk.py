@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfin.functions import normal
+from tallyfin.functions.frames import rolling_quantile
 from tallyfin.functions.quantile import exact_quantiles
 from tallyfin.functions.series import annualised, ordered, simple_return
 from tallyfin.schema import SCENARIOS
@@ -128,11 +129,14 @@ def portfolio(rets: DataFrame, order: str = "ts", name: str = "PORTFOLIO") -> Da
     return rets.groupBy(order).agg(F.avg("ret").alias("ret")).select(F.lit(name).alias("ticker"), order, "ret")
 
 
-def rolling_value_at_risk(rets: DataFrame, rows: int, confidence: float = 0.95, order: str = "ts", keys: str = "ticker") -> DataFrame:
-    """(keys, order, ret, var): the historical loss quantile of the rows before each, where there are enough.  A frame of ``rows`` values is sorted for each row, so frames should be short (tens to hundreds)."""
-    w = ordered(keys, order).rowsBetween(-rows, -1)
-    q = F.percentile("ret", F.lit(1 - check_confidence(confidence))).over(w)
-    return rets.select(keys, order, "ret", F.when(F.count("ret").over(w) >= rows, -q).alias("var"))
+def rolling_value_at_risk(rets: DataFrame, rows: int, confidence: float = 0.95, order: str = "ts", keys: str = "ticker", blocks: int | None = None) -> DataFrame:
+    """(keys, order, ret, var): the historical loss quantile of the ``rows`` rows before each, null where they are not as many values.
+
+    The frame's order statistic is kept as it moves (``functions.frames``), so frames may be long, and a
+    series is dealt to many tasks.
+    """
+    found = rolling_quantile(rets, "ret", rows, 1 - check_confidence(confidence), [keys], [order], "_q", blocks)
+    return found.select(keys, order, "ret", (-F.col("_q")).alias("var"))
 
 
 def back_test(rets: DataFrame, rows: int, confidence: float = 0.95, order: str = "ts", keys: str = "ticker") -> DataFrame:
