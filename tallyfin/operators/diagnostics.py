@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp, factorial
+from math import asin, exp, factorial, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,59 @@ def kpss(df: DataFrame, value: str = "ret", order: str = "ts", keys: str = "tick
     return made.groupBy(keys).agg(F.try_divide(F.sum(F.col("s") * F.col("s")), n * F.sum(F.col("e") * F.col("e"))).alias("kpss"))
 
 
+#: Rows for which Royston's weights and p-values hold.
+SHAPIRO_ROWS = (3, 5000)
+#: Fixed values (Royston 1995), lowest power first: corrections of the two largest weights in 1 / sqrt(n), and mean and deviation of the transformed statistic for 4 to 11 rows (in n) and more (in ln n).
+LARGEST, SECOND = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+FEW = ((-2.273, 0.459), (0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322))
+MANY = ((-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302))
+
+
+def _powers(coefficients: tuple[float, ...], x: Column) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = out * x + c
+    return out
+
+
+def shapiro_wilk(df: DataFrame, value: str = "ret", keys: str = "ticker") -> DataFrame:
+    """(keys, n, w, p): Shapiro and Wilk's test of normality by Royston's weights, from the values' ranks within their key.
+
+    Keys of under 3 or over 5000 values, for which the weights do not hold, and of equal values have null w and p, and their
+    rows are not ranked; null values do not count.
+    """
+    sized = df.filter(F.col(value).isNotNull()).groupBy(keys).agg(F.count("*").alias("n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    fit = F.col("n").between(*SHAPIRO_ROWS) & (F.col("_low") < F.col("_high"))
+    meant = sized.filter(fit).select(F.col(keys).alias("_key"), "n")
+    rows = df.filter(F.col(value).isNotNull()).join(meant, F.col(keys).eqNullSafe(F.col("_key"))).select(keys, "n", F.col(value).cast("double").alias("x"))
+    i = F.row_number().over(Window.partitionBy(keys).orderBy("x"))
+    scored = rows.withColumn("m", normal.quantile_column((i - 0.375) / (F.col("n") + 0.25))).withColumn("_i", i)
+    # the expected order statistics, their squares, and the two largest: m of n and n - 1
+    last, second = F.max("m"), F.max(F.when(F.col("_i") == F.col("n") - 1, F.col("m")))
+    ends = [F.max_by("x", "_i"), F.max(F.when(F.col("_i") == F.col("n") - 1, F.col("x"))), F.min_by("x", "_i"), F.max(F.when(F.col("_i") == 2, F.col("x")))]
+    sums = scored.groupBy(keys, "n").agg(
+        F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("x")).alias("mx"), last.alias("m1"), second.alias("m2"),
+        *(e.alias(f"x{k}") for k, e in enumerate(ends)), (F.var_pop("x") * F.count("*")).alias("ss"),
+    )
+    u, root = 1 / F.sqrt("n"), F.sqrt("mm")
+    a1 = F.when(F.col("n") == 3, 0.5**0.5).otherwise(_powers(LARGEST, u) + F.col("m1") / root)
+    a2 = _powers(SECOND, u) + F.col("m2") / root
+    made = sums.select("*", a1.alias("a1"), F.when(F.col("n") > 5, a2).alias("a2"))
+    outer = F.col("a1") * (F.col("x0") - F.col("x2")) + F.coalesce(F.col("a2") * (F.col("x1") - F.col("x3")), F.lit(0.0))
+    two = F.col("n") > 5
+    phi = (F.col("mm") - 2 * F.col("m1") * F.col("m1") - F.when(two, 2 * F.col("m2") * F.col("m2")).otherwise(0.0)) / (1 - 2 * F.col("a1") * F.col("a1") - F.when(two, 2 * F.col("a2") * F.col("a2")).otherwise(0.0))
+    inner = F.col("mx") - F.col("m1") * (F.col("x0") - F.col("x2")) - F.when(two, F.col("m2") * (F.col("x1") - F.col("x3"))).otherwise(0.0)
+    weighed = F.when(F.col("n") == 3, outer).otherwise(outer + inner / F.sqrt(phi))
+    w = F.least(F.lit(1.0), weighed * weighed / F.col("ss"))
+    found = made.select(keys, "n", w.alias("w"))
+    n, y, left = F.col("n").cast("double"), F.ln("n"), F.greatest(1 - F.col("w"), F.lit(1e-19))
+    few = (-F.ln(_powers(FEW[0], n) - F.ln(left)) - _powers(FEW[1], n)) / F.exp(_powers(FEW[2], n))
+    many = (F.ln(left) - _powers(MANY[0], y)) / F.exp(_powers(MANY[1], y))
+    three = F.greatest(F.lit(0.0), 6 / pi * (F.asin(F.sqrt("w")) - asin(0.75**0.5)))
+    p = F.when(F.col("n") == 3, three).when((F.col("n") <= 11) & (_powers(FEW[0], n) <= F.ln(left)), 0.0).when(F.col("n") <= 11, normal.upper_tail(few)).otherwise(normal.upper_tail(many))
+    return found.select(keys, "n", "w", p.alias("p")).unionByName(sized.filter(~fit).select(keys, "n", F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("p")))
+
+
 def horizon_risk(rets: DataFrame, days: int, confidence: float = 0.95, keys: str = "ticker") -> DataFrame:
     """Daily figures scaled by the root of the horizon."""
     base = historical(rets, confidence, (keys,))

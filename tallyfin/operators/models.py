@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from math import pi, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,17 @@ def dickey_fuller(df: DataFrame, value: str = "ret", order: str = "ts", keys: st
 CRITICAL = {"1%": (-3.43035, -6.5393, -16.786, -79.433), "5%": (-2.86154, -2.8903, -4.234, -40.040), "10%": (-2.56677, -1.5384, -2.809, 0.0)}
 
 
+#: MacKinnon's surfaces (1994) of the test's p-value with a constant, as powers of t, below and above MIDDLE_T; outside ENDS it is 0 or 1.
+P_SMALL, P_LARGE, MIDDLE_T, ENDS = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368), -1.61, (-18.83, 2.74)
+
+
+def p_value(t: float) -> float:
+    """The approximate probability of a test value this low or lower if the series has a unit root."""
+    if not ENDS[0] <= t <= ENDS[1]:
+        return np.nan if np.isnan(t) else float(t > ENDS[1])
+    return NormalDist().cdf(sum(c * t**k for k, c in enumerate(P_SMALL if t <= MIDDLE_T else P_LARGE)))
+
+
 def critical_value(level: str, n: int) -> float:
     return sum(c / n**k for k, c in enumerate(CRITICAL[level]))
 
@@ -97,23 +109,23 @@ def _augmented(y: np.ndarray, lags: int, skip: int) -> tuple[float, float, int]:
 
 
 def augmented_dickey_fuller(df: DataFrame, lags: int | None = None, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:
-    """(keys, n, lags, t, crit_1, crit_5, crit_10): the test with a constant and lagged changes.
+    """(keys, n, lags, t, p, crit_1, crit_5, crit_10): the test with a constant and lagged changes.
 
     Without ``lags`` Akaike's criterion chooses among 0 to 12 (n / 100) ** 0.25, all judged on the same
     rows.  Series too short for their lags are left out.  A series is one task's work.
     """
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [keys, "n", "lags", "t", "crit_1", "crit_5", "crit_10"]
+        columns = [keys, "n", "lags", "t", "p", "crit_1", "crit_5", "crit_10"]
         y = pdf.sort_values(order)[value].dropna().to_numpy(float)
         most = lags if lags is not None else max(0, min(int(np.ceil(12 * (len(y) / 100) ** 0.25)), len(y) // 2 - 3))
         if len(y) < 2 * most + 5:
             return pd.DataFrame(columns=columns)
         chosen = most if lags is not None else min(range(most + 1), key=lambda k: _augmented(y, k, most)[1])
         t, _, n = _augmented(y, chosen, chosen)
-        return pd.DataFrame([[pdf[keys].iloc[0], n, chosen, t, *(critical_value(c, n) for c in CRITICAL)]], columns=columns)
+        return pd.DataFrame([[pdf[keys].iloc[0], n, chosen, t, p_value(t), *(critical_value(c, n) for c in CRITICAL)]], columns=columns)
 
-    return df.select(keys, order, value).groupBy(keys).applyInPandas(test, f"{keys} string, n long, lags int, t double, crit_1 double, crit_5 double, crit_10 double")
+    return df.select(keys, order, value).groupBy(keys).applyInPandas(test, f"{keys} string, n long, lags int, t double, p double, crit_1 double, crit_5 double, crit_10 double")
 
 
 def autocorrelation(df: DataFrame, lags: int = 20, value: str = "ret", order: str = "ts", keys: str = "ticker") -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfin.functions import normal
 from tallyfin.functions.frames import rolling_quantile
@@ -95,6 +96,11 @@ def parametric(rets: DataFrame, confidence: float = 0.95, keys: tuple[str, ...]
     return fit.select(*keys, (-(F.col("mu") + z * F.col("sd"))).alias("var"), (-(F.col("mu") + F.col("sd") * density)).alias("cvar"), (-F.col("mu") + F.col("sd") * density).alias("cvar_textbook"))
 
 
+def literal(s: Scenario) -> Column:
+    """A scenario as a struct of SCENARIOS' columns."""
+    return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(astuple(s), T.StructType.fromDDL(SCENARIOS))))
+
+
 def scenario_table(spark: SparkSession, scenarios: tuple[Scenario, ...] = DEFAULT_SCENARIOS) -> DataFrame:
     return spark.createDataFrame([astuple(s) for s in scenarios], SCENARIOS)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfin.functions import normal
 from tallyfin.operators import diagnostics, models, risk
 from tallyfin.plans.market import BARS, RETS, _var_sql, normal_sql, rounded, uniform_sql
 from tallyfin.sources.tables import bars_hourly
@@ -36,6 +37,10 @@ def q_kpss(spark, sf_dir):
     return rounded(diagnostics.kpss(_rets(spark, sf_dir)))
 
 
+def q_shapiro_wilk(spark, sf_dir):
+    return rounded(diagnostics.shapiro_wilk(_rets(spark, sf_dir)), 5)
+
+
 def q_var_horizon(spark, sf_dir):
     return rounded(diagnostics.horizon_risk(_rets(spark, sf_dir), 10))
 
@@ -113,10 +118,33 @@ def _posterior(p: str, r: str) -> str:
     return f"coalesce({prior} * {wild} / nullif({prior} * {wild} + (1 - {prior}) * {calm}, 0), {prior})"
 
 
+def _power_sql(coefficients: tuple[float, ...], x: str) -> str:
+    return "(" + " + ".join(f"{c!r}::double * {x} ** {k}" for k, c in enumerate(coefficients)) + ")"
+
+
+def _shapiro_sql() -> str:
+    """Of 12 to 5000 rows, as all series here have."""
+    ratio = lambda pair, x: "(" + ") / (".join(_power_sql(tuple(reversed(c)), x) for c in pair) + ")"
+    m = f"case when least(q, 1 - q) >= {normal.TAIL_FROM}::double then (q - 0.5) * {ratio(normal.MIDDLE, '((q - 0.5) * (q - 0.5))')} when q < 0.5 then {ratio(normal.TAIL, 't')} else -{ratio(normal.TAIL, 't')} end"
+    tail = f"(t * exp({_power_sql(tuple(reversed(normal.ERFC)), 't')} - x * x) / 2)"
+    return (
+        f"with {RETS}, i as (select ticker, ret, row_number() over (partition by ticker order by ret) as i, count(*) over (partition by ticker) as n from rets), "
+        "q as (select *, (i - 0.375::double) / (n + 0.25::double) as q from i), t as (select *, sqrt(-2 * ln(least(q, 1 - q))) as t from q), "
+        f"m as (select *, {m} as m from t), s as (select ticker, n, sum(m * m) as mm, max(m) as m1, max(m) filter (where i = n - 1) as m2 from m group by ticker, n), "
+        f"a as (select *, {_power_sql(diagnostics.LARGEST, '(1 / sqrt(n))')} + m1 / sqrt(mm) as a1, {_power_sql(diagnostics.SECOND, '(1 / sqrt(n))')} + m2 / sqrt(mm) as a2 from s), "
+        "f as (select *, (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) as phi from a), "
+        "w as (select m.ticker as ticker, m.n as n, sum(ret * case when i = m.n then a1 when i = m.n - 1 then a2 when i = 1 then -a1 when i = 2 then -a2 else m / sqrt(phi) end) ** 2 / (var_pop(ret) * count(*)) as w from m join f using (ticker) group by m.ticker, m.n), "
+        f"z as (select *, (ln(1 - w) - {_power_sql(diagnostics.MANY[0], 'ln(n)')}) / exp({_power_sql(diagnostics.MANY[1], 'ln(n)')}) as z from w), "
+        "x as (select *, abs(z) / sqrt(2) as x, 1 / (1 + abs(z) / sqrt(2) / 2) as t from z) "
+        f"select ticker, n, round(w, 5) as w, round(case when z >= 0 then {tail} else 1 - {tail} end, 5) as p from x"
+    )
+
+
 CENTRED = f"{RETS}, c as (select ticker, ts, ret - avg(ret) over (partition by ticker) as e from rets)"
 COPIES = " union all ".join(f"select ticker, sample, ret from b where u >= {p!r}::double" for p in diagnostics.POISSON)
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
 ORACLES = {
+    "q_shapiro_wilk": _shapiro_sql(),
     "q_gjr_filter": _recursive(f"{GJR[0]}::double + ({GJR[1]}::double + case when r.e < 0 then {GJR[2]}::double else 0 end) * r.e * r.e + {GJR[3]}::double * r.h") + "select ticker, ts, round(h, 5) as variance from rec",
     "q_egarch_filter": _recursive(f"exp({EGARCH[0]}::double + {EGARCH[1]}::double * (abs(r.e / sqrt(r.h)) - sqrt(2 / pi())) + {EGARCH[2]}::double * r.e / sqrt(r.h) + {EGARCH[3]}::double * ln(r.h))") + "select ticker, ts, round(h, 5) as variance from rec",
     "q_garch_in_mean": _recursive("0.05::double + 0.1::double * r.e * r.e + 0.85::double * r.h") + f"select ticker, ts, round({PREMIUM}::double * h, 5) as expected from rec",

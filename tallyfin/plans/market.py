@@ -87,7 +87,12 @@ def q_stress_tail_only(spark, sf_dir):
 
 
 def q_scenario_table(spark, sf_dir):
-    return risk.scenario_table(spark)
+    """Each scenario's parameters with the returns that it shifts and those that it replaces, by ticker."""
+    counts = _rets(spark, sf_dir).groupBy("ticker").agg(F.count("*").alias("rows"))
+    scenarios = F.explode(F.array(*(risk.literal(s) for s in risk.DEFAULT_SCENARIOS)))
+    made = counts.select("ticker", "rows", scenarios.alias("s")).select("ticker", "rows", "s.*")
+    replaced = F.least(F.col("rows"), F.coalesce(F.col("tail_days"), F.lit(0))).cast("long")
+    return made.withColumn("replaced", replaced).withColumn("shifted", F.when(F.col("shock").isNotNull() | F.col("vol_mult").isNotNull(), F.col("rows")).otherwise(0))
 
 
 def q_portfolio_return(spark, sf_dir):
@@ -428,8 +433,9 @@ ORACLES = {
         "stressed where scenario = 'Prolonged Decline' group by all"
     ),
     "q_scenario_table": (
-        "select * from (values ('Market Crash', -0.1::double, null::double, null::int, null::double), ('High Volatility', null, 2, null, null), ('Prolonged Decline', "
-        "null, null, 30, -0.02), ('Mixed Scenario', -0.05, 1.5, null, null)) t(scenario, shock, vol_mult, tail_days, tail_return)"
+        f"with {RETS}, c as (select ticker, count(*) as rows from rets group by ticker), t as (select * from (values ('Market Crash', -0.1::double, null::double, null::int, null::double), "
+        "('High Volatility', null, 2, null, null), ('Prolonged Decline', null, null, 30, -0.02), ('Mixed Scenario', -0.05, 1.5, null, null)) t(scenario, shock, vol_mult, tail_days, tail_return)) "
+        "select ticker, rows, scenario, shock, vol_mult, tail_days, tail_return, least(rows, coalesce(tail_days, 0)) as replaced, case when shock is not null or vol_mult is not null then rows else 0 end as shifted from c, t"
     ),
     "q_portfolio_return": f"with {RETS}, {PORTFOLIO} select ticker, ts, round(ret, 8) as ret from folio",
     "q_portfolio_var": f"with {RETS}, {PORTFOLIO} {_var_sql('folio')}",
