@@ -30,6 +30,10 @@ class Affine:
     def identity(n: int) -> np.ndarray:
         return np.tile([1.0, 0.0], (n, 1))
 
+    @staticmethod
+    def scaled(maps: np.ndarray) -> np.ndarray:
+        return maps
+
     @staticmethod
     def compose(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         return np.stack([later[..., 0] * earlier[..., 0], later[..., 0] * earlier[..., 1] + later[..., 1]], axis=-1)
@@ -53,15 +57,21 @@ class Weights:
     def identity(n: int) -> np.ndarray:
         return np.tile([1.0, 0.0, 0.0, 1.0], (n, 1))
 
+    @staticmethod
+    def scaled(maps: np.ndarray) -> np.ndarray:
+        """Maps whose largest number is one: two that are tiny would make none."""
+        top = maps.max(axis=-1, keepdims=True)
+        return maps / np.where(top > 0, top, 1.0)
+
     @staticmethod
     def compose(later: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        m = (later.reshape(*later.shape[:-1], 2, 2) @ earlier.reshape(*earlier.shape[:-1], 2, 2)).reshape(later.shape)
-        top = m.max(axis=-1, keepdims=True)
-        return m / np.where(top > 0, top, 1.0)
+        a, b = later, earlier
+        rows = (a[..., 0] * b[..., 0] + a[..., 1] * b[..., 2], a[..., 0] * b[..., 1] + a[..., 1] * b[..., 3], a[..., 2] * b[..., 0] + a[..., 3] * b[..., 2], a[..., 2] * b[..., 1] + a[..., 3] * b[..., 3])
+        return Weights.scaled(np.stack(rows, axis=-1))
 
     @staticmethod
     def apply(maps: np.ndarray, state: np.ndarray) -> np.ndarray:
-        made = (maps.reshape(*maps.shape[:-1], 2, 2) @ state[..., None])[..., 0]
+        made = np.stack([maps[..., 0] * state[..., 0] + maps[..., 1] * state[..., 1], maps[..., 2] * state[..., 0] + maps[..., 3] * state[..., 1]], axis=-1)
         total = made.sum(axis=-1, keepdims=True)
         return made / np.where(total > 0, total, 1.0)
 
@@ -79,7 +89,7 @@ def _columns(kind: Kind, maps: np.ndarray) -> np.ndarray:
     wide = isqrt(max(n - 1, 0)) + 1
     tall = -(-n // wide)
     full = kind.identity(tall * wide)
-    full[:n] = maps
+    full[:n] = kind.scaled(maps)
     return full.reshape(tall, wide, kind.width)
 
 

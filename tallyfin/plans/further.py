@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfin.functions import normal
-from tallyfin.operators import diagnostics, models, risk
+from tallyfin.operators import diagnostics, models, regimes, risk
 from tallyfin.plans.market import BARS, RETS, _var_sql, normal_sql, rounded, uniform_sql
 from tallyfin.sources.tables import bars_hourly
 
@@ -79,6 +79,16 @@ def q_regime_filter(spark, sf_dir):
     return rounded(models.regime_filter(_rets(spark, sf_dir), CALM, WILD, STAY))
 
 
+def q_regime_smooth(spark, sf_dir):
+    return rounded(regimes.smoothed(_rets(spark, sf_dir), CALM, WILD, STAY))
+
+
+def q_regime_fit(spark, sf_dir):
+    """Parameters, and the likelihood before the first round and the last."""
+    found = regimes.fit(_rets(spark, sf_dir))
+    return rounded(found.select("ticker", "n", *regimes.PARAMS, F.col("loglik")[0].alias("loglik_first"), F.element_at("loglik", -1).alias("loglik_last")), 4)
+
+
 def q_breusch_pagan(spark, sf_dir):
     return rounded(diagnostics.breusch_pagan(_rets(spark, sf_dir)), 5)
 
@@ -112,6 +122,10 @@ def _recursive(step: str, start: str = "h0") -> str:
     )
 
 
+def _density(regime: tuple[float, float]) -> str:
+    return f"(exp(-(((ret - {regime[0]}::double) / {regime[1]}::double) ^ 2) / 2) / (sqrt(2 * pi()) * {regime[1]}::double))"
+
+
 def _posterior(p: str, r: str) -> str:
     prior = f"({p} * {STAY[1]}::double + (1 - {p}) * (1 - {STAY[0]}::double))"
     calm, wild = (f"(exp(-((({r} - {m}::double) / {d}::double) ^ 2) / 2) / (sqrt(2 * pi()) * {d}::double))" for m, d in (CALM, WILD))
@@ -149,6 +163,13 @@ ORACLES = {
     "q_egarch_filter": _recursive(f"exp({EGARCH[0]}::double + {EGARCH[1]}::double * (abs(r.e / sqrt(r.h)) - sqrt(2 / pi())) + {EGARCH[2]}::double * r.e / sqrt(r.h) + {EGARCH[3]}::double * ln(r.h))") + "select ticker, ts, round(h, 5) as variance from rec",
     "q_garch_in_mean": _recursive("0.05::double + 0.1::double * r.e * r.e + 0.85::double * r.h") + f"select ticker, ts, round({PREMIUM}::double * h, 5) as expected from rec",
     "q_regime_filter": _recursive(_posterior("r.h", "s.ret"), _posterior("0.5::double", "ret")) + "select ticker, ts, round(h, 6) as wild from rec",
+    "q_regime_smooth": (
+        _recursive(_posterior("r.h", "s.ret"), _posterior("0.5::double", "ret"))
+        + f", likely as materialized (select ticker, ts, n, ret, {_density(CALM)} as c, {_density(WILD)} as w, max(n) over (partition by ticker) as last from es), "
+        "back as (select ticker, n, c, w, 0.5::double as b from likely where n = last union all select l.ticker, l.n, l.c, l.w, "
+        f"((1 - {STAY[1]}::double) * r.c * (1 - r.b) + {STAY[1]}::double * r.w * r.b) / ((1 - {STAY[1]}::double) * r.c * (1 - r.b) + {STAY[1]}::double * r.w * r.b + {STAY[0]}::double * r.c * (1 - r.b) + (1 - {STAY[0]}::double) * r.w * r.b) from back r join likely l on l.ticker = r.ticker and l.n = r.n - 1) "
+        "select rec.ticker as ticker, ts, round(h * b / (h * b + (1 - h) * (1 - b)), 6) as wild from rec join back on rec.ticker = back.ticker and rec.n = back.n"
+    ),
     "q_breusch_pagan": (
         f"with {RETS}, l as (select * from (select ticker, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets) where x is not null), f as "
         "(select ticker, regr_slope(y, x) as b, regr_intercept(y, x) as a from l group by ticker) select ticker, count(*) as n, round(count(*) * regr_r2((y - a "

@@ -90,6 +90,8 @@ def test_maps_compose_as_they_are_applied():
             all_states.append(s)
         assert np.allclose(blocks.states(kind, maps, state), all_states) and np.allclose(kind.apply(blocks.product(kind, maps), state), s)
         assert np.allclose(kind.apply(kind.reset(state), rng.uniform(0.1, 1, kind.states)), state)
+    tiny = rng.uniform(0.1, 1, (300, 4)) * 10.0 ** rng.integers(-200, 0, (300, 1))  # two of them make none in floating point
+    assert np.isfinite(blocks.states(blocks.Weights, tiny, state)).all() and blocks.product(blocks.Weights, tiny).max() == 1
     assert blocks.states(blocks.Affine, np.zeros((0, 2)), np.zeros(1)).shape == (0, 1)
 
 
