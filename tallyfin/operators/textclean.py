@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfin.session import checkpoint, small
+
 #: White space, as a set of characters and as a class of expressions; a filing's item heading, a broken glyph, and line ends.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -36,9 +38,12 @@ def page_counts(pages: DataFrame) -> DataFrame:
 def repeated_lines(pages: DataFrame, share: float = 0.6, least: int = 3, min_page_count: int | None = None) -> DataFrame:
     """(doc, line, pages): stripped lines on at least max(least, int(share * pages)) pages; a page counts once, documents of fewer than three pages have none.
 
-    ``min_page_count`` sets the number of pages outright.
+    ``min_page_count`` sets the number of pages outright.  Lines are counted by a hash first, partially aggregated before
+    the shuffle; only those found often enough are shuffled with their text to be counted by page.
     """
-    seen = page_lines(pages).select("doc", "page", stripped(F.col("line")).alias("line")).filter("line <> ''").distinct()
+    lines = page_lines(pages).select("doc", "page", stripped(F.col("line")).alias("line")).filter("line <> ''").withColumn("h", F.xxhash64("doc", "line"))
+    often = checkpoint(lines.groupBy("h").count().filter(F.col("count") >= (min_page_count or least)).select("h"))
+    seen = lines.join(small(often), "h", "left_semi").select("doc", "page", "line").distinct()
     counted = seen.groupBy("doc", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= (min_page_count or least))  # few are left to meet their document
     of = page_counts(pages).select("doc", F.col("pages").alias("of"))
     needed = F.lit(min_page_count) if min_page_count else F.greatest(F.lit(least), F.floor(F.col("of") * share))
@@ -46,8 +51,8 @@ def repeated_lines(pages: DataFrame, share: float = 0.6, least: int = 3, min_pag
 
 
 def strip_repeated(pages: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(doc, page, pos, line) without the repeated ones."""
-    gone = repeated.select(F.col("doc").alias("_doc"), F.col("line").alias("_line"))
+    """(doc, page, pos, line) without the repeated ones, which are few: up to MOST_BROADCAST of them are broadcast, so that no line is shuffled."""
+    gone = small(checkpoint(repeated.select(F.col("doc").alias("_doc"), F.col("line").alias("_line"))))
     lines = page_lines(pages)
     return lines.join(gone, (lines["doc"] == gone["_doc"]) & (stripped(lines["line"]) == gone["_line"]), "left_anti")
 

@@ -165,7 +165,8 @@ ORACLES = {
     "q_regime_filter": _recursive(_posterior("r.h", "s.ret"), _posterior("0.5::double", "ret")) + "select ticker, ts, round(h, 6) as wild from rec",
     "q_regime_smooth": (
         _recursive(_posterior("r.h", "s.ret"), _posterior("0.5::double", "ret"))
-        + f", likely as materialized (select ticker, ts, n, ret, {_density(CALM)} as c, {_density(WILD)} as w, max(n) over (partition by ticker) as last from es), "
+        + f", densities as (select ticker, n, {_density(CALM)} as c, {_density(WILD)} as w, max(n) over (partition by ticker) as last from es), "
+        "likely as materialized (select ticker, n, last, case when c + w > 0 then c else 1 end as c, case when c + w > 0 then w else 1 end as w from densities), "
         "back as (select ticker, n, c, w, 0.5::double as b from likely where n = last union all select l.ticker, l.n, l.c, l.w, "
         f"((1 - {STAY[1]}::double) * r.c * (1 - r.b) + {STAY[1]}::double * r.w * r.b) / ((1 - {STAY[1]}::double) * r.c * (1 - r.b) + {STAY[1]}::double * r.w * r.b + {STAY[0]}::double * r.c * (1 - r.b) + (1 - {STAY[0]}::double) * r.w * r.b) from back r join likely l on l.ticker = r.ticker and l.n = r.n - 1) "
         "select rec.ticker as ticker, ts, round(h * b / (h * b + (1 - h) * (1 - b)), 6) as wild from rec join back on rec.ticker = back.ticker and rec.n = back.n"
