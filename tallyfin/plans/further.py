@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfin.functions import normal
-from tallyfin.operators import diagnostics, models, regimes, risk
+from tallyfin.operators import diagnostics, models, regimes, risk, summaries
 from tallyfin.plans.market import BARS, RETS, _var_sql, normal_sql, rounded, uniform_sql
 from tallyfin.sources.tables import bars_hourly
 
@@ -89,6 +89,15 @@ def q_regime_fit(spark, sf_dir):
     return rounded(found.select("ticker", "n", *regimes.PARAMS, F.col("loglik")[0].alias("loglik_first"), F.element_at("loglik", -1).alias("loglik_last")), 4)
 
 
+def q_var_summaries(spark, sf_dir):
+    """Value at risk of the week up to each day from daily summaries, judged by its exact rank among the week's returns."""
+    rets = _rets(spark, sf_dir)
+    found = summaries.value_at_risk(summaries.daily(rets), 7)
+    judged = summaries.ranked(found, rets, 7, 0.05)
+    off = F.greatest(F.lit(0.0), F.col("rank_low") - 0.05, 0.05 - F.col("rank_high"))
+    return judged.select("ticker", "day", "n", (off <= 3 * summaries.rank_error() + 1 / F.col("n")).alias("within"))
+
+
 def q_breusch_pagan(spark, sf_dir):
     return rounded(diagnostics.breusch_pagan(_rets(spark, sf_dir)), 5)
 
@@ -171,6 +180,10 @@ ORACLES = {
         f"((1 - {STAY[1]}::double) * r.c * (1 - r.b) + {STAY[1]}::double * r.w * r.b) / ((1 - {STAY[1]}::double) * r.c * (1 - r.b) + {STAY[1]}::double * r.w * r.b + {STAY[0]}::double * r.c * (1 - r.b) + (1 - {STAY[0]}::double) * r.w * r.b) from back r join likely l on l.ticker = r.ticker and l.n = r.n - 1) "
         "select rec.ticker as ticker, ts, round(h * b / (h * b + (1 - h) * (1 - b)), 6) as wild from rec join back on rec.ticker = back.ticker and rec.n = back.n"
     ),
+    "q_var_summaries": (
+        f"with {RETS}, d as (select ticker, ts::date as day, count(*) as n from rets group by all) select a.ticker as ticker, a.day as day, sum(b.n)::bigint as n, true as within "
+        "from d a join d b on a.ticker = b.ticker and b.day between a.day - 6 and a.day group by all"
+    ),
     "q_breusch_pagan": (
         f"with {RETS}, l as (select * from (select ticker, ret as y, lag(ret) over (partition by ticker order by ts) as x from rets) where x is not null), f as "
         "(select ticker, regr_slope(y, x) as b, regr_intercept(y, x) as a from l group by ticker) select ticker, count(*) as n, round(count(*) * regr_r2((y - a "
