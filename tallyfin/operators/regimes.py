@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfin.functions.blocks import Weights, _arrow_schema, _key, _starts, product, states
-from tallyfin.session import MOST_BROADCAST, checkpoint
+from tallyfin.session import MOST_BROADCAST, checkpoint, written
 
 #: Parameters of a key: mean and deviation of either regime, and how likely each stays.
 PARAMS = ("calm_mean", "calm_std", "wild_mean", "wild_std", "calm_stay", "wild_stay")
@@ -169,7 +169,7 @@ def fit(df: DataFrame, value: str = "ret", order: str = "ts", keys: str = "ticke
         F.lit(0.95).alias("calm_stay"), F.lit(0.9).alias("wild_stay"), (F.col("std") * F.col("std") * FLOOR).alias("least"), F.array().cast("array<double>").alias("loglik"),
     )
     for _ in range(rounds):
-        params = checkpoint(_maximised(params, _expected(held, params)))
+        params = written(_maximised(params, _expected(held, params)))
         gain = F.col("loglik")[F.size("loglik") - 1] - F.get("loglik", F.size("loglik") - 2)
         if params.filter(F.coalesce(gain > rest * F.abs(F.col("loglik")[F.size("loglik") - 1]), F.lit(True))).isEmpty():
             break

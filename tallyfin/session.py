@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder, with the size of its files.
+
+    For loops of many rounds: a checkpoint keeps the estimate of its plan's size, and a table that is joined with what is
+    made of itself squares that estimate each round, until the planner is lost in its digits.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """df marked for broadcast if it has at most ``most`` rows; it is counted, so it should be cheap to read again."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
