@@ -49,19 +49,20 @@ def yang_zhang(bars: DataFrame, windows: tuple[tuple[int, int], ...] = ((5, 52),
 def gbm_parameters(bars: DataFrame, window: int = 10, dt: float = 1 / 26, order: str = "ts", keys: str = "ticker") -> DataFrame:
     """(keys, s0, mu, sigma, mu_literal): last price, mean log return over dt plus half the squared sigma, last Garman-Klass value.
 
+    Last is the last that is known: bars of a price of nought have no term, and leave the windows that hold them without a value.
     mu_literal is the drift when the returns' mean is nil, which is what log returns that are aligned by their index come to.
     """
     w = s.ordered(keys, order)
     made = bars.withColumns({"_lr": s.log_return(F.col("close"), w), "_term": s.garman_klass_term(*_ohlc())})
     made = made.withColumn("_gk", F.sqrt(s.rolling_mean(F.col("_term"), w, window)))
-    last = made.groupBy(keys).agg(F.max_by("close", order).alias("s0"), F.avg("_lr").alias("_m"), F.max_by("_gk", order).alias("sigma"))
+    last = made.groupBy(keys).agg(s.last_known(F.col("close"), order).alias("s0"), F.avg("_lr").alias("_m"), s.last_known(F.col("_gk"), order).alias("sigma"))
     half = 0.5 * F.col("sigma") * F.col("sigma")
     return last.select(keys, "s0", (F.col("_m") / dt + half).alias("mu"), "sigma", half.alias("mu_literal"))
 
 
 def gbm_parameters_by(bars: DataFrame, volatility: DataFrame, column: str, dt: float, order: str = "ts", keys: str = "ticker") -> DataFrame:
-    """(keys, s0, mu, sigma) with the last value of a volatility series as sigma; volatility: (keys, order, column)."""
+    """(keys, s0, mu, sigma) with the last known value of a volatility series as sigma; volatility: (keys, order, column)."""
     w = s.ordered(keys, order)
-    base = bars.withColumn("_lr", s.log_return(F.col("close"), w)).groupBy(keys).agg(F.max_by("close", order).alias("s0"), F.avg("_lr").alias("_m"))
-    last = volatility.groupBy(keys).agg(F.max_by(column, order).alias("sigma"))
+    base = bars.withColumn("_lr", s.log_return(F.col("close"), w)).groupBy(keys).agg(s.last_known(F.col("close"), order).alias("s0"), F.avg("_lr").alias("_m"))
+    last = volatility.groupBy(keys).agg(s.last_known(F.col(column), order).alias("sigma"))
     return base.join(last, keys).select(keys, "s0", (F.col("_m") / dt + 0.5 * F.col("sigma") * F.col("sigma")).alias("mu"), "sigma")
