@@ -44,3 +44,9 @@ def test_parameters_take_the_last_known_volatility(spark, sf_dir):
     assert got["late"][3] > 0 and math.isfinite(got["late"][2])
     assert got["fallen"][2] == -math.inf and got["fallen"][3] > 0
     assert got["short"][2:] == (None, None, None)
+
+
+def test_paths_of_the_last_known_volatility(spark, sf_dir):
+    got = matched(spark, sf_dir, "q_gbm_paths")
+    assert len(got["late"]) == market.GBM_PATHS * 13 and all(r[3] >= 0 for r in got["late"])
+    assert {r[3] for r in got["fallen"]} == {"nan", 0.0} and {r[3] for r in got["short"]} == {None}
