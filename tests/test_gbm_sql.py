@@ -50,3 +50,9 @@ def test_paths_of_the_last_known_volatility(spark, sf_dir):
     got = matched(spark, sf_dir, "q_gbm_paths")
     assert len(got["late"]) == market.GBM_PATHS * 13 and all(r[3] >= 0 for r in got["late"])
     assert {r[3] for r in got["fallen"]} == {"nan", 0.0} and {r[3] for r in got["short"]} == {None}
+
+
+def test_mean_path_of_the_last_known_volatility(spark, sf_dir):
+    got = matched(spark, sf_dir, "q_gbm_mean_path")
+    assert [r[1] for r in sorted(got["late"])] == list(range(13)) and all(r[2] > 0 for r in got["late"])
+    assert sorted(got["fallen"]) == [("fallen", 0, "nan"), *(("fallen", k, 0.0) for k in range(1, 13))]
