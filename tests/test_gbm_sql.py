@@ -56,3 +56,10 @@ def test_mean_path_of_the_last_known_volatility(spark, sf_dir):
     got = matched(spark, sf_dir, "q_gbm_mean_path")
     assert [r[1] for r in sorted(got["late"])] == list(range(13)) and all(r[2] > 0 for r in got["late"])
     assert sorted(got["fallen"]) == [("fallen", 0, "nan"), *(("fallen", k, 0.0) for k in range(1, 13))]
+
+
+def test_final_statistics_of_the_last_known_volatility(spark, sf_dir):
+    got = matched(spark, sf_dir, "q_gbm_final_stats")
+    ((_, mean, median, std, low, high),) = got["late"]
+    assert mean > 0 and std > 0 and low < median < high
+    assert got["fallen"] == [("fallen", 0.0, 0.0, 0.0, 0.0, 0.0)] and got["short"] == [("short", *[None] * 5)]
