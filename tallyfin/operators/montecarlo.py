@@ -96,10 +96,10 @@ def valued(df: DataFrame, years: int = 5) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20, keys: str = "ticker") -> DataFrame:
-    """(keys, bin, lower, upper, n): equal bins from the least to the largest value, the last closed."""
+    """(keys, bin, lower, upper, n): equal bins from the least to the largest value, the last closed; null values, and those of a key that has one value only, count in the last."""
     ends = df.groupBy(keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width).cast("int"))).otherwise(0)
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width).cast("int"))).otherwise(bins - 1)
     counted = df.join(ends, keys).groupBy(keys, at.alias("bin"), "_lo", "_hi").agg(F.count("*").alias("n"))
     return counted.select(keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("lower"), (F.col("_lo") + (F.col("bin") + 1) * width).alias("upper"), "n")
 

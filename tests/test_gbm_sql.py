@@ -14,6 +14,7 @@ HOURS = {
     "late": [(20.0, 0.0, 23.0) if h == 11 else (20.0 + h, 31.0 - h, 25.0) for h in range(14)],
     "fallen": [(20.0, 22.0, 0.0) if h == 1 else (20.0 + h, 31.0, 25.0 - h) for h in range(14)],
     "short": [(20.0, 22.0, 21.0)] * 5,
+    "still": [(20.0, 20.0, 20.0)] * 14,
 }
 
 
@@ -63,3 +64,11 @@ def test_final_statistics_of_the_last_known_volatility(spark, sf_dir):
     ((_, mean, median, std, low, high),) = got["late"]
     assert mean > 0 and std > 0 and low < median < high
     assert got["fallen"] == [("fallen", 0.0, 0.0, 0.0, 0.0, 0.0)] and got["short"] == [("short", *[None] * 5)]
+
+
+def test_histogram_of_the_last_known_volatility(spark, sf_dir):
+    got = matched(spark, sf_dir, "q_mc_histogram")
+    assert len(got["late"]) > 1 and sum(r[4] for r in got["late"]) == market.GBM_PATHS
+    assert got["fallen"] == [("fallen", 19, 0.0, 0.0, market.GBM_PATHS)] and got["short"] == [("short", 19, None, None, market.GBM_PATHS)]
+    ((_, at, low, high, n),) = got["still"]
+    assert at == 19 and low == high and n == market.GBM_PATHS
