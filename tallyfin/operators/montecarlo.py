@@ -36,8 +36,9 @@ def mean_path(paths: DataFrame, keys: str = "ticker") -> DataFrame:
 
 
 def final_statistics(paths: DataFrame, keys: str = "ticker") -> DataFrame:
-    """Mean, median, 5th and 95th percentile of the last step's prices."""
-    last = paths.join(paths.groupBy(keys).agg(F.max("step").alias("step")), [keys, "step"])
+    """Mean, median, 5th and 95th percentile of the last step's prices; a null key is a key like any other."""
+    ends = paths.groupBy(F.col(keys).alias("_key")).agg(F.max("step").alias("_last"))
+    last = paths.join(ends, F.col(keys).eqNullSafe(F.col("_key")) & (F.col("step") == F.col("_last")), "left_semi")
     return summary(last, "price", keys)
 
 

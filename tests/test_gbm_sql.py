@@ -84,3 +84,7 @@ def untyped_dir(tmp_path_factory, sf_dir):
 
 def test_paths_without_a_type_are_null(spark, untyped_dir):
     matched(spark, untyped_dir, "q_gbm_paths")
+
+
+def test_final_statistics_keep_a_null_type(spark, untyped_dir):
+    matched(spark, untyped_dir, "q_gbm_final_stats")
