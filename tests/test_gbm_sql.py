@@ -88,3 +88,7 @@ def test_paths_without_a_type_are_null(spark, untyped_dir):
 
 def test_final_statistics_keep_a_null_type(spark, untyped_dir):
     matched(spark, untyped_dir, "q_gbm_final_stats")
+
+
+def test_mean_path_without_a_type_is_null(spark, untyped_dir):
+    matched(spark, untyped_dir, "q_gbm_mean_path")
