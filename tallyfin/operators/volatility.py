@@ -50,9 +50,10 @@ def gbm_parameters(bars: DataFrame, window: int = 10, dt: float = 1 / 26, order:
     """(keys, s0, mu, sigma, mu_literal): last price, mean log return over dt plus half the squared sigma, last Garman-Klass value.
 
     Last is the last that is known: bars of a price of nought have no term, and leave the windows that hold them without a value.
+    A bar without a time stands after all others in the windows and is never the last that is known.
     mu_literal is the drift when the returns' mean is nil, which is what log returns that are aligned by their index come to.
     """
-    w = s.ordered(keys, order)
+    w = s.ordered(keys, [F.col(order).asc_nulls_last()])
     made = bars.withColumns({"_lr": s.log_return(F.col("close"), w), "_term": s.garman_klass_term(*_ohlc())})
     made = made.withColumn("_gk", F.sqrt(s.rolling_mean(F.col("_term"), w, window)))
     last = made.groupBy(keys).agg(s.last_known(F.col("close"), order).alias("s0"), F.avg("_lr").alias("_m"), s.last_known(F.col("_gk"), order).alias("sigma"))

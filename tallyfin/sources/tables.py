@@ -26,11 +26,16 @@ def scan(
 
 
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ticker, ts, open, high, low, close, volume): an hour's events of one type; first and last by event_id."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    """(ticker, ts, open, high, low, close, volume): an hour's events of one type; first and last by event_id, of the values that are not null.
+
+    Of rows that share an event_id the one nearest the start of its file counts, at either end.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", F.col("_metadata.row_index").alias("_row"))
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    known = F.col("event_id").isNotNull() & F.col("value").isNotNull()
+    first, last = (F.when(known, F.struct("event_id", row.alias("row"))) for row in (F.col("_row"), -F.col("_row")))
     return e.groupBy(F.col("event_type").alias("ticker"), hour.alias("ts")).agg(
-        F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.count("*").alias("volume")
+        F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", last).alias("close"), F.count("*").alias("volume")
     )
 
 

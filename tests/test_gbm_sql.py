@@ -92,3 +92,16 @@ def test_final_statistics_keep_a_null_type(spark, untyped_dir):
 
 def test_mean_path_without_a_type_is_null(spark, untyped_dir):
     matched(spark, untyped_dir, "q_gbm_mean_path")
+
+
+ODD = {
+    "hour without a time": "case when hour(ts) = 2 then null else ts end as ts",
+    "ends without a value": "case when hour(ts) in (3, 13) and minute(ts) <> 1 then null else value end as value",
+    "events of one number": "event_id // 2 as event_id",
+}
+
+
+@pytest.mark.parametrize("odd", ODD)
+def test_mean_path_of_odd_events(spark, sf_dir, tmp_path, odd):
+    duckdb.sql(f"copy (select * replace ({ODD[odd]}) from '{sf_dir}/events.parquet') to '{tmp_path}/events.parquet'")
+    assert all(r[2] > 0 for r in matched(spark, str(tmp_path), "q_gbm_mean_path")["plain"])
